@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, licenses, mixing, pii, quotes
+from . import bagminhash, decontam, langid, lattice, licenses, mixing, paradedup, pii, pivots, quotes
 from .common import table
 
 
@@ -20,10 +20,22 @@ def op2_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quotes.link(table(spark, sf_dir, "conversations"))
 
 
+def op3_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paradedup.find(table(spark, sf_dir, "documents"))
+
+
+def op4_pivot_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivots.find(table(spark, sf_dir, "embeddings"))
+
+
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find(table(spark, sf_dir, "documents")))
 
 
+def op6_lattice_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.scored(table(spark, sf_dir, "documents"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("held_out", langid.held_out())
     model = langid.learn(docs.where("not held_out"))
@@ -39,6 +51,10 @@ def op9_entropy_balancing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.digest(mixing.copies(table(spark, sf_dir, "documents")))
 
 
+def op10_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bagminhash.groups(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op")}
 
