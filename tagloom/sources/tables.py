@@ -14,6 +14,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import strip
 from ..schema import ALL_COLUMNS, DROPPED_COLUMNS, GOLD_COLUMNS, PREDICTION, SHEET_COLUMNS, strings
@@ -70,7 +71,7 @@ def read_predictions(spark: SparkSession, path: str) -> DataFrame:
 
     if not os.path.exists(path):
         return spark.createDataFrame([], PREDICTION)
-    plain = PREDICTION.add("_corrupt", "string")
+    plain = T.StructType([*PREDICTION, T.StructField("_corrupt", T.StringType())])
     lines = spark.read.text(path).where(F.length(strip(F.col("value"))) > 0).withColumn("line", F.monotonically_increasing_id())
     parsed = lines.select("line", F.from_json("value", plain, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}).alias("p"))
     bad = parsed.where("p is null or p._corrupt is not null or p.ad_id is null").limit(1).count()

@@ -286,12 +286,15 @@ def test_retries():
 
 
 def test_annotate_in_tasks(spark):
-    class Same(Fake):
-        def create(self, **request):
-            return answer()
+    def factory():
+        from types import SimpleNamespace as N
+
+        payload = {"goal": "other", "issue": "economy", "confidence": "high", "rationale": "ok"}
+        response = N(content=[N(type="tool_use", name="record_classification", input=payload)], usage=None)
+        return N(messages=N(create=lambda **request: response))
 
     items = spark.createDataFrame([(str(i), "t", i) for i in range(9)], "ad_id string, ad_text string, seq long")
-    got = annotate.annotate(items, Same, parallel=3)
+    got = annotate.annotate(items, factory, parallel=3)
     assert got.where("error is null and goal = 'other'").count() == 9
     done = got.where("seq < 4")
     assert {r["ad_id"] for r in annotate.todo(items, done, 6).collect()} == {"4", "5"}
