@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tagloom.llm import decontam, langid, mixing, pii
+from tagloom.llm import bagminhash, decontam, langid, mixing, pii
 from tagloom.llm.common import settle, table
 
 #: SQL cannot express the stages; tests compare them with brute-force versions.
@@ -21,6 +21,11 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return langid.keep(docs, langid.learn(docs))
 
 
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document, that of the least id, of each group of near-duplicates."""
+    return bagminhash.keep(docs)
+
+
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents that hold a benchmark item within its error budget."""
     return decontam.clean(docs, table(spark, sf_dir, "benchmark"))
@@ -36,7 +41,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.digest(mixing.copies(docs))
 
 
-STAGES = [("language_id", language_id), ("decontamination", decontamination), ("personal_data", personal_data), ("mixing", mix)]
+STAGES = [("language_id", language_id), ("near_dedup", near_dedup), ("decontamination", decontamination), ("personal_data", personal_data), ("mixing", mix)]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
