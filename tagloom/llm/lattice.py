@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +34,8 @@ EM_ROUNDS = 2
 COMMON = 200_000
 #: Distinct words that a task holds before it passes their counts on.
 HELD = 300_000
+#: Words scored at once.
+GATHER = 50_000
 #: Longer words are scored one by one.
 LONG = 48
 
@@ -51,7 +54,7 @@ class Pieces:
         self.keys = np.zeros(1 << self.bits, dtype=np.uint64)
         self.ids = np.full(1 << self.bits, -1, dtype=np.int32)
         for i, p in enumerate(pieces):
-            if i in set(()) or not p:
+            if not p:  # bytes are no substrings
                 continue
             h = self.hash_of(p)
             at = int(h >> np.uint64(64 - self.bits))
@@ -226,6 +229,19 @@ def is_held_out(value) -> bool:
     return value is not None and zlib.crc32(str(value).encode()) % 7 == 2
 
 
+def gathered(batches, rows: int = GATHER):
+    """Joins small batches, since words are scored in groups of equal length."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= rows:
+            yield pa.Table.from_batches(held).combine_chunks()
+            held, n = [], 0
+    if n:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
 def word_counts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(word, c, seen): occurrences in training and in all documents; counted in the tasks before they are shuffled."""
 
@@ -248,7 +264,7 @@ def word_counts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                     yield from flush()
         yield from flush()
 
-    common.map_batches(docs, [id_col, text_col], lambda b: iter(()), "x int")  # sets the batch size
+    common.small_batches(docs.sparkSession)
     parts = docs.select(id_col, text_col).mapInArrow(scan, "word string, c bigint, seen bigint")
     return parts.groupBy("word").agg(F.sum("c").alias("c"), F.sum("seen").alias("seen"))
 
@@ -262,7 +278,7 @@ def learn(words: DataFrame, n_docs: int, v: Pieces, rounds: int = EM_ROUNDS) ->
 
         def expect(batches, shared=shared):
             own = np.zeros(len(shared.value.logp))
-            for batch in batches:
+            for batch in gathered(batches):
                 score_words(shared.value, batch.column("word").to_pylist(), batch.column("c").to_numpy().astype(np.float64), own)
             at = np.flatnonzero(own)
             yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(own[at])], names=["piece", "n"])
@@ -288,32 +304,31 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voca
     bottom = np.log10(n_train + n_types + 1)
     model = spark.sparkContext.broadcast(learn(counted, n_docs, load(vocabulary)))
 
-    def lattice(batch: pa.RecordBatch):
-        lp = score_words(model.value, batch.column("word").to_pylist()) / _LN10
-        yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("c"), batch.column("seen"), pa.array(lp)], names=["word", "c", "seen", "lp"])
+    def lattice(batches):
+        for batch in gathered(batches):
+            lp = score_words(model.value, batch.column("word").to_pylist()) / _LN10
+            yield from batch.append_column("lp", pa.array(lp)).to_batches()
 
-    table = common.settle(common.map_batches(counted, ["word", "c", "seen"], lattice, "word string, c bigint, seen bigint, lp double"))
-    top = table.orderBy(F.desc("seen"), "word").limit(common_words).select("word", "c", "lp").toArrow()
-    shared = spark.sparkContext.broadcast({w.encode(): (c, lp) for w, c, lp in zip(top.column(0).to_pylist(), top.column(1).to_pylist(), top.column(2).to_pylist(), strict=True)})
+    table = common.settle(counted.mapInArrow(lattice, "word string, c bigint, seen bigint, lp double"))
+    common.release(spark)
+    shared = spark.sparkContext.broadcast(_frequent(table, common_words))
     end_lp, end_c = model.value.end / _LN10, n_docs
 
     def scan(batches):
         # a row's number within its task; the rows are checkpointed before they are used, so a repeated task cannot change it
         uid = TaskContext.get().partitionId() << 36
-        near = shared.value
+        places, c, lp = shared.value
+        logs = np.log10(c + 1.0)
         for batch in batches:
             cols: list[list] = [[] for _ in range(7)]
             for doc, text in zip(batch.column(id_col).to_pylist(), common.texts_of(batch, text_col), strict=True):
-                known, base, score, rare = int(end_c > 0), np.log10(end_c + 1) - bottom, end_lp, []
                 words = tokens(text)
-                for w, tf in Counter(words).items():
-                    hit = near.get(w)
-                    if hit is None:
-                        rare.append({"word": w.decode("utf-8", "replace"), "tf": tf})
-                    else:
-                        known += tf * (hit[0] > 0)
-                        base += tf * (_LOG[hit[0] + 1] if hit[0] < len(_LOG) - 1 else np.log10(hit[0] + 1)) - tf * bottom
-                        score += tf * hit[1]
+                at = np.fromiter(map(places.get, words, repeat(-1)), dtype=np.int64, count=len(words))
+                hit = at[at >= 0]
+                known = int(end_c > 0) + int(np.count_nonzero(c[hit]))
+                base = float(np.log10(end_c + 1) - bottom + logs[hit].sum() - len(hit) * bottom)
+                score = float(end_lp + lp[hit].sum())
+                rare = [{"word": w.decode("utf-8", "replace"), "tf": n} for w, n in Counter(words[i] for i in np.flatnonzero(at < 0)).items()]
                 for col, x in zip(cols, (uid, is_held_out(doc), len(words) + 1, known, base, score, rare), strict=True):
                     col.append(x)
                 uid += 1
@@ -337,5 +352,19 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voca
     )
 
 
-#: log10 of small counts, by count.
-_LOG = [0.0, *np.log10(np.arange(1, 4096)).tolist()]
+
+def _frequent(table: DataFrame, most: int) -> tuple[dict[bytes, int], np.ndarray, np.ndarray]:
+    """The most frequent words, at most ``most``, with their places in the arrays of counts and log-probabilities.
+
+    Words are cut at a step of the frequency scale, found from a histogram, so nothing is sorted.
+    """
+    step = F.floor(8 * F.log2("seen")).cast("int")
+    total, bound = 0, None
+    for r in table.groupBy(step.alias("step")).agg(F.count("*").alias("n")).orderBy(F.desc("step")).collect():
+        total += r["n"]
+        if total > most:
+            break
+        bound = r["step"]
+    rows = table.where(step >= bound if bound is not None else F.lit(False)).select("word", "c", "lp").toArrow()
+    places = {w.encode(): i for i, w in enumerate(rows.column("word").to_pylist())}
+    return places, rows.column("c").to_numpy(), rows.column("lp").to_numpy()
