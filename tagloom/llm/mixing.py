@@ -76,7 +76,9 @@ def rates(cells: DataFrame, steps: int = STEPS, cap: int = MAX_COPIES) -> DataFr
         joined = cells.select(F.col("source").alias("s"), "size", "docs").where("size > 0").join(F.broadcast(open_) if few else open_, F.col("s").eqNullSafe(F.col("source")))
         words = F.col("docs") * F.col("size") * F.least(F.lit(float(cap)), tilt)
         slope = F.when(tilt < cap, F.col("docs") * F.col("size") * x * tilt).otherwise(0.0)
-        sums = joined.groupBy("source", "t", "mean", "l", "lo", "hi").agg(F.sum(words).alias("w"), F.sum(slope).alias("g"))
+        # decimals add up to the same sum in any order, so reruns agree to the last digit
+        total = lambda c: F.sum(c.cast("decimal(28,6)")).cast("double")
+        sums = joined.groupBy("source", "t", "mean", "l", "lo", "hi").agg(total(words).alias("w"), total(slope).alias("g"))
         over = F.col("w") > F.col("t")
         lo, hi = F.when(over, F.col("lo")).otherwise(F.col("l")), F.when(over, F.col("l")).otherwise(F.col("hi"))
         newton = F.col("l") - (F.col("w") - F.col("t")) / F.when(F.col("g") > 0, F.col("g"))
