@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import bagminhash, decontam, langid, lattice, licenses, mixing, paradedup, pii, pivots, quotes
 from .common import table
+from .sql import ORACLES
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,4 +61,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
