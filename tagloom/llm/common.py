@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 #: Rows of one Arrow batch: with texts of 100 KB a batch stays near 100 MB.
 BATCH_ROWS = 1000
 #: UTF-8 bytes that the vectorised code takes at once; one longer text is taken alone.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,11 +34,21 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let the driver find out which shuffles and checkpoints nothing refers to any more, so their files go before the next step."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of few rows, since texts can be long."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def map_batches(df: DataFrame, columns: list[str], fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """``mapInArrow`` over only the named columns, in batches of few rows."""
-    conf = df.sparkSession.conf
-    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > BATCH_ROWS:
-        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    small_batches(df.sparkSession)
 
     def run(batches):
         for batch in batches:
@@ -47,6 +58,21 @@ def map_batches(df: DataFrame, columns: list[str], fn: Callable[[pa.RecordBatch]
     return df.select(*columns).mapInArrow(run, schema)
 
 
+def runs(batches, keys: tuple[str, ...], values: tuple[str, ...]) -> Iterator[tuple[tuple, list[tuple]]]:
+    """Consecutive rows with equal keys, as (keys, rows of values); only one run is held."""
+    current, group = None, []
+    for batch in batches:
+        rows = zip(*(batch.column(c).to_pylist() for c in values), strict=True)
+        for key, row in zip(zip(*(batch.column(c).to_pylist() for c in keys), strict=True), rows, strict=True):
+            if key != current:
+                if group:
+                    yield current, group
+                current, group = key, []
+            group.append(row)
+    if group:
+        yield current, group
+
+
 def texts_of(batch: pa.RecordBatch, column: str = "text") -> Iterator[str]:
     """The texts one by one; null counts as empty."""
     for value in batch.column(column):
