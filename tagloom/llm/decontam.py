@@ -168,6 +168,7 @@ def clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
     The filter runs in one pass over the rows themselves, so null or repeated ids do not matter.
     """
     spark = docs.sparkSession
+    common.small_batches(spark)
     rate, min_chars = options.get("rate", ERROR_RATE), options.get("min_chars", MIN_CHARS)
     block_chars = options.get("block_chars", BLOCK_CHARS)
     body = items.where(F.length("text") > 0).select(F.col("text").alias("body"))

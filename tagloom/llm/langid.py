@@ -134,7 +134,8 @@ class Filter:
 
 
 def held_out(id_col: str = "doc_id", modulus: int = 3, part: int = 1):
-    return F.crc32(F.col(id_col).cast("string")) % modulus == part
+    """Whether a document is kept from training, by the checksum of its id; null ids are not."""
+    return F.coalesce(F.crc32(F.col(id_col).cast("string")) % modulus == part, F.lit(False))
 
 
 def learn(df: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", fit_docs: int = FIT_DOCS, n_grams: int = GRAMS) -> Filter:
@@ -142,6 +143,7 @@ def learn(df: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col:
 
     N-grams are ranked by how many of the sampled documents hold them.
     """
+    common.small_batches(df.sparkSession)
     rows = df.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     languages = sorted(sizes)
@@ -194,6 +196,7 @@ def predict(df: DataFrame, model: Filter, id_col: str = "doc_id", text_col: str
 def keep(df: DataFrame, model: Filter, text_col: str = "text", min_coverage: float = 0.02) -> DataFrame:
     """Rows whose text is written in a learned language: not ``und``, and its n-grams not nearly all unknown. All columns stay."""
     shared = df.sparkSession.sparkContext.broadcast(model)
+    common.small_batches(df.sparkSession)
 
     @F.pandas_udf("boolean")
     def known(texts):

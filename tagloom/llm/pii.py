@@ -136,6 +136,8 @@ def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
 def redact(df: DataFrame, text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
     """Replace every span by its kind in brackets; overlapping spans are replaced as one. Null texts stay null. All columns stay, in order."""
 
+    common.small_batches(df.sparkSession)
+
     @F.pandas_udf("string")
     def clean(texts):
         return texts.map(_cleaned)
