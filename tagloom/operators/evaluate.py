@@ -142,7 +142,7 @@ def bootstrap_exact(correct: list[bool], n_resamples: int = 2000, alpha: float =
 
 
 def bootstrap(aligned: DataFrame, n_resamples: int = 2000, alpha: float = 0.05, seed: int = 0) -> DataFrame:
-    """(run, field, ci_lo, ci_hi) with the exact generator, a group's flags in one task; for groups of report size."""
+    """(run, field, ci_lo, ci_hi) with the exact generator. Its draws are one sequence, so a group's flags are in one task: for hand-labelled gold sets; ``bootstrap_hashed`` is the form for large ones."""
 
     def interval(pdf: pd.DataFrame) -> pd.DataFrame:
         own = pdf.sort_values("ad_id")

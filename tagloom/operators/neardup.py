@@ -113,7 +113,8 @@ def decide(cards: DataFrame, existing: DataFrame, dropped: DataFrame, max_per_pa
         first_key = near.join(open_.groupBy(F.col("key").alias("other")).agg(F.min("seq").alias("s")), "other").groupBy("key").agg(F.min("s").alias("near_first"))
         first_id = open_.groupBy("library_id").agg(F.min("seq").alias("id_first"))
         ranked = open_.join(first_key, "key").join(first_id, "library_id").withColumn("rank", F.row_number().over(Window.partitionBy("page_name").orderBy("seq")))
-        safe = ranked.where("rank <= room and near_first >= seq and id_first >= seq").select("seq", F.lit(1).alias("yes"))
+        # the constant bound lets each task keep only the first few cards of a page before the shuffle
+        safe = ranked.where(F.col("rank") <= max_per_page).where("rank <= room and near_first >= seq and id_first >= seq").select("seq", F.lit(1).alias("yes"))
         state = settle(seen.drop("room").join(safe, "seq", "left").withColumn("state", F.coalesce("yes", "state")).drop("yes"))
     taken = state.where("state = 1")
     by_key = near.join(taken.groupBy(F.col("key").alias("other")).agg(F.min("seq").alias("s")), "other").groupBy("key").agg(F.min("s").alias("twin"))

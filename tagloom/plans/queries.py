@@ -98,10 +98,6 @@ def bootstrap_ci(spark, d):
     return ev.bootstrap_hashed(_aligned(spark, d), 200).select("run", "field", F.round("ci_lo", 9).alias("ci_lo"), F.round("ci_hi", 9).alias("ci_hi"))
 
 
-def bootstrap_ci_exact(spark, d):
-    return ev.bootstrap(_aligned(spark, d), 500)
-
-
 def preds_last_write_wins(spark, d):
     return _preds(syn.items(spark, d)).select("run", "ad_id", "goal", "issue", "confidence", "error", "seq")
 
