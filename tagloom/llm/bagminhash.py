@@ -133,6 +133,10 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return common.map_batches(docs, [id_col, text_col], scan, f"id {docs.schema[id_col].dataType.simpleString()}, cid bigint, bands array<bigint>")
 
 
+def unpacked(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, dtype=np.uint64)
+
+
 def _payload(docs: DataFrame, rows: DataFrame, id_col: str, text_col: str):
     def of(wanted: DataFrame) -> DataFrame:
         sources = rows.join(wanted, "cid").groupBy("cid").agg(F.min("id").alias("source")).select(F.col("cid").alias("want"), "source")
@@ -158,7 +162,7 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thre
     solid = rows.where("cid is not null")
     # copies share buckets, so one row of each class is enough
     reps = solid.select("cid", "bands").dropDuplicates(["cid"])
-    found = links.linked(reps, _payload(docs, solid, id_col, text_col), threshold)
+    found = links.linked(reps, _payload(docs, solid, id_col, text_col), links.set_similar(threshold), unpacked, threshold)
     classes = solid.groupBy("cid").agg(F.min("id").alias("class_id"))
     classes = classes.join(found.withColumnRenamed("id", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     least = classes.groupBy("component").agg(F.min("class_id").alias("component_id"))
@@ -175,6 +179,7 @@ def keep(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     Rows with a null id stay. Rows that repeat id and text count once; rows that share an id but not a text go only if none of them is kept.
     """
     decided = common.settle(groups(docs, id_col, text_col).groupBy(F.col(id_col).alias("_id")).agg(F.max("kept").alias("_kept"), F.count("*").alias("_rows")))
+    common.release(docs.sparkSession)
     gone = decided.where("_id is not null and (not _kept or _rows > 1)").select("_id", "_kept")
     joined = docs.join(gone, F.col(id_col) == F.col("_id"), "left")
     once = joined.where("_id is null").select(*docs.columns)

@@ -1,8 +1,9 @@
 """Links between texts that meet in hash buckets, and the components they form.
 
 Nothing here collects a bucket or a component: members of a bucket are first compared with one head, components are
-found over the verified links, and only members of one bucket that are still in different components are compared
-with each other. So copies in the thousands cost one comparison each, and no link between components is lost.
+found over the verified links, and only members of one bucket that are still in different components are compared with
+each other: by pairs in small buckets, and in blocks within tasks, without a row for a pair, in large ones. So copies in
+the thousands cost one comparison each, and no link between components is lost.
 """
 
 from __future__ import annotations
@@ -16,6 +17,12 @@ from pyspark.sql import functions as F
 
 from . import common
 
+#: Members of a bucket up to which its pairs are rows, and members of a block of a larger one.
+SMALL = 24
+BLOCK = 128
+#: Columns of an incidence matrix that are multiplied at once.
+COLUMNS = 4096
+
 
 def components(edges: DataFrame) -> DataFrame:
     """(id, component): the least id reachable over the edges (a, b), for ids that have an edge.
@@ -36,49 +43,128 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def crowds(rows: DataFrame) -> DataFrame:
-    """(bucket, cid, head) of all buckets with several ids, from rows (cid, bands)."""
+    """(bucket, cid, head) of all buckets with several ids, from rows (cid, bands).
+
+    The head is the member of least cid xor bucket: another one in each bucket, so a text is compared with several others.
+    """
     spread = rows.select("cid", F.explode("bands").alias("bucket"))
-    heads = spread.groupBy("bucket").agg(F.min("cid").alias("head"), F.max("cid").alias("last")).where("head < last").select("bucket", "head")
+    mark = F.col("cid").bitwiseXOR(F.col("bucket"))
+    heads = spread.groupBy("bucket").agg(F.min(mark).alias("least"), F.max(mark).alias("last")).where("least < last")
+    heads = heads.select("bucket", F.col("least").bitwiseXOR(F.col("bucket")).alias("head"))
     return common.settle(spread.join(heads, "bucket").distinct())
 
 
-def verified(pairs: DataFrame, data: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (a, b) whose element sets, sorted 64-bit values in ``data`` (cid, data), have at least the given Jaccard similarity."""
+def set_similar(threshold: float) -> Callable[[bytes, bytes], bool]:
+    """Test of the Jaccard similarity of two sets given as sorted 64-bit values, or their bytes."""
+
+    def similar(x, y) -> bool:
+        if min(len(x), len(y)) < threshold * max(len(x), len(y)) - 1e-9:
+            return False
+        a, b = (np.frombuffer(z, dtype=np.uint64) if isinstance(z, bytes) else z for z in (x, y))
+        both = len(np.intersect1d(a, b, assume_unique=True))
+        return both >= threshold * (len(a) + len(b) - both) - 1e-9
+
+    return similar
+
+
+def verified(pairs: DataFrame, data: DataFrame, similar: Callable[[bytes, bytes], bool]) -> DataFrame:
+    """Pairs (a, b) whose ``data`` (cid, data) pass the test."""
 
     def check(batch: pa.RecordBatch):
-        keep = []
-        last, own = None, None
-        left, right = batch.column("x"), batch.column("y")
-        for i in range(batch.num_rows):
-            x, y = left[i].as_buffer(), right[i].as_buffer()
-            if min(x.size, y.size) < threshold * max(x.size, y.size):
-                keep.append(False)
-                continue
-            if last is None or batch.column("a")[i] != last:
-                last, own = batch.column("a")[i], np.frombuffer(x, dtype=np.uint64)
-            other = np.frombuffer(y, dtype=np.uint64)
-            both = len(np.intersect1d(own, other, assume_unique=True))
-            keep.append(both >= threshold * (len(own) + len(other) - both) - 1e-9)
+        keep = [similar(x.as_py(), y.as_py()) for x, y in zip(batch.column("x"), batch.column("y"), strict=True)]
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     joined = pairs.join(data.select(F.col("cid").alias("a"), F.col("data").alias("x")), "a").join(data.select(F.col("cid").alias("b"), F.col("data").alias("y")), "b")
     return common.map_batches(joined, ["a", "b", "x", "y"], check, "a bigint, b bigint")
 
 
-def linked(rows: DataFrame, payload: Callable[[DataFrame], DataFrame], threshold: float) -> DataFrame:
-    """(id, component) of the ids of rows (cid, bands) that have a verified link; ``payload`` gives (cid, data) of wanted cids."""
+def overlaps(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all sets, by multiplying the incidence of the elements that several sets have."""
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    _, place, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    several = count > 1
+    column = (np.cumsum(several) - 1)[place]
+    keep = several[place]
+    owner, column = owner[keep], column[keep]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    out = np.zeros((len(sets), len(sets)), dtype=np.float64)
+    for start in range(0, int(several.sum()), COLUMNS):
+        a, b = np.searchsorted(column, [start, start + COLUMNS])
+        part = np.zeros((len(sets), COLUMNS), dtype=np.float32)
+        part[owner[a:b], column[a:b] - start] = 1
+        out += part @ part.T
+    return out
+
+
+def joined_heads(link: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """The least id that each member reaches over a symmetric relation."""
+    head = ids.copy()
+    while True:
+        new = np.minimum(head, np.where(link, head[None, :], np.iinfo(np.int64).max).min(axis=1))
+        if (new == head).all():
+            return head
+        head = new
+
+
+def compared_in_blocks(member: DataFrame, data: DataFrame, elements: Callable[[bytes], np.ndarray], threshold: float) -> DataFrame:
+    """Links (a, b) between members of large buckets in different components, enough of them to join what is linked.
+
+    ``member`` has bucket, cid, component, base (the bucket's largest component), n_base and n_rest. Members outside the base
+    component are compared with all, those inside only with those outside. No task holds more than two blocks.
+    """
+    inside = F.col("component") == F.col("base")
+    rest, base = (F.ceil(F.col(c) / BLOCK).cast("int") for c in ("n_rest", "n_base"))
+    draw = F.xxhash64("cid", "bucket")
+    dealt = member.withColumns({"own": F.when(inside, rest + F.pmod(draw, base)).otherwise(F.pmod(draw, rest)).cast("int"), "partners": F.when(inside, F.sequence(F.lit(0), rest - 1)).otherwise(F.sequence(F.lit(0), rest + base - 1))})
+    dealt = dealt.withColumn("partner", F.explode("partners")).select("bucket", F.least("own", "partner").alias("lo"), F.greatest("own", "partner").alias("hi"), "own", "cid", "component")
+    parts = int(member.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = dealt.join(data, "cid").repartition(parts, "bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi").select("bucket", "lo", "hi", "own", "cid", "component", "data")
+
+    def solve(batches):
+        for (_, lo, hi), group in common.runs(batches, ("bucket", "lo", "hi"), ("own", "cid", "component", "data")):
+            own, cid, component, data = zip(*group, strict=True)
+            sets = [elements(x) for x in data]
+            size = np.array([len(x) for x in sets], dtype=np.float64)
+            both = overlaps(sets)
+            link = both >= threshold * (size[:, None] + size[None, :] - both) - 1e-9
+            component, own, cid = np.array(component), np.array(own), np.array(cid)
+            link &= component[:, None] != component[None, :]
+            if lo != hi:
+                link &= own[:, None] != own[None, :]
+            head = joined_heads(link, cid)
+            at = np.flatnonzero(head != cid)
+            if len(at):
+                yield pa.RecordBatch.from_arrays([pa.array(head[at]), pa.array(cid[at])], names=["a", "b"])
+
+    return dealt.mapInArrow(solve, "a bigint, b bigint")
+
+
+def linked(rows: DataFrame, payload: Callable[[DataFrame], DataFrame], similar: Callable[[bytes, bytes], bool], elements: Callable[[bytes], np.ndarray], threshold: float) -> DataFrame:
+    """(id, component) of the ids of rows (cid, bands) that have a verified link.
+
+    ``payload`` gives (cid, data) of wanted cids. ``similar`` tests the data of two members of a bucket, one of them its head;
+    ``elements`` gives the sorted set whose Jaccard similarity, ``threshold`` or more, links any two members.
+    """
+    spark = rows.sparkSession
     crowd = crowds(rows)
+    common.release(spark)
     data = common.settle(payload(crowd.select("cid").distinct()))
-    star = common.settle(crowd.where("cid <> head").select(F.col("head").alias("a"), F.col("cid").alias("b")).distinct())
-    edges = common.settle(verified(star, data, threshold))
+    star = crowd.where("cid <> head").select(F.least("head", "cid").alias("a"), F.greatest("head", "cid").alias("b")).distinct()
+    edges = common.settle(verified(star, data, similar))
+    common.release(spark)
     found = components(edges)
     # members of one bucket that are in different components after the first comparison
     member = crowd.select("bucket", "cid").join(found.withColumnRenamed("id", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
-    mixed = member.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("bucket")
-    member = common.settle(member.join(mixed, "bucket", "left_semi"))
-    if member.isEmpty():
-        return found
-    other = member.select("bucket", F.col("cid").alias("b"), F.col("component").alias("c2"))
-    pairs = member.select("bucket", F.col("cid").alias("a"), F.col("component").alias("c1")).join(other, "bucket").where("a < b and c1 <> c2").select("a", "b").distinct()
-    more = common.settle(verified(pairs.join(star, ["a", "b"], "left_anti"), data, threshold))
+    shares = member.groupBy("bucket", "component").agg(F.count("*").alias("n"))
+    mixed = shares.groupBy("bucket").agg(F.max_by("component", "n").alias("base"), F.max("n").alias("n_base"), F.sum("n").alias("m")).where("m > n_base").withColumn("n_rest", F.col("m") - F.col("n_base"))
+    member = common.settle(member.join(mixed, "bucket"))
+    few = member.where(F.col("m") <= SMALL).select("bucket", "cid", "component")
+    other = few.select("bucket", F.col("cid").alias("b"), F.col("component").alias("c2"))
+    pairs = few.select("bucket", F.col("cid").alias("a"), F.col("component").alias("c1")).join(other, "bucket").where("a < b and c1 <> c2").select("a", "b").distinct()
+    jaccard = set_similar(threshold)
+    small = verified(pairs, data, lambda x, y: jaccard(elements(x), elements(y)))
+    large = compared_in_blocks(member.where(F.col("m") > SMALL), data, elements, threshold)
+    more = common.settle(small.union(large))
+    common.release(spark)
     return found if more.isEmpty() else components(edges.union(more))

@@ -2,8 +2,10 @@
 
 A paragraph is a line of a text; it counts if it has at least MIN_WORDS words. Its five-word shingles (lower case, words
 of letters and digits) are MinHashed; bands are tuned for recall: with 8 bands of 3 rows a pair of Jaccard
-similarity 0.8 meets with probability 1 - (1 - 0.8^3)^8 = 0.997. Pairs that meet are verified with the exact Jaccard
-similarity of their shingle sets, 0.8 or more. Of each component the first paragraph (least id, then line) stays.
+similarity 0.8 meets with probability 1 - (1 - 0.8^3)^8 = 0.997. Paragraphs that meet are verified: they link if the exact
+Jaccard similarity of their shingle sets is 0.8 or more. With a bucket's head they link also if the edit distance in
+words is at most a tenth of the longer one's words: one changed word of thirty already breaks five shingles. Of each
+component the first paragraph (least id, then line) stays.
 
 Paragraphs equal after normalisation are one class (a 64-bit hash). Null and empty texts have no paragraphs. Rows with a
 null id are not looked at. Repeated rows repeat their paragraphs, so the repeats are found like others.
@@ -22,6 +24,7 @@ from .bagminhash import identity, normal
 WIDTH = 5
 MIN_WORDS = 5
 THRESHOLD = 0.8
+EDIT_SHARE = 0.1
 BANDS = 8
 ROWS = 3
 
@@ -39,9 +42,56 @@ def paragraphs(text: str, min_words: int = MIN_WORDS) -> list[tuple[int, bytes]]
     return out
 
 
-def shingle_sets(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    h, owner, _ = common.weighted(*common.shingle_hashes(*common.word_hashes(texts), WIDTH))
-    return h, owner
+def edit_distance(a: list, b: list) -> int:
+    """Levenshtein distance of two sequences, bit-parallel over the first."""
+    if not a or not b:
+        return max(len(a), len(b))
+    places: dict = {}
+    for i, x in enumerate(a):
+        places[x] = places.get(x, 0) | 1 << i
+    full, last = (1 << len(a)) - 1, 1 << (len(a) - 1)
+    up, down, distance = full, 0, len(a)
+    for y in b:
+        eq = places.get(y, 0) | down
+        diagonal = (((eq & up) + up) ^ up) | eq
+        more, less = down | (full & ~(diagonal | up)), up & diagonal
+        distance += bool(more & last) - bool(less & last)
+        more, less = (more << 1 | 1) & full, (less << 1) & full
+        match = places.get(y, 0) | down
+        up, down = less | (full & ~(match | more)), more & match
+    return distance
+
+
+def shingle_set(words: np.ndarray) -> np.ndarray:
+    return np.unique(common.shingle_hashes(words, np.array([0, len(words)]), WIDTH)[0])
+
+
+def shingles_of(data: bytes) -> np.ndarray:
+    return shingle_set(np.frombuffer(data, dtype=np.uint64))
+
+
+def alike(threshold: float = THRESHOLD, share: float = EDIT_SHARE):
+    """Test of two paragraphs given as sequences of 64-bit word hashes."""
+
+    def similar(x: bytes, y: bytes) -> bool:
+        a, b = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
+        s, t = shingle_set(a), shingle_set(b)
+        if min(len(s), len(t)) >= threshold * max(len(s), len(t)):
+            both = len(np.intersect1d(s, t, assume_unique=True))
+            if both >= threshold * (len(s) + len(t) - both) - 1e-9:
+                return True
+        most = int(share * max(len(a), len(b)))
+        if abs(len(a) - len(b)) > most or most == 0:
+            return False
+        # the same start and end need no comparison
+        n = min(len(a), len(b))
+        start = int(np.argmin(np.append(a[:n] == b[:n], False)))
+        a, b = a[start:], b[start:]
+        n = min(len(a), len(b))
+        end = int(np.argmin(np.append((a[::-1][:n] == b[::-1][:n]), False)))
+        return edit_distance(a[: len(a) - end].tolist(), b[: len(b) - end].tolist()) <= most
+
+    return similar
 
 
 def band_keys(texts: list[bytes]) -> np.ndarray:
@@ -105,9 +155,8 @@ def _payload(docs: DataFrame, rows: DataFrame, id_col: str, text_col: str):
                     if (cid := identity(clean)) in asked:
                         found[cid] = clean
                 if found:
-                    h, owner = shingle_sets(list(found.values()))
-                    ends = np.searchsorted(owner, np.arange(len(found) + 1))
-                    yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array([h[a:b].tobytes() for a, b in zip(ends, ends[1:], strict=False)], pa.binary())], names=["cid", "data"])
+                    words, first = common.word_hashes(list(found.values()))
+                    yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array([words[a:b].tobytes() for a, b in zip(first, first[1:], strict=False)], pa.binary())], names=["cid", "data"])
 
         return common.map_batches(texts, ["want", "text"], scan, "cid bigint, data binary").dropDuplicates(["cid"])
 
@@ -117,7 +166,7 @@ def _payload(docs: DataFrame, rows: DataFrame, id_col: str, text_col: str):
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """(id, para, n_words, first_id, first_para, copies, removed) of each paragraph that repeats, exactly or nearly."""
     rows = common.settle(sketches(docs, id_col, text_col))
-    found = links.linked(rows.select("cid", "bands"), _payload(docs, rows, id_col, text_col), threshold)
+    found = links.linked(rows.select("cid", "bands"), _payload(docs, rows, id_col, text_col), alike(threshold), shingles_of, threshold)
     slim = rows.select("id", "para", "n_words", "cid")
     # per class first, so a paragraph with many copies is combined before it is shuffled
     classes = slim.groupBy("cid").agg(F.min(F.struct("id", "para")).alias("first"), F.count("*").alias("n"))

@@ -6,7 +6,8 @@ least SHARED pivots. Vectors that meet are verified by cosine in double precisio
 
 Pivots come from a sample of at most SAMPLE vectors (chosen by hash; a bound on what reaches the driver), thinned by
 farthest-first choice so that a crowded region takes few; their number follows the cube root of the number of vectors, so a
-list's expected length stays the same. Every vector is indexed.
+list's expected length stays the same. Every vector is indexed. Two vectors of cosine 0.95 in 64 dimensions meet with
+probability 0.976 at 300 pivots and 0.95 at 600; of cosine 0.99 with 0.999.
 
 A list is cut into blocks of BLOCK members and blocks are compared two by two, so no task holds a whole long list; a pair
 is counted only in the list of its least shared pivots. Tasks return, for each vector, its number of links and the least
@@ -29,8 +30,8 @@ from . import common, links
 
 THRESHOLD = 0.95
 SAMPLE = 8192
-NEAREST = 10
-SHARED = 3
+NEAREST = 8
+SHARED = 4
 BLOCK = 512
 #: Pivots: least, most, and the factor of the count under the cube root.
 LEAST_PIVOTS, MOST_PIVOTS, CROWD = 32, 4096, 500
@@ -148,7 +149,7 @@ def find(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", thre
 
     def solve(key, lo, hi, group):
         cids = np.array([g[0] for g in group])
-        x = unit(np.array([g[2] for g in group]))
+        x = unit(np.array([np.frombuffer(g[2]) for g in group]))
         weight, side = np.array([g[1] for g in group]), np.array([g[3] for g in group])
         pivots = shared_pivots.value.get(x.shape[1])
         if pivots is None:
@@ -158,33 +159,15 @@ def find(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", thre
             top, own = key % MOST_PIVOTS, min(shared, seen.shape[1])
         link = compare(top, seen, x, side, lo != hi, threshold, own)
         counted = np.flatnonzero(link.any(axis=1))
-        head = cids.copy()
-        while True:
-            least = np.where(link, head[None, :], np.iinfo(np.int64).max).min(axis=1)
-            new = np.minimum(head, least)
-            if (new == head).all():
-                break
-            head = new
-        return cids[counted], (link @ weight)[counted], head[counted]
+        return cids[counted], (link @ weight)[counted], links.joined_heads(link, cids)[counted]
 
     def sweep(batches):
-        current, group = None, []
-
-        def done():
+        for key, group in common.runs(batches, ("key", "lo", "hi"), ("cid", "n", "vec", "own")):
             if len(group) > 1:
-                cids, n, head = solve(*current, group)
+                cids, n, head = solve(*key, group)
                 if len(cids):
                     yield pa.RecordBatch.from_arrays([pa.array(cids), pa.array(n.astype(np.int64)), pa.array(head)], names=["cid", "links", "head"])
 
-        for batch in batches:
-            for r in range(batch.num_rows):
-                where = tuple(batch.column(c)[r].as_py() for c in ("key", "lo", "hi"))
-                if where != current:
-                    yield from done()
-                    current, group = where, []
-                group.append((batch.column("cid")[r].as_py(), batch.column("n")[r].as_py(), np.frombuffer(batch.column("vec")[r].as_py()), batch.column("own")[r].as_py()))
-        yield from done()
-
     found = common.settle(dealt.select("key", "lo", "hi", "own", "cid", "n", "vec").mapInArrow(sweep, "cid bigint, links bigint, head bigint"))
     counts = found.groupBy("cid").agg(F.sum("links").alias("links"))
     tree = links.components(found.select(F.col("cid").alias("a"), F.col("head").alias("b"))).withColumnRenamed("id", "cid")

@@ -121,7 +121,7 @@ def test_decontamination_equals_brute_force(spark):
         body = prose(rng, 40, 50)
         if i % 2:
             item = list(rng.choice(items[:12])[1])
-            for _ in range(rng.randrange(0, 14)):
+            for _ in range(rng.randrange(0, 9)):
                 k = rng.randrange(len(item))
                 item[k : k + 1] = rng.choice(["", "Z", item[k] + "q"])
             body += " " + "".join(item).upper().replace(" ", " \n") + " " + prose(rng, 20, 50)
@@ -445,14 +445,18 @@ def test_paragraphs_equal_brute_force(spark):
     test = paradedup.alike()
     seq = lambda t: common.word_hashes([t])[0].tobytes()
     paras = [((d, i), c) for d, t in texts for i, c in paradedup.paragraphs(t)]
-    want = grouped(paras, lambda a, b: a == b or test(seq(a), seq(b)))
+    # links of Jaccard 0.8 must be found; links of edit distance are found where the paragraphs meet
+    want = grouped(paras, lambda a, b: a == b or overlap(Counter(set(bag(a.decode()))), Counter(set(bag(b.decode())))) >= 0.8)
+    widest = grouped(paras, lambda a, b: a == b or test(seq(a), seq(b)))
     size = Counter(want.values())
     df = docs_of(spark, texts + [(i, t) for i, t in ODD if i != 904], extra=True)
     rows = paradedup.find(df).collect()
-    got = {(r["doc_id"], r["para"]): ((r["first_id"], r["first_para"]), r["removed"]) for r in rows}
-    expected = {p: (c, p != c) for p, c in want.items() if size[c] > 1}
-    same = sum(got.get(p) == v for p, v in expected.items())
-    assert same >= 0.97 * len(expected) and len(expected) > 30 and set(got) <= set(expected)
+    got = {(r["doc_id"], r["para"]): (r["first_id"], r["first_para"]) for r in rows}
+    expected = [p for p, c in want.items() if size[c] > 1]
+    together = sum(p in got and got[p] == got[want[p]] for p in expected)
+    assert together >= 0.98 * len(expected) and len(expected) > 30
+    assert all(widest[p] == widest[c] for p, c in got.items())
+    assert all(r["removed"] == ((r["doc_id"], r["para"]) != got[r["doc_id"], r["para"]]) for r in rows)
     assert paradedup.find(df.limit(0)).count() == 0
 
 
@@ -492,7 +496,7 @@ def test_expected_counts_are_a_gradient():
     words, counts = ["thing", "notation", "é", "ing" * 20], np.array([2.0, 1.0, 3.0, 1.0])
     expected = np.zeros(len(v.logp))
     lattice.score_words(v, words, counts, expected)
-    for piece in ("▁th", "ing", "tion", "n"):
+    for piece in ("▁th", "ing", "at", "n"):
         i, step = v.pieces.index(piece), 1e-6
         up = v.logp.copy()
         up[i] += step
