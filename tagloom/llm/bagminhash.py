@@ -139,7 +139,8 @@ def unpacked(data: bytes) -> np.ndarray:
 
 def _payload(docs: DataFrame, rows: DataFrame, id_col: str, text_col: str):
     def of(wanted: DataFrame) -> DataFrame:
-        sources = rows.join(wanted, "cid").groupBy("cid").agg(F.min("id").alias("source")).select(F.col("cid").alias("want"), "source")
+        # combined in the tasks before the join, so a large class of copies is not one group of rows
+        sources = rows.groupBy("cid").agg(F.min("id").alias("source")).join(wanted, "cid").select(F.col("cid").alias("want"), "source")
         texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(sources, F.col("id").eqNullSafe(F.col("source")))
 
         def scan(batch: pa.RecordBatch):

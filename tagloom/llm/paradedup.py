@@ -143,7 +143,8 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 def _payload(docs: DataFrame, rows: DataFrame, id_col: str, text_col: str):
     def of(wanted: DataFrame) -> DataFrame:
-        sources = rows.select("cid", "id").join(wanted, "cid").groupBy("cid").agg(F.min("id").alias("source"))
+        # combined in the tasks before the join, so a frequent paragraph is not one group of rows
+        sources = rows.groupBy("cid").agg(F.min("id").alias("source")).join(wanted, "cid")
         # at most the paragraphs of one document meet in a row
         sources = sources.groupBy("source").agg(F.collect_list("cid").alias("want"))
         texts = docs.select(F.col(id_col).alias("source"), F.col(text_col).alias("text")).join(sources, "source")
