@@ -43,9 +43,11 @@ def class_pairs(sets: DataFrame, threshold: tuple[int, int] = THRESHOLD) -> Data
     # words of one set alone come first in the order and cannot meet, so they use up the prefix
     size = F.col("n") - F.ceil(F.col("n") * num / den) + 1
     left = (size - (F.col("n") - F.col("shared"))).cast("int")
-    prefix = ranked.where(left > 0).select("key", "n", F.explode(F.slice("o", 1, left)).alias("p")).select("key", "n", F.col("p.w").alias("w"))
-    other = prefix.select(F.col("key").alias("b"), F.col("n").alias("nb"), "w")
-    near = (F.least("n", "nb") * den >= F.greatest("n", "nb") * num) & (F.col("key") < F.col("b"))
+    first = ranked.where(left > 0).select("key", "n", "shared", F.posexplode(F.slice("o", 1, left)).alias("i", "p"))
+    # words from here to the end of the order; a pair's first common word bounds its overlap from above
+    prefix = first.select("key", "n", (F.col("shared") - F.col("i")).alias("rest"), F.col("p.w").alias("w"))
+    other = prefix.select(F.col("key").alias("b"), F.col("n").alias("nb"), F.col("rest").alias("rb"), "w")
+    near = (F.least("n", "nb") * den >= F.greatest("n", "nb") * num) & (F.col("key") < F.col("b")) & (F.least("rest", "rb") * (num + den) >= (F.col("n") + F.col("nb")) * num)
     candidates = prefix.join(other, "w").where(near).select(F.col("key").alias("a"), "b").distinct()
     words = reps.select("key", "words")
     both = candidates.join(words.select(F.col("key").alias("a"), F.col("words").alias("x")), "a").join(words.select(F.col("key").alias("b"), F.col("words").alias("y")), "b")
