@@ -32,6 +32,8 @@ ROWS = 5
 SIGNATURE = BANDS * ROWS
 #: Points are drawn up to the time at which all registers are filled with probability 1 - exp(-MARGIN); if not, up to twice that.
 MARGIN = 6.0
+#: Removed or repeated ids up to which they are broadcast, with 9 bytes each, when documents are filtered.
+BROADCAST_IDS = 1_000_000
 
 _SPACED = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 _NEXT, _PLACE, _STRIP, _OCCURRENCE, _BAND = (np.uint64(x) for x in (0x9FB21C651E98DF25, 0xA24BAED4963EE407, 0xD1342543DE82EF95, 0xC6BC279692B5CC83, 0xDA942042E4DD58B5))
@@ -182,7 +184,9 @@ def keep(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     decided = common.settle(groups(docs, id_col, text_col).groupBy(F.col(id_col).alias("_id")).agg(F.max("kept").alias("_kept"), F.count("*").alias("_rows")))
     common.release(docs.sparkSession)
     gone = decided.where("_id is not null and (not _kept or _rows > 1)").select("_id", "_kept")
-    joined = docs.join(gone, F.col(id_col) == F.col("_id"), "left")
+    # ids to look up are a small part of the rows: broadcast if they are few, else joined by a shuffle
+    few = gone.count() <= BROADCAST_IDS
+    joined = docs.join(F.broadcast(gone) if few else gone, F.col(id_col) == F.col("_id"), "left")
     once = joined.where("_id is null").select(*docs.columns)
     repeated = joined.where("_kept").select(*docs.columns).dropDuplicates([id_col, text_col])
     return once.unionByName(repeated)
