@@ -181,7 +181,7 @@ def keep(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
     Rows with a null id stay. Rows that repeat id and text count once; rows that share an id but not a text go only if none of them is kept.
     """
-    decided = common.settle(groups(docs, id_col, text_col).groupBy(F.col(id_col).alias("_id")).agg(F.max("kept").alias("_kept"), F.count("*").alias("_rows")))
+    decided = common.settle(groups(docs, id_col, text_col).groupBy(F.col(id_col).alias("_id")).agg(F.max("kept").alias("_kept"), F.count("*").alias("_rows")), slim=True)
     common.release(docs.sparkSession)
     gone = decided.where("_id is not null and (not _kept or _rows > 1)").select("_id", "_kept")
     # ids to look up are a small part of the rows: broadcast if they are few, else joined by a shuffle

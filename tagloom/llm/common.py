@@ -21,12 +21,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def settle(df: DataFrame) -> DataFrame:
+def settle(df: DataFrame, slim: bool = False) -> DataFrame:
     """Run ``df`` once and cut its lineage with a reliable checkpoint.
 
     The folder is the one the cluster names in spark.checkpoint.dir; only where that is unset
-    (tests on one machine) is an own folder used.
+    (tests on one machine) is an own folder used. ``slim`` rows are ids and numbers, far smaller than texts, so an eighth of the
+    shuffle partitions holds them: a checkpoint makes a file, and on a local file system starts a process, for each partition.
     """
+    if slim:
+        df = df.coalesce(max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 8))
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:

@@ -29,13 +29,13 @@ def components(edges: DataFrame) -> DataFrame:
 
     Each round takes the least label of the neighbours and then the label's own label, so chains shorten by doubling.
     """
-    both = common.settle(edges.where("a <> b").select("a", "b").union(edges.where("a <> b").select("b", "a")).distinct())
-    labels = common.settle(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("component")))
+    both = common.settle(edges.where("a <> b").select("a", "b").union(edges.where("a <> b").select("b", "a")).distinct(), slim=True)
+    labels = common.settle(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("component")), slim=True)
     while True:
         near = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy("a").agg(F.min("component").alias("m")).withColumnRenamed("a", "id")
         hooked = labels.join(near, "id").select("id", F.col("component").alias("old"), F.least("component", "m").alias("mid"))
         above = hooked.select(F.col("id").alias("mid"), F.col("mid").alias("up"))
-        step = common.settle(hooked.join(above, "mid").select("id", "old", F.least("mid", "up").alias("component")))
+        step = common.settle(hooked.join(above, "mid").select("id", "old", F.least("mid", "up").alias("component")), slim=True)
         done = step.where(F.col("component") < F.col("old")).isEmpty()
         labels = step.select("id", "component")
         if done:
@@ -51,7 +51,7 @@ def crowds(rows: DataFrame) -> DataFrame:
     mark = F.col("cid").bitwiseXOR(F.col("bucket"))
     heads = spread.groupBy("bucket").agg(F.min(mark).alias("least"), F.max(mark).alias("last")).where("least < last")
     heads = heads.select("bucket", F.col("least").bitwiseXOR(F.col("bucket")).alias("head"))
-    return common.settle(spread.join(heads, "bucket").distinct())
+    return common.settle(spread.join(heads, "bucket").distinct(), slim=True)
 
 
 def set_similar(threshold: float) -> Callable[[bytes, bytes], bool]:
@@ -158,7 +158,7 @@ def linked(rows: DataFrame, payload: Callable[[DataFrame], DataFrame], similar:
     member = crowd.select("bucket", "cid").join(found.withColumnRenamed("id", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     shares = member.groupBy("bucket", "component").agg(F.count("*").alias("n"))
     mixed = shares.groupBy("bucket").agg(F.max_by("component", "n").alias("base"), F.max("n").alias("n_base"), F.sum("n").alias("m")).where("m > n_base").withColumn("n_rest", F.col("m") - F.col("n_base"))
-    member = common.settle(member.join(mixed, "bucket"))
+    member = common.settle(member.join(mixed, "bucket"), slim=True)
     few = member.where(F.col("m") <= SMALL).select("bucket", "cid", "component")
     other = few.select("bucket", F.col("cid").alias("b"), F.col("component").alias("c2"))
     pairs = few.select("bucket", F.col("cid").alias("a"), F.col("component").alias("c1")).join(other, "bucket").where("a < b and c1 <> c2").select("a", "b").distinct()

@@ -88,7 +88,7 @@ def rates(cells: DataFrame, steps: int = STEPS, cap: int = MAX_COPIES) -> DataFr
         off = F.abs(F.col("w") - F.col("t")) <= TOLERANCE * F.col("t")
         open_ = sums.withColumns({"nlo": lo, "nhi": hi}).select("source", "t", "mean", F.when(off, F.col("l")).when(inside, newton).otherwise(guarded).alias("l"), F.when(off, F.col("lo")).otherwise(F.col("nlo")).alias("lo"), F.when(off, F.col("hi")).otherwise(F.col("nhi")).alias("hi"), off.alias("done"))
         if step % STEPS_PER_CUT == 0 or step == steps:
-            open_ = common.settle(open_)
+            open_ = common.settle(open_, slim=True)
             if open_.where(~F.col("done")).isEmpty():
                 break
         open_ = open_.drop("done")
@@ -103,12 +103,12 @@ def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sour
     # pmod of a hash of the id numbers documents of one source and size in a fixed order
     base = common.settle(base.withColumn("h", F.xxhash64(F.col("id").cast("string"))).withColumn("part", F.pmod("h", F.lit(PARTS)).cast("int")))
     # a partial sum for each part first, so one hot source and size is not one group of rows
-    parts = common.settle(base.groupBy("source", "size", "part").agg(F.count("*").alias("docs")))
-    cells = common.settle(parts.groupBy("source", "size").agg(F.sum("docs").alias("docs")))
+    parts = common.settle(base.groupBy("source", "size", "part").agg(F.count("*").alias("docs")), slim=True)
+    cells = common.settle(parts.groupBy("source", "size").agg(F.sum("docs").alias("docs")), slim=True)
     rated = rates(cells, steps).withColumn("fraction", F.col("rate") - F.floor("rate"))
     before = Window.partitionBy("source").orderBy("size").rowsBetween(Window.unboundedPreceding, -1)
     run = rated.withColumn("before", F.coalesce(F.sum(F.col("fraction") * F.col("docs")).over(before), F.lit(0.0)))
-    run = common.settle(run)
+    run = common.settle(run, slim=True)
     # the start whose words come nearest to the target, of STARTS tried at once; ties: the least
     tries = [(k + 0.5) / STARTS for k in range(STARTS)]
 
