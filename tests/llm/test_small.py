@@ -313,6 +313,18 @@ def test_pivot_index_equals_brute_force(spark):
     assert pivots.find(df.limit(0)).count() == 0
 
 
+def test_pivot_recall_at_the_threshold_holds_with_many_pivots():
+    rng = np.random.default_rng(3)
+    for wanted, least in ((300, 0.995), (1205, 0.99)):
+        chosen = pivots.choose(list(rng.normal(size=(4 * wanted, 64))), wanted)[64]
+        x = pivots.unit(rng.normal(size=(1000, 64)))
+        away = rng.normal(size=x.shape)
+        away = pivots.unit(away - (away * x).sum(axis=1, keepdims=True) * x)
+        y = 0.95 * x + math.sqrt(1 - 0.95**2) * away
+        a, b = (pivots.lists_of(pivots.describe(v, chosen), 64) for v in (x, y))
+        assert np.mean([len(np.intersect1d(s, t)) > 0 for s, t in zip(a, b, strict=True)]) >= least
+
+
 # --- components
 
 
