@@ -107,11 +107,12 @@ def joined_heads(link: np.ndarray, ids: np.ndarray) -> np.ndarray:
         head = new
 
 
-def compared_in_blocks(member: DataFrame, data: DataFrame, elements: Callable[[bytes], np.ndarray], threshold: float) -> DataFrame:
+def compared_in_blocks(member: DataFrame, data: DataFrame, elements: Callable[[bytes], np.ndarray], threshold: float, widen: Callable | None = None) -> DataFrame:
     """Links (a, b) between members of large buckets in different components, enough of them to join what is linked.
 
     ``member`` has bucket, cid, component, base (the bucket's largest component), n_base and n_rest. Members outside the base
-    component are compared with all, those inside only with those outside. No task holds more than two blocks.
+    component are compared with all, those inside only with those outside. No task holds more than two blocks. ``widen`` gives
+    further links of a block from its data, the pairs that may be linked and are not yet joined, and the members' heads so far.
     """
     inside = F.col("component") == F.col("base")
     rest, base = (F.ceil(F.col(c) / BLOCK).cast("int") for c in ("n_rest", "n_base"))
@@ -129,10 +130,14 @@ def compared_in_blocks(member: DataFrame, data: DataFrame, elements: Callable[[b
             both = overlaps(sets)
             link = both >= threshold * (size[:, None] + size[None, :] - both) - 1e-9
             component, own, cid = np.array(component), np.array(own), np.array(cid)
-            link &= component[:, None] != component[None, :]
+            asked = component[:, None] != component[None, :]
             if lo != hi:
-                link &= own[:, None] != own[None, :]
+                asked &= own[:, None] != own[None, :]
+            link &= asked
             head = joined_heads(link, cid)
+            if widen is not None:
+                link |= widen(data, asked & (head[:, None] != head[None, :]), head)
+                head = joined_heads(link, cid)
             at = np.flatnonzero(head != cid)
             if len(at):
                 yield pa.RecordBatch.from_arrays([pa.array(head[at]), pa.array(cid[at])], names=["a", "b"])
@@ -140,11 +145,12 @@ def compared_in_blocks(member: DataFrame, data: DataFrame, elements: Callable[[b
     return dealt.mapInArrow(solve, "a bigint, b bigint")
 
 
-def linked(rows: DataFrame, payload: Callable[[DataFrame], DataFrame], similar: Callable[[bytes, bytes], bool], elements: Callable[[bytes], np.ndarray], threshold: float) -> DataFrame:
+def linked(rows: DataFrame, payload: Callable[[DataFrame], DataFrame], similar: Callable[[bytes, bytes], bool], elements: Callable[[bytes], np.ndarray], threshold: float, widen: Callable | None = None) -> DataFrame:
     """(id, component) of the ids of rows (cid, bands) that have a verified link.
 
-    ``payload`` gives (cid, data) of wanted cids. ``similar`` tests the data of two members of a bucket, one of them its head;
-    ``elements`` gives the sorted set whose Jaccard similarity, ``threshold`` or more, links any two members.
+    ``payload`` gives (cid, data) of wanted cids. ``similar`` tests the data of two members of a bucket. In blocks of large
+    buckets the same test is the Jaccard similarity, ``threshold`` or more, of the sorted sets that ``elements`` gives, and what
+    ``widen`` links besides.
     """
     spark = rows.sparkSession
     crowd = crowds(rows)
@@ -162,9 +168,8 @@ def linked(rows: DataFrame, payload: Callable[[DataFrame], DataFrame], similar:
     few = member.where(F.col("m") <= SMALL).select("bucket", "cid", "component")
     other = few.select("bucket", F.col("cid").alias("b"), F.col("component").alias("c2"))
     pairs = few.select("bucket", F.col("cid").alias("a"), F.col("component").alias("c1")).join(other, "bucket").where("a < b and c1 <> c2").select("a", "b").distinct()
-    jaccard = set_similar(threshold)
-    small = verified(pairs, data, lambda x, y: jaccard(elements(x), elements(y)))
-    large = compared_in_blocks(member.where(F.col("m") > SMALL), data, elements, threshold)
+    small = verified(pairs, data, similar)
+    large = compared_in_blocks(member.where(F.col("m") > SMALL), data, elements, threshold, widen)
     more = common.settle(small.union(large))
     common.release(spark)
     return found if more.isEmpty() else components(edges.union(more))

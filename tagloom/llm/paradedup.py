@@ -3,9 +3,9 @@
 A paragraph is a line of a text; it counts if it has at least MIN_WORDS words. Its five-word shingles (lower case, words
 of letters and digits) are MinHashed; bands are tuned for recall: with 8 bands of 3 rows a pair of Jaccard
 similarity 0.8 meets with probability 1 - (1 - 0.8^3)^8 = 0.997. Paragraphs that meet are verified: they link if the exact
-Jaccard similarity of their shingle sets is 0.8 or more. With a bucket's head they link also if the edit distance in
-words is at most a tenth of the longer one's words: one changed word of thirty already breaks five shingles. Of each
-component the first paragraph (least id, then line) stays.
+Jaccard similarity of their shingle sets is 0.8 or more, or if the edit distance in words is at most a tenth of the longer
+one's words: one changed word of thirty already breaks five shingles. Of each component the first paragraph (least id, then
+line) stays.
 
 Paragraphs equal after normalisation are one class (a 64-bit hash). Null and empty texts have no paragraphs. Rows with a
 null id are not looked at. Repeated rows repeat their paragraphs, so the repeats are found like others.
@@ -80,20 +80,63 @@ def alike(threshold: float = THRESHOLD, share: float = EDIT_SHARE):
             both = len(np.intersect1d(s, t, assume_unique=True))
             if both >= threshold * (len(s) + len(t) - both) - 1e-9:
                 return True
-        most = int(share * max(len(a), len(b)))
-        if abs(len(a) - len(b)) > most or most == 0:
-            return False
-        # the same start and end need no comparison
-        n = min(len(a), len(b))
-        start = int(np.argmin(np.append(a[:n] == b[:n], False)))
-        a, b = a[start:], b[start:]
-        n = min(len(a), len(b))
-        end = int(np.argmin(np.append((a[::-1][:n] == b[::-1][:n]), False)))
-        return edit_distance(a[: len(a) - end].tolist(), b[: len(b) - end].tolist()) <= most
+        return few_edits(a, b, share)
 
     return similar
 
 
+def few_edits(a: np.ndarray, b: np.ndarray, share: float = EDIT_SHARE) -> bool:
+    most = int(share * max(len(a), len(b)))
+    if abs(len(a) - len(b)) > most or most == 0:
+        return False
+    # the same start and end need no comparison
+    n = min(len(a), len(b))
+    start = int(np.argmin(np.append(a[:n] == b[:n], False)))
+    a, b = a[start:], b[start:]
+    n = min(len(a), len(b))
+    end = int(np.argmin(np.append((a[::-1][:n] == b[::-1][:n]), False)))
+    a, b = a[: len(a) - end], b[: len(b) - end]
+    # each edit takes at most one word from the words that both have
+    if len(np.intersect1d(occurrences(a), occurrences(b), assume_unique=True)) < max(len(a), len(b)) - most:
+        return False
+    return edit_distance(a.tolist(), b.tolist()) <= most
+
+
+def occurrences(words: np.ndarray) -> np.ndarray:
+    """Each word mixed with its number among its equals, so repeats are elements of their own."""
+    ordered = np.sort(words)
+    new = np.append(True, ordered[1:] != ordered[:-1])[: len(ordered)]
+    place = np.arange(len(ordered))
+    nth = place - np.maximum.accumulate(np.where(new, place, 0))
+    return common.mix(ordered + nth.astype(np.uint64) * _FOLD)
+
+
+def widened(share: float = EDIT_SHARE):
+    """Links by edits in a block: exact bounds of length and common words leave few pairs, and joined ones are not tested again."""
+
+    def widen(data: list[bytes], asked: np.ndarray, head: np.ndarray) -> np.ndarray:
+        words = [np.frombuffer(x, dtype=np.uint64) for x in data]
+        size = np.array([len(x) for x in words])
+        longest = np.maximum(size[:, None], size[None, :])
+        most = (share * longest).astype(np.int64)
+        asked = asked & (most > 0) & (np.abs(size[:, None] - size[None, :]) <= most)
+        link = np.zeros_like(asked)
+        at = np.flatnonzero(asked.any(axis=1))
+        if not len(at):
+            return link
+        square = np.ix_(at, at)
+        close = links.overlaps([occurrences(words[i]) for i in at]) >= (longest - most)[square] - 0.5
+        head = head.copy()
+        for i, j in np.argwhere(np.triu(asked[square] & close)):
+            a, b = at[i], at[j]
+            if head[a] != head[b] and few_edits(words[a], words[b], share):
+                link[a, b] = link[b, a] = True
+                head[head == head[b]] = head[a]
+        return link
+
+    return widen
+
+
 def band_keys(texts: list[bytes]) -> np.ndarray:
     """Bucket keys of each text; every text must have a word."""
     words, first = common.word_hashes(texts)
@@ -167,7 +210,7 @@ def _payload(docs: DataFrame, rows: DataFrame, id_col: str, text_col: str):
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """(id, para, n_words, first_id, first_para, copies, removed) of each paragraph that repeats, exactly or nearly."""
     rows = common.settle(sketches(docs, id_col, text_col))
-    found = links.linked(rows.select("cid", "bands"), _payload(docs, rows, id_col, text_col), alike(threshold), shingles_of, threshold)
+    found = links.linked(rows.select("cid", "bands"), _payload(docs, rows, id_col, text_col), alike(threshold), shingles_of, threshold, widened())
     slim = rows.select("id", "para", "n_words", "cid")
     # per class first, so a paragraph with many copies is combined before it is shuffled
     classes = slim.groupBy("cid").agg(F.min(F.struct("id", "para")).alias("first"), F.count("*").alias("n"))

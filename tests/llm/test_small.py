@@ -472,6 +472,33 @@ def test_paragraphs_equal_brute_force(spark):
     assert paradedup.find(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("others", [4, 150])
+def test_edits_link_members_of_a_bucket_whose_head_is_unlike(spark, others):
+    # these draws put both in buckets, small ones and one of over links.SMALL members, whose heads are other paragraphs
+    rng = random.Random(15)
+    words = lambda k: [f"w{rng.randrange(10**6)}" for _ in range(k)]
+    a = words(40)
+    b = list(a)
+    b[5], b[37] = "changed", "altered"
+    texts = [" ".join(x) for x in (a, b, *(a[:34] + words(12) for _ in range(others)))]
+    assert overlap(Counter(set(bag(texts[0]))), Counter(set(bag(texts[1])))) < 0.8
+    rows = paradedup.find(docs_of(spark, list(enumerate(texts)))).collect()
+    assert {(r["doc_id"], r["first_id"], r["copies"], r["removed"]) for r in rows} == {(0, 0, 2, False), (1, 0, 2, True)}
+
+
+def test_few_edits_equals_distance():
+    rng = random.Random(2)
+    for _ in range(400):
+        a = [rng.randrange(6) for _ in range(rng.randrange(1, 40))]
+        b = list(a)
+        for _ in range(rng.randrange(0, 6)):
+            p = rng.randrange(len(b) + 1)
+            b[p : p + rng.randrange(2)] = [rng.randrange(6)] * rng.randrange(2)
+        most = int(0.1 * max(len(a), len(b)))
+        x, y = (np.array(z, dtype=np.uint64) for z in (a, b))
+        assert paradedup.few_edits(x, y) == (most > 0 and paradedup.edit_distance(a, b) <= most)
+
+
 def test_repeated_rows_and_marked_copies(spark):
     line = "alpha beta gamma delta epsilon zeta"
     rows = paradedup.find(docs_of(spark, [(1, line), (2, f"x\n{line.upper()}!"), (3, "short one"), (4, None)])).collect()
