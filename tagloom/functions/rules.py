@@ -98,7 +98,11 @@ def classify(items: DataFrame, text_col: str = "ad_text", reasons: bool = True)
     text = F.coalesce(F.col(text_col), F.lit(""))
     counted = items.withColumns({f"_n_{k}": count(text, v) for k, v in ISSUE_WORDS.items()})
     groups = {"money": (MONEY_ASK,), "civic": (VOTING_INFO, CIVIC_ACTION), "offer": (NON_POLITICAL_OFFER,), "political": (POLITICAL,)}
-    counted = counted.withColumns({f"_h_{k}": hits(text, *v) for k, v in groups.items()})
+    # the first group with a hit decides, so later ones are searched only where all before are empty
+    before = F.lit(True)
+    for k, v in groups.items():
+        counted = counted.withColumn(f"_h_{k}", F.when(before, hits(text, *v)).otherwise(F.array().cast("array<string>")))
+        before = before & (F.size(f"_h_{k}") == 0)
     has = {k: F.size(f"_h_{k}") > 0 for k in groups}
     n = {k: F.col(f"_n_{k}") for k in ISSUE_PRIORITY}
     top = F.greatest(*n.values())

@@ -131,6 +131,11 @@ def rules_reason(spark, d):
     return rules.classify(rows, "phrases").select("ad_id", "goal", "issue", "confidence", "reason")
 
 
+def rules_reason_text(spark, d):
+    """Reasons over whole texts. ``rules_reason`` is the form that SQL checks, over the phrases alone."""
+    return rules.classify(syn.items(spark, d).select("ad_id", "ad_text")).select("ad_id", "goal", "issue", "confidence", "reason")
+
+
 def rules_hits(spark, d):
     named = {"money": rules.MONEY_ASK, "voting": rules.VOTING_INFO, "civic": rules.CIVIC_ACTION, "political": rules.POLITICAL, "offer": rules.NON_POLITICAL_OFFER, **rules.ISSUE_WORDS}
     return syn.items(spark, d).select("ad_id", *(rules.count(F.col("ad_text"), x).cast("long").alias(k) for k, x in named.items()))
@@ -145,6 +150,12 @@ def rules_predictions(spark, d):
     return rows.select("ad_id", "goal", "issue", "confidence", "rationale", "prompt_version", "model", "error", "seq")
 
 
+def rules_predictions_text(spark, d):
+    """Prediction records over whole texts."""
+    rows = rules.predictions(syn.items(spark, d).select("ad_id", "ad_text", "seq"))
+    return rows.select("ad_id", "goal", "issue", "confidence", "rationale", "prompt_version", "model", "error", "seq")
+
+
 def word_sets(spark, d):
     return syn.items(spark, d).select("ad_id", F.array_join(F.sort_array(text.word_set(F.col("ad_text"))), " ").alias("words"))
 
@@ -205,6 +216,12 @@ def blind_assign(spark, d):
     return labeling.assign(rows, 40, 2026, exact=False).select("ad_id", "label_mode", "suggested_goal", "suggested_issue")
 
 
+def blind_assign_text(spark, d):
+    """Suggestions from whole texts, with their reasons."""
+    rows = syn.items(spark, d).select("seq", "ad_id", "ad_text", F.lit("").alias("label_mode"), *(F.lit("").alias(c) for c in ("suggested_goal", "suggested_issue", "suggestion_reason")))
+    return labeling.assign(rows, 40, 2026, exact=False).select("ad_id", "label_mode", "suggested_goal", "suggested_issue", "suggestion_reason")
+
+
 def assist_counts(spark, d):
     return labeling.mode_counts(syn.items(spark, d))
 
@@ -215,7 +232,7 @@ def _workflow(spark, d):
     rows = syn.items(spark, d)
     assisted = F.col("label_mode") == "assisted"
     blank = F.lit("")
-    items = rows.select("seq", "ad_id", F.col("phrases").alias("ad_text"), "page_name", "gold_goal", "gold_issue", blank.alias("notes"), "label_mode", F.when(assisted, F.col("true_goal")).otherwise("").alias("suggested_goal"), F.when(assisted, F.col("true_issue")).otherwise("").alias("suggested_issue"), F.when(assisted, F.concat(F.lit("why "), i)).otherwise("").alias("suggestion_reason"), *(blank.alias(c) for c in ("source_url", "search_term", "paid_for", "started_running")))
+    items = rows.select("seq", "ad_id", "ad_text", "page_name", "gold_goal", "gold_issue", blank.alias("notes"), "label_mode", F.when(assisted, F.col("true_goal")).otherwise("").alias("suggested_goal"), F.when(assisted, F.col("true_issue")).otherwise("").alias("suggested_issue"), F.when(assisted, F.concat(F.lit("why "), i)).otherwise("").alias("suggestion_reason"), *(blank.alias(c) for c in ("source_url", "search_term", "paid_for", "started_running")))
     label = lambda c, names: F.when(draw("sl", i) % 8 == 0, "").when(draw(f"s{c}", i) % 6 == 0, syn.pick(names, draw(f"v{c}", i))).otherwise(F.col(f"true_{c}")).alias(f"gold_{c}")
     sheet = rows.select("seq", "ad_id", label("goal", syn.GOALS), label("issue", syn.ISSUES), F.concat(F.lit("note "), i).alias("notes"), F.when(assisted, F.when(draw("chk", i) % 3 == 0, "").otherwise(" Yes ")).otherwise("blind").alias("checked"))
     return items, sheet

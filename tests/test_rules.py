@@ -50,6 +50,40 @@ def test_prediction_records(spark):
     assert rows[0]["prompt_version"] == "rules-v1" and rows[0]["model"] == "keyword-baseline" and rows[0]["error"] is None
 
 
+def python_rules(t):
+    found = lambda *lexicons: [m.lower() for x in lexicons for m in re.findall(r"\b(?:" + "|".join(x) + r")\b", t, re.IGNORECASE)]
+    short = lambda h: ", ".join(f'"{x}"' for x in list(dict.fromkeys(h))[:3])
+    money, civic, offer, political = found(rules.MONEY_ASK), found(rules.VOTING_INFO, rules.CIVIC_ACTION), found(rules.NON_POLITICAL_OFFER), found(rules.POLITICAL)
+    goal = "fundraising" if money else "mobilization" if civic else "other" if offer else "persuasion"
+    why = f"money ask {short(money)} (rule 1)" if money else f"civic action {short(civic)} (rule 2)" if civic else f"product/lead-gen offer {short(offer)}" if offer else f"political, no ask {short(political)}" if political else "no ask found; default for political ads"
+    topics = {k: found(rules.ISSUE_WORDS[k]) for k in rules.ISSUE_PRIORITY}
+    top = max(map(len, topics.values()))
+    ties = [k for k, h in topics.items() if len(h) == top]
+    sure = bool(money or civic or offer or political) and top > 1 and len(ties) == 1
+    about = f"{ties[0]} {short(topics[ties[0]])}" + (f" (tie with {', '.join(ties[1:])})" if len(ties) > 1 else "") if top else "no topic keywords"
+    return goal, ties[0] if top else "other", "medium" if sure else "low", f"goal: {why}; issue: {about}"
+
+
+def test_queries_read_whole_texts(spark, tmp_path):
+    from tagloom.plans import queries
+    from tagloom.plans import synthetic as syn
+
+    ends = ["prices, rent and tariffs; Wages fell", "Donate now", "stream it now, use code X", "the sheriff and the police — crime", "register to vote", "café immigrants, asylum and deportation", "", None]
+    docs = [(i, None if e is None else "filler words \n" * 2000 + e, "s") for i, e in enumerate(ends * 6)]
+    spark.createDataFrame(docs, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = {r["ad_id"]: python_rules(r["ad_text"]) for r in syn.items(spark, str(tmp_path)).collect()}
+    from_phrases = {r["ad_id"]: python_rules(r["phrases"]) for r in syn.items(spark, str(tmp_path)).collect()}
+    assert sum(want[i] != from_phrases[i] for i in want) > 20
+    assert {r["ad_id"]: tuple(r[c] for c in ("goal", "issue", "confidence", "reason")) for r in queries.rules_reason_text(spark, str(tmp_path)).collect()} == want
+    assert {r["ad_id"]: tuple(r[c] for c in ("goal", "issue", "confidence", "rationale")) for r in queries.rules_predictions_text(spark, str(tmp_path)).collect()} == want
+    assigned = queries.blind_assign_text(spark, str(tmp_path)).collect()
+    assert sum(r["label_mode"] == "blind" for r in assigned) == 40
+    for r in assigned:
+        w = want[r["ad_id"]]
+        assert (r["suggested_goal"], r["suggested_issue"], r["suggestion_reason"]) == (("", "", "") if r["label_mode"] == "blind" else (w[0], w[1], w[3]))
+    assert {r["ad_id"]: r["ad_text"] for r in queries._workflow(spark, str(tmp_path))[0].collect()} == {r["ad_id"]: r["ad_text"] for r in syn.items(spark, str(tmp_path)).collect()}
+
+
 def test_plan_has_no_python(spark):
     df = rules.classify(spark.createDataFrame([("1", "x")], "ad_id string, ad_text string"))
     assert "Python" not in df._jdf.queryExecution().executedPlan().toString()
