@@ -130,6 +130,10 @@ def disagreements(gold: DataFrame, preds: DataFrame) -> DataFrame:
     return joined.where(~ok | (F.col("goal") != F.col("g")) | (F.col("issue") != F.col("i"))).select("ad_id", F.concat("g", slash, "i").alias("gold"), F.when(ok, F.concat("goal", slash, "issue")).otherwise(ERROR_LABEL).alias("model"), F.when(ok, F.col("confidence")).otherwise("").alias("confidence"), why.alias("rationale"))
 
 
+#: Items up to which their flags are broadcast to the draws of a bootstrap.
+BROADCAST_FLAGS = 500_000
+
+
 def bootstrap_exact(correct: list[bool], n_resamples: int = 2000, alpha: float = 0.05, seed: int = 0) -> tuple[float, float]:
     """Percentile interval with Python's generator over correctness in order of ad_id; for the small tables of a report."""
     n = len(correct)
@@ -156,12 +160,19 @@ def bootstrap_hashed(aligned: DataFrame, n_resamples: int = 200, alpha: float =
     """The interval with draws by hash, a different estimator: draw i of resample b takes the item at rank md5(seed:b:i) mod n.
 
     A resample's mean depends only on how many of its draws fall on right items, so items are ranked once and draws are
-    joined to ranks; all of it is distributed.
+    joined to ranks; all of it is distributed. Groups of one size have the same draws, which are hashed once for all of them.
     """
-    ranked = aligned.select("run", "field", "ad_id", (F.col("gold") == F.col("pred")).cast("int").alias("ok")).withColumn("rank", F.row_number().over(Window.partitionBy("run", "field").orderBy("ad_id")) - 1)
-    sizes = ranked.groupBy("run", "field").agg(F.count("*").alias("n"))
-    draws = sizes.select("run", "field", "n", F.explode(F.sequence(F.lit(0), F.lit(n_resamples - 1))).alias("b")).select("run", "field", "n", "b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("i"))
+    keys = Window.partitionBy("run", "field")
+    ranked = aligned.select("run", "field", "ad_id", (F.col("gold") == F.col("pred")).cast("int").alias("ok")).withColumn("rank", F.row_number().over(keys.orderBy("ad_id")) - 1).withColumn("n", F.count("*").over(keys))
+    sizes = ranked.select("n").distinct()
+    parts = int(aligned.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    resamples = sizes.select("n", F.explode(F.sequence(F.lit(0), F.lit(n_resamples - 1))).alias("b")).repartition(parts, "n", "b")
+    draws = resamples.select("n", "b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("i"))
     hashed = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("b").cast("string"), F.col("i").cast("string"))), 1, 8), 16, 10).cast("long")
-    means = draws.withColumn("rank", (hashed % F.col("n")).cast("int")).join(ranked, ["run", "field", "rank"]).groupBy("run", "field", "b").agg(F.avg("ok").alias("mean"))
+    flags = ranked.groupBy("n", "rank").agg(F.collect_list(F.struct("run", "field", "ok")).alias("flags"))
+    # draws look small to the planner, so it is told to hold the flags: in every executor if they are few, else by shuffles
+    flags = F.broadcast(flags) if flags.count() <= BROADCAST_FLAGS else flags.hint("shuffle_merge")
+    drawn = draws.select("n", "b", (hashed % F.col("n")).cast("int").alias("rank")).join(flags, ["n", "rank"]).select("b", F.explode("flags").alias("f"))
+    means = drawn.groupBy("f.run", "f.field", "b").agg(F.avg("f.ok").alias("mean"))
     ordered = means.groupBy("run", "field").agg(F.sort_array(F.collect_list("mean")).alias("m"))
     return ordered.select("run", "field", F.element_at("m", int(alpha / 2 * n_resamples) + 1).alias("ci_lo"), F.element_at("m", min(n_resamples - 1, int((1 - alpha / 2) * n_resamples)) + 1).alias("ci_hi"))

@@ -58,6 +58,25 @@ def test_bootstrap(spark):
     assert ev.bootstrap_exact([]) == (0.0, 0.0)
 
 
+def test_bootstrap_query_takes_2000_resamples(spark, tmp_path):
+    import hashlib
+
+    from tagloom.plans import queries
+
+    spark.createDataFrame([(i, f"text {i}", "s") for i in range(30)], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    flags = {}
+    for r in sorted(queries.eval_align(spark, str(tmp_path)).collect(), key=lambda r: r["ad_id"]):
+        flags.setdefault((r["run"], r["field"]), []).append(r["gold"] == r["pred"])
+    n = len(next(iter(flags.values())))
+    places = [[int(hashlib.md5(f"0:{b}:{i}".encode()).hexdigest()[:8], 16) % n for i in range(n)] for b in range(2000)]
+    want = {}
+    for key, own in flags.items():
+        means = sorted(sum(own[p] for p in places[b]) / n for b in range(2000))
+        want[key] = (round(means[50], 9), round(means[1950], 9))
+    got = {(r["run"], r["field"]): (r["ci_lo"], r["ci_hi"]) for r in queries.bootstrap_ci_2000(spark, str(tmp_path)).collect()}
+    assert len(got) == 4 and got == want
+
+
 def test_mcnemar(spark):
     both = aligned(spark, "a" * 6, "aaaaab", run="a").union(aligned(spark, "a" * 6, "bbbbaa", run="b"))
     r = ev.mcnemar(both, "a", "b").first()
