@@ -7,6 +7,10 @@ message from which most level-1 lines come (ties: the latest) is the parent; dee
 line is linked. Threads are the trees of this relation; a thread's messages stand together, by turn, so a parent
 always precedes its replies, and threads stand by their first turn.
 
+A client may wrap a quote anew, so that no line is left whole. Contiguous quoted lines of one level, joined, are a passage; own
+lines between blank or quoted ones, joined, are a paragraph. A passage none of whose lines is linked is looked up among
+earlier paragraphs and lines and votes with the number of its lines. A part of a paragraph, broken anew, is not found.
+
 Null text is empty. Rows with null conversation or turn are kept and linked with nothing. Rows that share conversation
 and turn are one message of several texts: each row stays, and all get the same parent. Blank quoted lines link with
 nothing. Quote lines are taken out of the text; blank lines at its ends too.
@@ -42,15 +46,43 @@ def parsed(messages: DataFrame) -> DataFrame:
     return messages.withColumn("lines", lines).withColumn("body", F.regexp_replace(F.regexp_replace(body, r"^([\x20\x09]*\r?\n)+", ""), r"(\r?\n[\x20\x09]*)+$", ""))
 
 
+def passages(lines):
+    """(level, hash, hashes, n) of the passages of a message's quoted lines: their joined text, their lines' hashes, and their number."""
+    quoted = F.transform(lines, lambda x: F.struct(F.when(x["blank"], -1).otherwise(x["level"]).alias("level"), x["hash"].alias("hash"), normal(x["raw"]).alias("text")))
+    before = lambda i: F.when(i > 0, F.element_at(quoted, i)["level"])
+    # a passage starts where the level changes; the lines from one start to the next are one slice
+    starts = F.filter(F.transform(quoted, lambda x, i: F.when(~x["level"].eqNullSafe(before(i)), i + 1)), lambda p: p.isNotNull())
+    ends = F.concat(F.slice(starts, F.lit(2), F.greatest(F.size(starts) - 1, F.lit(0))), F.array(F.size(quoted) + 1))
+    parts = F.transform(F.arrays_zip(starts.alias("s"), ends.alias("e")), lambda z: F.slice(quoted, z["s"], z["e"] - z["s"]))
+    return F.transform(parts, lambda p: F.struct(p[0]["level"].alias("level"), F.xxhash64(F.array_join(F.transform(p, lambda x: x["text"]), " ")).alias("hash"), F.transform(p, lambda x: x["hash"]).alias("hashes"), F.size(p).cast("long").alias("n")))
+
+
 def origins(read: DataFrame) -> DataFrame:
-    """(conv, turn, parent, n_linked) of messages with a linked quote.
+    """(conv, turn, parent, n_linked) of messages with a linked quote: by lines, and by passages that no line links."""
+    keyed = read.where(F.col("conv").isNotNull() & F.col("turn").isNotNull())
+    lines = keyed.select("conv", "turn", F.explode(F.filter("lines", lambda x: ~x["blank"])).alias("x")).select("conv", "turn", F.col("x.hash").alias("hash"), F.col("x.level").alias("level"), F.lit(1).cast("long").alias("n"))
+    by_line = common.settle(found_in(lines))
+    # rows that share conversation and turn are one message, so a line linked in one is linked in all
+    linked = by_line.groupBy("conv", "turn").agg(F.collect_set("hash").alias("linked"))
+    parts = lambda rows: rows.select("conv", "turn", F.explode(passages(F.col("lines"))).alias("x")).select("conv", "turn", "x.*")
+    asked = parts(keyed.where(F.exists("lines", lambda x: (x["level"] > 0) & ~x["blank"]))).where("level > 0").join(linked, ["conv", "turn"], "left")
+    asked = common.settle(asked.where(~F.coalesce(F.arrays_overlap("hashes", "linked"), F.lit(False))).select("conv", "turn", "hash", "level", "n"))
+    found = by_line
+    if not asked.isEmpty():
+        written = parts(keyed).where("level = 0 and n > 1").select("conv", "turn", "hash", "level", "n")
+        found = by_line.unionByName(found_in(written.unionByName(lines.where("level = 0")).unionByName(asked)))
+    votes = found.groupBy("conv", "turn", "origin").agg(F.sum(F.when(F.col("level") == 1, F.col("n")).otherwise(0)).alias("direct"), F.sum("n").alias("n"))
+    best = F.max(F.struct("direct", "n", "origin"))
+    return votes.groupBy("conv", "turn").agg(best.alias("b"), F.sum("n").alias("n_linked")).select("conv", "turn", F.col("b.origin").alias("parent"), "n_linked")
+
+
+def found_in(lines: DataFrame) -> DataFrame:
+    """(conv, turn, hash, level, n, origin) of quoted rows of (conv, turn, hash, level, n) that an earlier turn has at level 0.
 
     For each conversation and line hash, writers and quoters are put in order of turn and the last writer before each
     quoter is found by a running maximum, in groups of TURNS turns with the carry from earlier groups; no pairs are made.
     """
-    keyed = read.where(F.col("conv").isNotNull() & F.col("turn").isNotNull())
-    lines = keyed.select("conv", "turn", F.explode(F.filter("lines", lambda x: ~x["blank"])).alias("x")).select("conv", "turn", F.col("x.hash").alias("hash"), F.col("x.level").alias("level"))
-    quoted = lines.where("level > 0").groupBy("conv", "turn", "hash").agg(F.min("level").alias("level"), F.count("*").alias("n"))
+    quoted = lines.where("level > 0").groupBy("conv", "turn", "hash").agg(F.min("level").alias("level"), F.sum("n").alias("n"))
     # only lines that someone quotes are looked up
     asked = quoted.select("conv", "hash").distinct()
     written = lines.where("level = 0").join(asked, ["conv", "hash"], "left_semi").groupBy("conv", "turn", "hash").agg(F.lit(0).alias("level"), F.lit(0).cast("long").alias("n"))
@@ -58,10 +90,7 @@ def origins(read: DataFrame) -> DataFrame:
     own = F.when(F.col("level") == 0, F.col("turn"))
     carried = both.groupBy("conv", "hash", "group").agg(F.max(own).alias("last")).withColumn("carry", F.max("last").over(Window.partitionBy("conv", "hash").orderBy("group").rowsBetween(Window.unboundedPreceding, -1))).drop("last")
     run = Window.partitionBy("conv", "hash", "group").orderBy("turn").rangeBetween(Window.unboundedPreceding, -1)
-    found = both.withColumn("inner", F.max(own).over(run)).join(carried, ["conv", "hash", "group"]).where("level > 0").withColumn("origin", F.coalesce("inner", "carry")).where("origin is not null")
-    votes = found.groupBy("conv", "turn", "origin").agg(F.sum(F.when(F.col("level") == 1, F.col("n")).otherwise(0)).alias("direct"), F.sum("n").alias("n"))
-    best = F.max(F.struct("direct", "n", "origin"))
-    return votes.groupBy("conv", "turn").agg(best.alias("b"), F.sum("n").alias("n_linked")).select("conv", "turn", F.col("b.origin").alias("parent"), "n_linked")
+    return both.withColumn("inner", F.max(own).over(run)).join(carried, ["conv", "hash", "group"]).where("level > 0").withColumn("origin", F.coalesce("inner", "carry")).where("origin is not null").select("conv", "turn", "hash", "level", "n", "origin")
 
 
 def rooted(links: DataFrame) -> DataFrame:

@@ -325,6 +325,13 @@ def test_pivot_recall_at_the_threshold_holds_with_many_pivots():
         assert np.mean([len(np.intersect1d(s, t)) > 0 for s, t in zip(a, b, strict=True)]) >= least
 
 
+def test_quotes_that_are_wrapped_anew(spark):
+    long_ = "The committee will meet on Tuesday to discuss the budget, and all members are asked to bring figures."
+    rows = [(1, 0, "user", f"Hello,\n\n{long_}\n\nBye"), (1, 1, "user", "Something else"), (1, 2, "user", "> The committee will meet on Tuesday to\n> discuss the budget, and all members\n> are asked to bring figures.\n\nI agree"), (1, 3, "user", f"two lines\nwritten here\n>> {long_}\nnow"), (1, 4, "user", "> two lines written here\n>\n> no such text"), (2, 0, "user", "> two lines written here")]
+    got = {(r["conv_id"], r["turn"]): (r["parent_turn"], r["n_linked"]) for r in quotes.link(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert got == {(1, 0): (None, 0), (1, 1): (None, 0), (1, 2): (0, 3), (1, 3): (0, 1), (1, 4): (3, 1), (2, 0): (None, 0)}
+
+
 # --- components
 
 
