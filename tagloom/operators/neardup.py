@@ -8,24 +8,15 @@ neighbours are decided and whose rank on their page is below what the cap leaves
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import word_set
+from ..lineage import settle
 
 THRESHOLD = (3, 4)  # fixed value: 0.75 as a fraction, compared in integers
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Run once and cut the lineage in the cluster's checkpoint folder."""
-    sc, conf = df.sparkSession.sparkContext, df.sparkSession.conf
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tagloom-"))
-    return df.checkpoint(eager=True)
-
-
 def sets_of(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, key, words, n): word sets, sorted; an empty set is a set of one empty word, so empty sets equal each other."""
     words = F.sort_array(word_set(F.coalesce(F.col(text_col), F.lit(""))))
