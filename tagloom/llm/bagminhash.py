@@ -11,8 +11,9 @@ depend on its length.
 BANDS bands of ROWS registers are the buckets; a pair of similarity 0.8 meets with probability 1 - (1 - 0.8^5)^20 = 0.9997.
 Links are verified with the exact overlap of the bags, 0.8 or more.
 
-Texts that are equal after normalisation are one class (a 64-bit hash). Null and empty texts, and texts without a letter
-or digit, are grouped with nothing. Rows with a null id take part; a group of only such rows has a null component.
+Texts that are equal after normalisation are one class (a 128-bit hash). Null and empty texts, and texts without a letter
+or digit, are grouped with nothing. Of a group the row of least id stays, rows with a null id last; rows that share an id are
+told apart by their texts, and rows that repeat both are one. A group of only null ids has a null component.
 """
 
 from __future__ import annotations
@@ -32,8 +33,8 @@ ROWS = 5
 SIGNATURE = BANDS * ROWS
 #: Points are drawn up to the time at which all registers are filled with probability 1 - exp(-MARGIN); if not, up to twice that.
 MARGIN = 6.0
-#: Removed or repeated ids up to which they are broadcast, with 9 bytes each, when documents are filtered.
-BROADCAST_IDS = 1_000_000
+#: Rows (removed or wanted documents) up to which their keys are broadcast, with at most 40 bytes each.
+BROADCAST_ROWS = 1_000_000
 
 _SPACED = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 _NEXT, _PLACE, _STRIP, _OCCURRENCE, _BAND = (np.uint64(x) for x in (0x9FB21C651E98DF25, 0xA24BAED4963EE407, 0xD1342543DE82EF95, 0xC6BC279692B5CC83, 0xDA942042E4DD58B5))
@@ -43,8 +44,9 @@ def normal(text: str) -> bytes:
     return b" ".join(text.lower().encode("utf-8", "replace").translate(_SPACED).split())
 
 
-def identity(text: bytes) -> int:
-    return int.from_bytes(xxhash.xxh3_64_digest(text), "little", signed=True)
+def identity(text: bytes) -> tuple[int, int]:
+    digest = xxhash.xxh3_128_digest(text)
+    return int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True)
 
 
 def bags(texts: list[bytes], width: int = WIDTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -111,28 +113,27 @@ def band_keys(registers: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np
     return key
 
 
-def _sketch(texts: list[str]) -> tuple[list[int | None], list[list[int] | None]]:
-    ids: list[int | None] = []
-    keys: list[list[int] | None] = []
+def _sketch(texts: list[str]) -> tuple[pa.Array, pa.Array, pa.Array]:
+    """Both halves of the hash, and the bands, of each text; null where there is no word."""
     clean = [normal(t) for t in texts]
+    keys = np.zeros((len(clean), BANDS), dtype=np.uint64)
     for start, end in common.sliced(clean):
-        part = clean[start:end]
-        h, owner, weight = bags(part)
+        h, owner, weight = bags(clean[start:end])
         with np.errstate(over="ignore"):
-            own = common.as_long(band_keys(signatures(h, owner, weight, len(part)))).tolist()
-        ids += [identity(t) if t else None for t in part]
-        keys += [k if t else None for k, t in zip(own, part, strict=True)]
-    return ids, keys
+            keys[start:end] = band_keys(signatures(h, owner, weight, end - start))
+    ids = [identity(t) if t else (None, None) for t in clean]
+    bands = pa.ListArray.from_arrays(pa.array(np.arange(len(clean) + 1) * BANDS, pa.int32()), pa.array(common.as_long(keys).ravel()), mask=pa.array([not t for t in clean], pa.bool_()))
+    return pa.array([x for x, _ in ids], pa.int64()), pa.array([x for _, x in ids], pa.int64()), bands
 
 
 def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, cid, bands) of each row; cid and bands are null where there is no word."""
+    """(id, k, raw, check, bands) of each row: k is its key; the others are null where there is no word."""
+    keyed = docs.select(F.col(id_col).alias("id"), common.row_key(id_col, text_col).alias("k"), F.col(text_col).alias("text"))
 
     def scan(batch: pa.RecordBatch):
-        ids, keys = _sketch(list(common.texts_of(batch, text_col)))
-        yield pa.RecordBatch.from_arrays([batch.column(id_col), pa.array(ids, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["id", "cid", "bands"])
+        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("k"), *_sketch(list(common.texts_of(batch)))], names=["id", "k", "raw", "check", "bands"])
 
-    return common.map_batches(docs, [id_col, text_col], scan, f"id {docs.schema[id_col].dataType.simpleString()}, cid bigint, bands array<bigint>")
+    return common.map_batches(keyed, ["id", "k", "text"], scan, f"id {docs.schema[id_col].dataType.simpleString()}, k bigint, raw bigint, check bigint, bands array<bigint>")
 
 
 def unpacked(data: bytes) -> np.ndarray:
@@ -142,51 +143,57 @@ def unpacked(data: bytes) -> np.ndarray:
 def _payload(docs: DataFrame, rows: DataFrame, id_col: str, text_col: str):
     def of(wanted: DataFrame) -> DataFrame:
         # combined in the tasks before the join, so a large class of copies is not one group of rows
-        sources = rows.groupBy("cid").agg(F.min("id").alias("source")).join(wanted, "cid").select(F.col("cid").alias("want"), "source")
-        texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(sources, F.col("id").eqNullSafe(F.col("source")))
+        sources = rows.groupBy("cid", "raw", "check").agg(F.min("k").alias("k")).join(wanted, "cid").select(F.col("k").alias("source"), F.col("cid").alias("want"), "raw", "check")
+        sources = common.settle(sources)
+        # few keys are sent to the texts, so texts that nobody wants do not travel
+        near = F.broadcast(sources) if common.few(sources, BROADCAST_ROWS) else sources
+        texts = docs.select(common.row_key(id_col, text_col).alias("k"), F.col(text_col).alias("text")).join(near, F.col("k") == F.col("source"))
 
         def scan(batch: pa.RecordBatch):
             clean = [normal(t) for t in common.texts_of(batch)]
-            want = batch.column("want").to_pylist()
+            want, raw, check = (batch.column(c).to_pylist() for c in ("want", "raw", "check"))
             for start, end in common.sliced(clean):
-                # an id may be repeated or null, so the text tells which row was meant
-                right = [i for i in range(start, end) if clean[i] and identity(clean[i]) == want[i]]
+                right = [i for i in range(start, end) if clean[i] and identity(clean[i]) == (raw[i], check[i])]
                 if right:
                     yield pa.RecordBatch.from_arrays([pa.array([want[i] for i in right], pa.int64()), pa.array(elements([clean[i] for i in right]), pa.binary())], names=["cid", "data"])
 
-        return common.map_batches(texts, ["want", "text"], scan, "cid bigint, data binary").dropDuplicates(["cid"])
+        return common.map_batches(texts, ["want", "raw", "check", "text"], scan, "cid bigint, data binary").dropDuplicates(["cid"])
 
     return of
 
 
-def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """(id, class_id, component_id, kept) of each row: least ids of equal texts and of linked texts; kept where id = component_id."""
+def _decided(docs: DataFrame, id_col: str, text_col: str, threshold: float) -> DataFrame:
+    """(id, k, class_id, component_id, kept) of each row."""
     rows = common.settle(sketches(docs, id_col, text_col))
+    rows = common.apart(rows)
     solid = rows.where("cid is not null")
     # copies share buckets, so one row of each class is enough
     reps = solid.select("cid", "bands").dropDuplicates(["cid"])
     found = links.linked(reps, _payload(docs, solid, id_col, text_col), links.set_similar(threshold), unpacked, threshold)
-    classes = solid.groupBy("cid").agg(F.min("id").alias("class_id"))
+    classes = solid.groupBy("cid").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "k")).alias("first"))
     classes = classes.join(found.withColumnRenamed("id", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
-    least = classes.groupBy("component").agg(F.min("class_id").alias("component_id"))
-    classes = classes.join(least, "component").select("cid", "class_id", "component_id")
-    out = rows.select("id", "cid").join(classes, "cid", "left")
+    least = classes.groupBy("component").agg(F.min("first").alias("whole"))
+    classes = classes.join(least, "component").select("cid", F.col("first.id").alias("class_id"), F.col("whole.id").alias("component_id"), F.col("whole.k").alias("stays"))
+    out = rows.select("id", "k", "cid").join(classes, "cid", "left")
     alone = F.col("cid").isNull()
-    component = F.when(alone, F.col("id")).otherwise(F.col("component_id"))
-    return out.select(F.col("id").alias(id_col), F.when(alone, F.col("id")).otherwise(F.col("class_id")).alias("class_id"), component.alias("component_id"), (F.col("id").isNull() | (F.col("id") == component)).alias("kept"))
+    own = lambda c: F.when(alone, F.col("id")).otherwise(F.col(c)).alias(c)
+    return out.select("id", "k", own("class_id"), own("component_id"), (alone | (F.col("k") == F.col("stays"))).alias("kept"))
+
 
+def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """(id, class_id, component_id, kept) of each row: least ids of equal texts and of linked texts; kept in the row that stays."""
+    return _decided(docs, id_col, text_col, threshold).select(F.col("id").alias(id_col), "class_id", "component_id", "kept")
 
-def keep(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each group; all columns stay.
 
-    Rows with a null id stay. Rows that repeat id and text count once; rows that share an id but not a text go only if none of them is kept.
-    """
-    decided = common.settle(groups(docs, id_col, text_col).groupBy(F.col(id_col).alias("_id")).agg(F.max("kept").alias("_kept"), F.count("*").alias("_rows")), slim=True)
+def keep(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """One document of each group; all columns stay. Rows without a word stay, and rows that repeat id and text count once."""
+    decided = common.settle(_decided(docs, id_col, text_col, threshold).groupBy(F.col("k").alias("_k")).agg(F.max("kept").alias("_kept"), F.count("*").alias("_rows")))
     common.release(docs.sparkSession)
-    gone = decided.where("_id is not null and (not _kept or _rows > 1)").select("_id", "_kept")
-    # ids to look up are a small part of the rows: broadcast if they are few, else joined by a shuffle
-    few = gone.count() <= BROADCAST_IDS
-    joined = docs.join(F.broadcast(gone) if few else gone, F.col(id_col) == F.col("_id"), "left")
-    once = joined.where("_id is null").select(*docs.columns)
-    repeated = joined.where("_kept").select(*docs.columns).dropDuplicates([id_col, text_col])
+    gone = decided.where("not _kept or _rows > 1").select("_k", "_kept")
+    # keys to look up are a small part of the rows: broadcast if they are few, else joined by a shuffle
+    near = F.broadcast(gone) if common.few(gone, BROADCAST_ROWS) else gone
+    # columns are taken by table, so docs may have some of the same names
+    joined, own = docs.join(near, common.row_key(id_col, text_col) == near["_k"], "left"), [docs[c] for c in docs.columns]
+    once = joined.where(near["_k"].isNull()).select(*own)
+    repeated = joined.where(near["_kept"]).select(*own).dropDuplicates([id_col, text_col])
     return once.unionByName(repeated)

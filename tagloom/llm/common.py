@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import gc
-import tempfile
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -11,8 +10,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of one Arrow batch: with texts of 100 KB a batch stays near 100 MB.
+from ..lineage import settle  # noqa: F401  the operators' modules use it from here
+
+#: Rows and bytes of one Arrow batch; one longer row is taken alone.
 BATCH_ROWS = 1000
+BATCH_BYTES = 4 << 20
 #: UTF-8 bytes that the vectorised code takes at once; one longer text is taken alone.
 SLICE_BYTES = 1 << 20
 
@@ -21,32 +23,41 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def settle(df: DataFrame, slim: bool = False) -> DataFrame:
-    """Run ``df`` once and cut its lineage with a reliable checkpoint.
+def release(spark: SparkSession) -> None:
+    """Let the driver find out which shuffles and checkpoints nothing refers to any more.
 
-    The folder is the one the cluster names in spark.checkpoint.dir; only where that is unset
-    (tests on one machine) is an own folder used. ``slim`` rows are ids and numbers, far smaller than texts, so an eighth of the
-    shuffle partitions holds them: a checkpoint makes a file, and on a local file system starts a process, for each partition.
+    Their files go before the next step; those of checkpoints only if spark.cleaner.referenceTracking.cleanCheckpoints is set.
     """
-    if slim:
-        df = df.coalesce(max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 8))
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tagloom-"))
-    return df.checkpoint(eager=True)
-
-
-def release(spark: SparkSession) -> None:
-    """Let the driver find out which shuffles and checkpoints nothing refers to any more, so their files go before the next step."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Arrow batches of few rows, since texts can be long."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > BATCH_ROWS:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    """Arrow batches bounded in rows and in bytes, since texts can be long."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
+def few(df: DataFrame, most: int) -> bool:
+    """Whether ``df``, which is settled, has at most ``most`` rows and so may be broadcast."""
+    return df.count() <= most
+
+
+def row_key(id_col: str, text_col: str):
+    """A number for a row's id and text, the same whenever the row is read; rows that repeat both share it."""
+    return F.xxhash64(F.col(id_col).cast("string"), F.col(text_col))
+
+
+def apart(rows: DataFrame) -> DataFrame:
+    """Adds ``cid`` to rows with ``raw`` and ``check``, the halves of a text's 128-bit hash; null where they are.
+
+    It is ``raw`` unless two texts share that half and differ in the other: then those but the first get a number of their own.
+    """
+    clash = settle(rows.where("raw is not null").groupBy("raw").agg(F.min("check").alias("lowest"), F.max("check").alias("highest")).where("lowest < highest").select(F.col("raw").alias("clash"), "lowest"))
+    if clash.isEmpty():
+        return rows.withColumn("cid", F.col("raw"))
+    own = F.when(F.col("check") > F.col("lowest"), F.xxhash64("raw", "check")).otherwise(F.col("raw"))
+    return settle(rows.join(clash, F.col("raw") == F.col("clash"), "left").withColumn("cid", own).drop("clash", "lowest"))
 
 
 def map_batches(df: DataFrame, columns: list[str], fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
@@ -61,6 +72,23 @@ def map_batches(df: DataFrame, columns: list[str], fn: Callable[[pa.RecordBatch]
     return df.select(*columns).mapInArrow(run, schema)
 
 
+def together(fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]) -> Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]:
+    """``fn`` with its small batches joined to larger ones."""
+
+    def run(batch):
+        held, size = [], 0
+        for part in fn(batch):
+            held.append(part)
+            size += part.nbytes
+            if size > BATCH_BYTES:
+                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                held, size = [], 0
+        if held:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+    return run
+
+
 def runs(batches, keys: tuple[str, ...], values: tuple[str, ...]) -> Iterator[tuple[tuple, list[tuple]]]:
     """Consecutive rows with equal keys, as (keys, rows of values); only one run is held."""
     current, group = None, []
@@ -127,6 +155,11 @@ _POWERS = _powers(256)
 
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words of already lower-cased UTF-8 texts, and the first word's index of each text (one more at the end)."""
+    return word_lines(texts)[:2]
+
+
+def word_lines(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As ``word_hashes``, and the number of each word's line, counted over all texts."""
     joined = np.frombuffer(b"\n".join(texts) + b"\n", dtype=np.uint8)
     is_word = WORD_BYTE[joined]
     edge = np.diff(is_word.astype(np.int8), prepend=np.int8(0))
@@ -135,7 +168,7 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     text_ends = np.cumsum([len(t) + 1 for t in texts])
     first = np.concatenate(([0], np.searchsorted(starts, text_ends)))
     if not len(starts):
-        return np.empty(0, dtype=np.uint64), first
+        return np.empty(0, dtype=np.uint64), first, np.empty(0, dtype=np.int64)
     lengths = ends - starts
     inside = np.flatnonzero(is_word)
     offset = np.cumsum(lengths) - lengths
@@ -143,7 +176,7 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     with np.errstate(over="ignore"):
         scale = _POWERS[place & 255] + (place >> 8).astype(np.uint64)
         hashes = np.add.reduceat(_BYTE_CODE[joined[inside]] * scale, offset)
-    return mix(hashes ^ lengths.astype(np.uint64)), first
+    return mix(hashes ^ lengths.astype(np.uint64)), first, np.searchsorted(np.flatnonzero(joined == 10), starts)
 
 
 def shingle_hashes(words: np.ndarray, first: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:

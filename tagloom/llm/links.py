@@ -20,8 +20,11 @@ from . import common
 #: Members of a bucket up to which its pairs are rows, and members of a block of a larger one.
 SMALL = 24
 BLOCK = 128
-#: Columns of an incidence matrix that are multiplied at once.
+#: Heads that a group of texts which share all their buckets has.
+HEADS = 4
+#: Columns of an incidence matrix that are multiplied at once, and elements of all sets that are ordered at once.
 COLUMNS = 4096
+ELEMENTS = 1 << 19
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -29,13 +32,13 @@ def components(edges: DataFrame) -> DataFrame:
 
     Each round takes the least label of the neighbours and then the label's own label, so chains shorten by doubling.
     """
-    both = common.settle(edges.where("a <> b").select("a", "b").union(edges.where("a <> b").select("b", "a")).distinct(), slim=True)
-    labels = common.settle(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("component")), slim=True)
+    both = common.settle(edges.where("a <> b").select("a", "b").union(edges.where("a <> b").select("b", "a")).distinct())
+    labels = common.settle(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("component")))
     while True:
         near = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy("a").agg(F.min("component").alias("m")).withColumnRenamed("a", "id")
         hooked = labels.join(near, "id").select("id", F.col("component").alias("old"), F.least("component", "m").alias("mid"))
         above = hooked.select(F.col("id").alias("mid"), F.col("mid").alias("up"))
-        step = common.settle(hooked.join(above, "mid").select("id", "old", F.least("mid", "up").alias("component")), slim=True)
+        step = common.settle(hooked.join(above, "mid").select("id", "old", F.least("mid", "up").alias("component")))
         done = step.where(F.col("component") < F.col("old")).isEmpty()
         labels = step.select("id", "component")
         if done:
@@ -43,15 +46,17 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def crowds(rows: DataFrame) -> DataFrame:
-    """(bucket, cid, head) of all buckets with several ids, from rows (cid, bands).
+    """(bucket, cid, head) of all buckets with several ids, from rows (cid, bands) with one row for each id.
 
-    The head is the member of least cid xor bucket: another one in each bucket, so a text is compared with several others.
+    The head is the member of least cid xor a mask, of which there are HEADS: copies that share many buckets are compared
+    with a few others and not with one for each bucket, and a head unlike the rest does not part a whole group.
     """
-    spread = rows.select("cid", F.explode("bands").alias("bucket"))
-    mark = F.col("cid").bitwiseXOR(F.col("bucket"))
+    spread = rows.select("cid", F.explode(F.array_distinct("bands")).alias("bucket"))
+    mask = F.xxhash64(F.pmod("bucket", F.lit(HEADS)))
+    mark = F.col("cid").bitwiseXOR(mask)
     heads = spread.groupBy("bucket").agg(F.min(mark).alias("least"), F.max(mark).alias("last")).where("least < last")
-    heads = heads.select("bucket", F.col("least").bitwiseXOR(F.col("bucket")).alias("head"))
-    return common.settle(spread.join(heads, "bucket").distinct(), slim=True)
+    heads = heads.select("bucket", F.col("least").bitwiseXOR(mask).alias("head"))
+    return common.settle(spread.join(heads, "bucket"))
 
 
 def set_similar(threshold: float) -> Callable[[bytes, bytes], bool]:
@@ -79,7 +84,22 @@ def verified(pairs: DataFrame, data: DataFrame, similar: Callable[[bytes, bytes]
 
 
 def overlaps(sets: list[np.ndarray]) -> np.ndarray:
-    """Sizes of the intersections of all sets, by multiplying the incidence of the elements that several sets have."""
+    """Sizes of the intersections of all sets, given in order, by multiplying the incidence of the elements that several have.
+
+    The sets are taken in ranges of their values, so long ones need no more memory than short ones.
+    """
+    out = np.zeros((len(sets), len(sets)), dtype=np.float64)
+    total = sum(map(len, sets))
+    parts = max(1, -(-total // ELEMENTS))
+    bounds = np.array([(k << 64) // parts for k in range(1, parts)], dtype=np.uint64)
+    cuts = [[0, *np.searchsorted(x, bounds), len(x)] for x in sets]
+    for k in range(parts):
+        _overlaps([x[c[k] : c[k + 1]] for x, c in zip(sets, cuts, strict=True)], out)
+    return out
+
+
+def _overlaps(sets: list[np.ndarray], out: np.ndarray) -> None:
+    """Adds the sizes of the intersections to ``out``."""
     owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
     _, place, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     several = count > 1
@@ -88,13 +108,11 @@ def overlaps(sets: list[np.ndarray]) -> np.ndarray:
     owner, column = owner[keep], column[keep]
     order = np.argsort(column, kind="stable")
     owner, column = owner[order], column[order]
-    out = np.zeros((len(sets), len(sets)), dtype=np.float64)
     for start in range(0, int(several.sum()), COLUMNS):
         a, b = np.searchsorted(column, [start, start + COLUMNS])
         part = np.zeros((len(sets), COLUMNS), dtype=np.float32)
         part[owner[a:b], column[a:b] - start] = 1
         out += part @ part.T
-    return out
 
 
 def joined_heads(link: np.ndarray, ids: np.ndarray) -> np.ndarray:
@@ -164,7 +182,7 @@ def linked(rows: DataFrame, payload: Callable[[DataFrame], DataFrame], similar:
     member = crowd.select("bucket", "cid").join(found.withColumnRenamed("id", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     shares = member.groupBy("bucket", "component").agg(F.count("*").alias("n"))
     mixed = shares.groupBy("bucket").agg(F.max_by("component", "n").alias("base"), F.max("n").alias("n_base"), F.sum("n").alias("m")).where("m > n_base").withColumn("n_rest", F.col("m") - F.col("n_base"))
-    member = common.settle(member.join(mixed, "bucket"), slim=True)
+    member = common.settle(member.join(mixed, "bucket"))
     few = member.where(F.col("m") <= SMALL).select("bucket", "cid", "component")
     other = few.select("bucket", F.col("cid").alias("b"), F.col("component").alias("c2"))
     pairs = few.select("bucket", F.col("cid").alias("a"), F.col("component").alias("c1")).join(other, "bucket").where("a < b and c1 <> c2").select("a", "b").distinct()
