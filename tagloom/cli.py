@@ -1,4 +1,4 @@
-"""Command line: classify, evaluate, compare, import-library, drop-ad, import-labels, assist, baseline."""
+"""Command line: classify, evaluate, compare, import-library, drop-ad, import-labels, make-sheet, assist, baseline."""
 
 from __future__ import annotations
 
@@ -68,7 +68,7 @@ def compare(spark, a) -> int:
 
 def import_library(spark, a) -> int:
     existing = tb.read_rows(spark, a.gold)
-    cards = paste.parse(tb.read_pastes(spark, a.raw)).withColumn("seq", (F.col("card_no") - 1).cast("long")).drop("file", "card_no")
+    cards = paste.numbered(paste.parse(tb.read_pastes(spark, a.raw))).drop("file", "card_no")
     decided = neardup.settle(neardup.decide(cards, existing, tb.read_dropped(spark, a.gold), a.max_per_page, a.limit))
     fresh = neardup.new_rows(decided, a.search, existing.count())
     tb.write_gold(existing.select("seq", *ALL_COLUMNS).unionByName(fresh), a.gold)
@@ -122,6 +122,13 @@ def baseline(spark, a) -> int:
     return 0
 
 
+def make_sheet(spark, a) -> int:
+    rows = labeling.sheet(tb.read_rows(spark, a.gold), tb.read_recheck(spark, a.recheck))
+    tb.write_sheet(rows, a.out)
+    print(f"Wrote {a.out} with {rows.count()} items to label")
+    return 0
+
+
 GOLD = (("--gold",), {"default": "data/gold.csv"})
 SUBSET = (("--subset",), {"choices": ["all", "blind", "assisted"], "default": "all"})
 COMMANDS = {
@@ -131,6 +138,7 @@ COMMANDS = {
     "import-library": (import_library, [GOLD, (("--raw",), {"required": True}), (("--search",), {"required": True}), (("--max-per-page",), {"type": int, "default": 4}), (("--limit",), {"type": int, "default": 0})]),
     "drop-ad": (drop_ad, [GOLD, (("--id",), {"required": True}), (("--reason",), {"required": True})]),
     "import-labels": (import_labels, [GOLD, (("--xlsx",), {"required": True})]),
+    "make-sheet": (make_sheet, [GOLD, (("--recheck",), {"default": "data/recheck.csv"}), (("--out",), {"required": True})]),
     "assist": (assist, [GOLD, (("--blind",), {"type": int, "default": 40}), (("--seed",), {"type": int, "default": 2026})]),
     "baseline": (baseline, [GOLD, (("--out",), {"required": True})]),
 }

@@ -65,8 +65,3 @@ def row_height(c: Column) -> Column:
 def short_list(hits: Column, n: int = 3) -> Column:
     """The first n distinct entries in order of appearance, quoted."""
     return F.array_join(F.transform(F.slice(F.array_distinct(hits), 1, n), lambda x: F.concat(F.lit('"'), x, F.lit('"'))), ", ")
-
-
-def safe_cell(c: Column) -> Column:
-    """A table cell must not hold the column mark."""
-    return F.replace(c, F.lit("|"), F.lit("/"))

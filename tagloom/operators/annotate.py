@@ -6,7 +6,6 @@ error is tried again with growing pauses, an invalid answer is recorded at once.
 
 from __future__ import annotations
 
-import json
 import time
 from collections.abc import Callable, Iterator
 from importlib import resources
@@ -130,13 +129,3 @@ def annotate(items: DataFrame, factory: Callable[[], Client], parallel: int = 4,
     schema = PREDICTION
     ordered = ["ad_id", "goal", "issue", "confidence", "rationale", "prompt_version", "model", "error", "usage", "seq"]
     return items.select("ad_id", "ad_text", "seq").repartition(parallel).mapInPandas(run, schema).select(*ordered)
-
-
-def payload_of(blocks: str = "blocks"):
-    """Column: the input of the first tool call in an array of (type, name, input) blocks of stored responses."""
-    calls = F.filter(F.col(blocks), lambda b: (b["type"] == "tool_use") & (b["name"] == TOOL_NAME))
-    return F.get(calls, 0)["input"]
-
-
-def dumps(payload: dict[str, Any]) -> str:
-    return json.dumps(payload, ensure_ascii=True)

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import ERROR_LABEL, FIELDS, taxonomy
+from ..sources.tables import TableError
 
 KEYS = ("run", "field")
 
@@ -26,6 +27,18 @@ def last_write_wins(preds: DataFrame, *keys: str) -> DataFrame:
     return newest.select(*by, *(F.col(f"r.{c}").alias(c) for c in rest))
 
 
+#: Runs up to which their names are part of the plan.
+NAMED_RUNS = 1000
+
+
+def each_run(gold: DataFrame, runs: DataFrame) -> DataFrame:
+    """Every gold row once for every run: by name if runs are few, else by a product that sends neither side to all executors."""
+    names = [r["run"] for r in runs.select("run").limit(NAMED_RUNS + 1).collect()]
+    if len(names) > NAMED_RUNS:
+        return gold.hint("shuffle_replicate_nl").crossJoin(runs.select("run"))
+    return gold.withColumn("run", F.explode(F.array(*map(F.lit, names)).cast("array<string>")))
+
+
 def align(gold: DataFrame, preds: DataFrame, runs: DataFrame | None = None) -> DataFrame:
     """(run, field, ad_id, gold, pred): each gold item once for each run; a missing or failed prediction is the error label.
 
@@ -33,7 +46,7 @@ def align(gold: DataFrame, preds: DataFrame, runs: DataFrame | None = None) -> D
     the runs to score, those of preds if not given.
     """
     runs = preds.select("run").distinct() if runs is None else runs
-    left = gold.select("ad_id", F.col("goal").alias("g_goal"), F.col("issue").alias("g_issue")).crossJoin(F.broadcast(runs))  # runs are few, by definition
+    left = each_run(gold.select("ad_id", F.col("goal").alias("g_goal"), F.col("issue").alias("g_issue")), runs)
     joined = left.join(preds.select("run", "ad_id", "goal", "issue", F.col("error").isNull().alias("ok")), ["run", "ad_id"], "left")
     label = {f: F.when(F.col("ok"), F.col(f)).otherwise(ERROR_LABEL) for f in FIELDS}
     pairs = F.array(*(F.struct(F.lit(f).alias("field"), F.col(f"g_{f}").alias("gold"), label[f].alias("pred")) for f in FIELDS))
@@ -114,8 +127,7 @@ def binomial_p(b: Column, c: Column) -> Column:
 
 def counts(gold: DataFrame, preds: DataFrame) -> DataFrame:
     """(run, n_gold, n_scored_ok, n_errors, tokens_in, tokens_out); tokens of failed predictions of gold items count."""
-    runs = F.broadcast(preds.select("run").distinct())
-    joined = gold.select("ad_id").crossJoin(runs).join(preds.select("run", "ad_id", F.col("error").isNull().alias("ok"), "usage"), ["run", "ad_id"], "left")
+    joined = each_run(gold.select("ad_id"), preds.select("run").distinct()).join(preds.select("run", "ad_id", F.col("error").isNull().alias("ok"), "usage"), ["run", "ad_id"], "left")
     token = lambda k: F.sum(F.coalesce(F.col("usage")[k], F.lit(0))).cast("long")
     return joined.groupBy("run").agg(F.count("*").alias("n_gold"), F.count_if("ok").alias("n_scored_ok"), (F.count("*") - F.count_if("ok")).alias("n_errors"), token("input_tokens").alias("tokens_in"), token("output_tokens").alias("tokens_out"))
 
@@ -130,6 +142,8 @@ def disagreements(gold: DataFrame, preds: DataFrame) -> DataFrame:
     return joined.where(~ok | (F.col("goal") != F.col("g")) | (F.col("issue") != F.col("i"))).select("ad_id", F.concat("g", slash, "i").alias("gold"), F.when(ok, F.concat("goal", slash, "issue")).otherwise(ERROR_LABEL).alias("model"), F.when(ok, F.col("confidence")).otherwise("").alias("confidence"), why.alias("rationale"))
 
 
+#: Items of a group that the exact bootstrap, one sequence of draws, takes.
+MOST_EXACT = 1_000_000
 #: Items up to which their flags are broadcast to the draws of a bootstrap.
 BROADCAST_FLAGS = 500_000
 
@@ -148,6 +162,10 @@ def bootstrap_exact(correct: list[bool], n_resamples: int = 2000, alpha: float =
 def bootstrap(aligned: DataFrame, n_resamples: int = 2000, alpha: float = 0.05, seed: int = 0) -> DataFrame:
     """(run, field, ci_lo, ci_hi) with the exact generator. Its draws are one sequence, so a group's flags are in one task: for hand-labelled gold sets; ``bootstrap_hashed`` is the form for large ones."""
 
+    most = aligned.groupBy("run", "field").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    if most > MOST_EXACT:
+        raise TableError(f"{most} items are too many for the exact generator; use bootstrap_hashed")
+
     def interval(pdf: pd.DataFrame) -> pd.DataFrame:
         own = pdf.sort_values("ad_id")
         lo, hi = bootstrap_exact((own["gold"] == own["pred"]).tolist(), n_resamples, alpha, seed)

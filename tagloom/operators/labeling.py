@@ -9,18 +9,31 @@ from pyspark.sql import functions as F
 
 from ..functions import rules
 from ..functions.text import strip
+from ..lineage import settle
 from ..schema import ASSISTED, BLIND, FIELDS
 from ..sources.tables import TableError
 
 BLIND_NOTE = "BLIND: label from scratch"
 
 
-def draw_exact(ids: list[str], n: int, seed: int) -> list[str]:
-    """Python's seeded sample of the sorted ids."""
-    ids = sorted(ids)
-    if n > len(ids):
-        raise TableError(f"n_blind={n} exceeds the {len(ids)} items")
-    return random.Random(seed).sample(ids, n)
+def draw_exact(items: DataFrame, n: int, seed: int) -> DataFrame:
+    """Python's seeded sample of the sorted ids.
+
+    The sample takes ids by their ranks, which depend only on how many there are; so the driver draws ``n`` ranks, and ids are
+    sorted and counted where they are.
+    """
+    spark = items.sparkSession
+    ordered = settle(items.select("ad_id").orderBy("ad_id")).select("ad_id", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("place"))
+    sizes = {r["part"]: r["n"] for r in ordered.groupBy("part").agg(F.count("*").alias("n")).collect()}
+    total, starts = 0, []
+    for part in sorted(sizes):
+        starts.append((part, total))
+        total += sizes[part]
+    if n > total:
+        raise TableError(f"n_blind={n} exceeds the {total} items")
+    ranks = spark.createDataFrame([(r,) for r in random.Random(seed).sample(range(total), n)], "rank long")
+    ranked = ordered.join(F.broadcast(spark.createDataFrame(starts, "part int, start long")), "part").withColumn("rank", F.col("start") + F.col("place"))
+    return ranked.join(F.broadcast(ranks), "rank").select("ad_id")
 
 
 def draw_hashed(items: DataFrame, n: int, seed: int) -> DataFrame:
@@ -39,8 +52,7 @@ def assign(items: DataFrame, n_blind: int = 40, seed: int = 2026, exact: bool =
     if not items.where(~new).isEmpty():
         drawn = None
     elif exact:
-        chosen = draw_exact([r["ad_id"] for r in items.select("ad_id").toLocalIterator()], n_blind, seed)
-        drawn = items.sparkSession.createDataFrame([(i,) for i in chosen], "ad_id string")
+        drawn = draw_exact(items, n_blind, seed)
     else:
         drawn = draw_hashed(items, n_blind, seed)
     rest = [c for c in items.columns if c not in ("label_mode", "suggested_goal", "suggested_issue", "suggestion_reason")]

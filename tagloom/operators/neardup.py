@@ -29,21 +29,24 @@ def class_pairs(sets: DataFrame, threshold: tuple[int, int] = THRESHOLD) -> Data
     num, den = threshold
     reps = settle(sets.select("key", "words", "n").dropDuplicates(["key"]))
     spread = reps.select("key", "n", F.explode("words").alias("w"))
-    rarity = spread.groupBy("w").agg(F.count("*").alias("df"))
-    ranked = spread.join(rarity.where("df > 1"), "w").groupBy("key", "n").agg(F.sort_array(F.collect_list(F.struct("df", "w"))).alias("o"), F.count("*").alias("shared"))
-    # words of one set alone come first in the order and cannot meet, so they use up the prefix
+    # words of one set alone cannot be in common; the others get a number, so sets are compared as numbers
+    rarity = settle(spread.groupBy("w").agg(F.count("*").alias("df")).where("df > 1")).withColumn("id", F.monotonically_increasing_id())
+    order = F.sort_array(F.collect_list(F.struct("df", "id")))
+    ranked = spread.join(rarity, "w").groupBy("key", "n").agg(order.alias("o"))
+    ranked = settle(ranked.select("key", "n", F.size("o").alias("shared"), F.transform("o", lambda x: x["id"]).alias("ids")))
+    # words of one set alone come first in the order, so they use up the prefix
     size = F.col("n") - F.ceil(F.col("n") * num / den) + 1
     left = (size - (F.col("n") - F.col("shared"))).cast("int")
-    first = ranked.where(left > 0).select("key", "n", "shared", F.posexplode(F.slice("o", 1, left)).alias("i", "p"))
+    first = ranked.where(left > 0).select("key", "n", "shared", F.posexplode(F.slice("ids", 1, left)).alias("i", "w"))
     # words from here to the end of the order; a pair's first common word bounds its overlap from above
-    prefix = first.select("key", "n", (F.col("shared") - F.col("i")).alias("rest"), F.col("p.w").alias("w"))
+    prefix = first.select("key", "n", (F.col("shared") - F.col("i")).alias("rest"), "w")
     other = prefix.select(F.col("key").alias("b"), F.col("n").alias("nb"), F.col("rest").alias("rb"), "w")
     near = (F.least("n", "nb") * den >= F.greatest("n", "nb") * num) & (F.col("key") < F.col("b")) & (F.least("rest", "rb") * (num + den) >= (F.col("n") + F.col("nb")) * num)
     candidates = prefix.join(other, "w").where(near).select(F.col("key").alias("a"), "b").distinct()
-    words = reps.select("key", "words")
-    both = candidates.join(words.select(F.col("key").alias("a"), F.col("words").alias("x")), "a").join(words.select(F.col("key").alias("b"), F.col("words").alias("y")), "b")
+    words = ranked.select("key", "n", "ids")
+    both = candidates.join(words.toDF("a", "na", "x"), "a").join(words.toDF("b", "nb", "y"), "b")
     common = F.size(F.array_intersect("x", "y"))
-    return both.where(den * common >= num * (F.size("x") + F.size("y") - common)).select("a", "b")
+    return both.where(den * common >= num * (F.col("na") + F.col("nb") - common)).select("a", "b")
 
 
 def pairs(items: DataFrame, id_col: str, text_col: str, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
@@ -86,33 +89,32 @@ def decide(cards: DataFrame, existing: DataFrame, dropped: DataFrame, max_per_pa
     counts = existing.groupBy("page_name").agg(F.count("*").alias("had"))
     nodes = keyed.join(twin_of_held, "key", "left").join(counts, "page_name", "left")
     out = F.col("known").isNotNull() | F.col("gone").isNotNull() | (F.col("ad_text") == "") | F.col("held").isNotNull()
-    state = settle(nodes.select("seq", "library_id", "page_name", "key", F.coalesce("had", F.lit(0)).alias("had"), F.when(out, -1).otherwise(0).alias("state")))
+    open_ = nodes.where(~out).select("seq", "library_id", "page_name", "key", F.coalesce("had", F.lit(0)).alias("had"))
+    twins = lambda rows, name: near.join(rows.groupBy(F.col("key").alias("other")).agg(F.min("seq").alias("s")), "other").groupBy("key").agg(F.min("s").alias(name))
+    new = taken = None
+    # only undecided cards are carried on; what a round accepts is looked up by those that are left
     while True:
-        taken = state.where("state = 1")
-        # the first accepted card of each word set, and of each id
-        by_key = near.join(taken.groupBy(F.col("key").alias("other")).agg(F.min("seq").alias("s")), "other").groupBy("key").agg(F.min("s").alias("twin"))
-        by_id = taken.groupBy("library_id").agg(F.min("seq").alias("same"))
-        room = taken.groupBy("page_name").agg(F.count("*").alias("got"))
-        seen = state.join(by_key, "key", "left").join(by_id, "library_id", "left").join(room, "page_name", "left")
-        full = F.col("had") + F.coalesce("got", F.lit(0)) >= max_per_page
-        lost = (F.col("twin") < F.col("seq")) | (F.col("same") < F.col("seq")) | full
-        seen = seen.withColumn("state", F.when((F.col("state") == 0) & F.coalesce(lost, F.lit(False)), -1).otherwise(F.col("state")))
-        seen = settle(seen.select("seq", "library_id", "page_name", "key", "had", "state", (max_per_page - F.col("had") - F.coalesce("got", F.lit(0))).alias("room")))
-        open_ = seen.where("state = 0")
-        if open_.isEmpty():
-            state = seen.drop("room")
-            break
+        if new is None:
+            seen = open_.withColumn("room", max_per_page - F.col("had"))
+        else:
+            got = taken.groupBy("page_name").agg(F.count("*").alias("got"))
+            met = open_.join(twins(new, "twin"), "key", "left").join(new.groupBy("library_id").agg(F.min("seq").alias("same")), "library_id", "left").join(got, "page_name", "left")
+            met = met.withColumn("room", max_per_page - F.col("had") - F.coalesce("got", F.lit(0)))
+            seen = met.where(~F.coalesce((F.col("twin") < F.col("seq")) | (F.col("same") < F.col("seq")), F.lit(False)))
+        seen = settle(seen.where("room > 0").select("seq", "library_id", "page_name", "key", "had", "room"))
         # a card is safe if nothing undecided before it can reject it
-        first_key = near.join(open_.groupBy(F.col("key").alias("other")).agg(F.min("seq").alias("s")), "other").groupBy("key").agg(F.min("s").alias("near_first"))
-        first_id = open_.groupBy("library_id").agg(F.min("seq").alias("id_first"))
-        ranked = open_.join(first_key, "key").join(first_id, "library_id").withColumn("rank", F.row_number().over(Window.partitionBy("page_name").orderBy("seq")))
+        first_id = seen.groupBy("library_id").agg(F.min("seq").alias("id_first"))
+        ranked = seen.join(twins(seen, "near_first"), "key").join(first_id, "library_id").withColumn("rank", F.row_number().over(Window.partitionBy("page_name").orderBy("seq")))
         # the constant bound lets each task keep only the first few cards of a page before the shuffle
-        safe = ranked.where(F.col("rank") <= max_per_page).where("rank <= room and near_first >= seq and id_first >= seq").select("seq", F.lit(1).alias("yes"))
-        state = settle(seen.drop("room").join(safe, "seq", "left").withColumn("state", F.coalesce("yes", "state")).drop("yes"))
-    taken = state.where("state = 1")
-    by_key = near.join(taken.groupBy(F.col("key").alias("other")).agg(F.min("seq").alias("s")), "other").groupBy("key").agg(F.min("s").alias("twin"))
-    by_id = taken.groupBy("library_id").agg(F.min("seq").alias("same"))
-    final = cards.join(nodes.select("seq", "key", "known", "gone", "held"), "seq").join(state.select("seq", "state"), "seq").join(by_key, "key", "left").join(by_id, "library_id", "left")
+        safe = ranked.where(F.col("rank") <= max_per_page).where("rank <= room and near_first >= seq and id_first >= seq")
+        new = settle(safe.select("seq", "library_id", "page_name", "key"))
+        taken = new if taken is None else taken.unionByName(new)
+        if new.isEmpty():
+            break
+        open_ = seen.drop("room").join(new.select("seq"), "seq", "left_anti")
+    by_key, by_id = twins(taken, "twin"), taken.groupBy("library_id").agg(F.min("seq").alias("same"))
+    state = taken.select("seq", F.lit(1).alias("state"))
+    final = cards.join(nodes.select("seq", "key", "known", "gone", "held"), "seq").join(state, "seq", "left").join(by_key, "key", "left").join(by_id, "library_id", "left")
     page = F.when(F.col("page_name") == "", "unknown page").otherwise(F.col("page_name"))
     reason = (
         F.when(F.col("known").isNotNull() | (F.col("same") < F.col("seq")), "already in gold file")
@@ -121,7 +123,7 @@ def decide(cards: DataFrame, existing: DataFrame, dropped: DataFrame, max_per_pa
         .when(F.col("held").isNotNull() | (F.col("twin") < F.col("seq")), F.concat(F.lit("duplicate text ("), F.col("page_name"), F.lit(")")))
         .otherwise(F.concat(F.lit(f"page cap of {max_per_page} reached ("), F.col("page_name"), F.lit(")")))
     )
-    decided = final.select(*cards.columns, (F.col("state") == 1).alias("accepted"), F.when(F.col("state") == 1, "").otherwise(reason).alias("reason"))
+    decided = final.select(*cards.columns, F.col("state").isNotNull().alias("accepted"), F.when(F.col("state").isNotNull(), "").otherwise(reason).alias("reason"))
     if not limit:
         return decided
     decided = settle(decided)

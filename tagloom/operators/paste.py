@@ -59,3 +59,12 @@ def parse(stream: DataFrame, fold: bool = True) -> DataFrame:
         text.alias("ad_text"),
     )
     return cards.withColumn("ad_text", normalize_text(F.col("ad_text")) if fold else tidy(F.col("ad_text")))
+
+
+def numbered(cards: DataFrame) -> DataFrame:
+    """Adds ``seq``, the place of a card from 0 over all files in order of their names."""
+    files = cards.groupBy("file").agg(F.count("*").alias("n"))
+    # one row for each file that someone pasted
+    before = F.sum("n").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1))
+    starts = files.select("file", F.coalesce(before, F.lit(0)).alias("start"))
+    return cards.join(starts, "file").withColumn("seq", F.col("start") + F.col("card_no") - 1).drop("start")

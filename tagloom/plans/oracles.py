@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 from ..functions import rules
 from ..schema import CONFIDENCE_LEVELS, GOALS, ISSUES
 from .queries import LINES
@@ -47,10 +49,11 @@ near AS (SELECT a.seq AS a, b.seq AS b FROM sets a JOIN sets b ON a.seq < b.seq
 IMPORT = f"""WITH RECURSIVE {ITEMS_SQL},
 old AS (SELECT *, {draw_sql("old", "ad_id")} % 20 = 0 AS held, {draw_sql("drop", "ad_id")} % 40 = 0 AS gone, CASE WHEN {draw_sql("nob", "ad_id")} % 50 = 0 THEN '' ELSE text END AS body FROM items),
 ex AS (SELECT 'e' || seq AS k, text AS body FROM old WHERE held), cd AS (SELECT 'c' || seq AS k, body FROM old),
-ws AS (SELECT k, CASE WHEN len(w) = 0 THEN [''] ELSE w END AS w FROM (SELECT k, list_distinct(regexp_extract_all(lower(body), '[a-z0-9$'']+')) AS w FROM (FROM ex UNION ALL FROM cd))),
-tw AS (SELECT substr(a.k, 1, 1) AS side, substr(a.k, 2)::BIGINT AS a, substr(b.k, 2)::BIGINT AS b FROM ws a JOIN ws b ON b.k LIKE 'c%' AND a.k <> b.k AND 4 * least(len(a.w), len(b.w)) >= 3 * greatest(len(a.w), len(b.w))
-  WHERE 4 * len(list_intersect(a.w, b.w)) >= 3 * (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w)))),
-c AS (SELECT row_number() OVER (ORDER BY seq) AS i, seq, ad_id, page_name, held, gone, body, seq IN (SELECT b FROM tw WHERE side = 'e') AS twin, (SELECT count(*) FROM old o WHERE o.held AND o.page_name = old.page_name) AS had, coalesce((SELECT list(a) FROM tw WHERE side = 'c' AND a < seq AND b = seq), []::BIGINT[]) AS nbr FROM old),
+ws AS MATERIALIZED (SELECT k, unnest(w) AS word, len(w) AS n FROM (SELECT k, CASE WHEN len(w) = 0 THEN [''] ELSE w END AS w FROM (SELECT k, list_distinct(regexp_extract_all(lower(body), '[a-z0-9$'']+')) AS w FROM (FROM ex UNION ALL FROM cd)))),
+tw AS MATERIALIZED (SELECT substr(a, 1, 1) AS side, substr(a, 2)::BIGINT AS a, substr(b, 2)::BIGINT AS b FROM (
+  SELECT a.k AS a, b.k AS b, a.n AS na, b.n AS nb, count(*) AS o FROM ws a JOIN ws b ON a.word = b.word AND a.k <> b.k AND 4 * least(a.n, b.n) >= 3 * greatest(a.n, b.n) WHERE b.k LIKE 'c%' GROUP BY ALL) WHERE 4 * o >= 3 * (na + nb - o)),
+c AS MATERIALIZED (SELECT row_number() OVER (ORDER BY seq) AS i, seq, ad_id, page_name, held, gone, body, seq IN (SELECT b FROM tw WHERE side = 'e') AS twin, coalesce(p.had, 0) AS had, coalesce(t.nbr, []::BIGINT[]) AS nbr
+  FROM old LEFT JOIN (SELECT page_name AS pn, count(*) AS had FROM old WHERE held GROUP BY page_name) p ON p.pn = page_name LEFT JOIN (SELECT b, list(a) AS nbr FROM tw WHERE side = 'c' AND a < b GROUP BY b) t ON t.b = seq),
 s AS (SELECT 0::BIGINT AS i, []::BIGINT[] AS acc, []::VARCHAR[] AS pages UNION ALL
   SELECT c.i, CASE WHEN ok THEN list_append(acc, seq) ELSE acc END, CASE WHEN ok THEN list_append(pages, page_name) ELSE pages END
   FROM (SELECT c.*, s.acc, s.pages, NOT (held OR gone OR body = '' OR twin OR list_has_any(s.acc, nbr) OR had + len(list_filter(s.pages, lambda x: x = c.page_name)) >= 12) AS ok FROM s JOIN c ON c.i = s.i + 1) c),
@@ -101,6 +104,11 @@ e AS (SELECT *, CASE {bad("goal", GOALS)} {bad("issue", ISSUES)} {bad("confidenc
 SELECT ad_id, {", ".join(f"CASE WHEN error IS NULL THEN {c} ELSE '' END AS {c}" for c in ("goal", "issue", "confidence", "rationale"))}, error FROM e"""
 
 
+SUGGESTED = "SELECT r.ad_id, CASE WHEN b.ad_id IS NULL THEN 'assisted' ELSE 'blind' END AS label_mode, CASE WHEN b.ad_id IS NULL THEN goal ELSE '' END AS suggested_goal, CASE WHEN b.ad_id IS NULL THEN issue ELSE '' END AS suggested_issue, CASE WHEN b.ad_id IS NULL THEN reason ELSE '' END AS suggestion_reason FROM ruled r LEFT JOIN b ON b.ad_id = r.ad_id"
+#: Python's draws of 40 ranks, as lists, for the sizes of the test tables.
+DRAWS = " ".join(f"WHEN {n} THEN {sorted(random.Random(2026).sample(range(n), 40))}" for n in (200, 1000, 10_000, 51_282, 256_410))
+
+
 def oracle_sql() -> dict[str, str]:
     v = {k: draw_sql(k, "ad_id") for k in ("v1", "v2", "v3", "v4", "v5")}
     named = {"money": rules.MONEY_ASK, "voting": rules.VOTING_INFO, "civic": rules.CIVIC_ACTION, "political": rules.POLITICAL, "offer": rules.NON_POLITICAL_OFFER, **rules.ISSUE_WORDS}
@@ -130,10 +138,10 @@ SELECT run, field, round(list_sort(list(mean))[6], 9) AS ci_lo, round(list_sort(
         "classify_limit": f"{WITH_LOG} {TODO.format(src='(SELECT * FROM items ORDER BY seq LIMIT 100)')}",
         "annotate_validate": _payload_error(),
         "rules_labels": f"{WITH_ITEMS}, {whole} SELECT ad_id, goal, issue, confidence FROM ruled",
-        "rules_reason": f"{WITH_ITEMS}, {_rules('items', 'phrases', False)} SELECT ad_id, goal, issue, confidence, reason FROM ruled",
+        "rules_reason": f"{WITH_ITEMS}, {whole} SELECT ad_id, goal, issue, confidence, reason FROM ruled",
         "rules_hits": f"{WITH_ITEMS} SELECT ad_id, {', '.join(f'len({_found("t", w)})::BIGINT AS {k}' for k, w in named.items())} FROM (SELECT ad_id, {PLAIN.format(t='ad_text')} AS t FROM items)",
         "rules_label_counts": f"{WITH_ITEMS}, {whole} SELECT goal, issue, confidence, count(*) AS n FROM ruled GROUP BY ALL",
-        "rules_predictions": f"{WITH_ITEMS}, {_rules('items', 'phrases', False)} SELECT ad_id, goal, issue, confidence, reason AS rationale, 'rules-v1' AS prompt_version, 'keyword-baseline' AS model, NULL::VARCHAR AS error, seq FROM ruled",
+        "rules_predictions": f"{WITH_ITEMS}, {whole} SELECT ad_id, goal, issue, confidence, reason AS rationale, 'rules-v1' AS prompt_version, 'keyword-baseline' AS model, NULL::VARCHAR AS error, seq FROM ruled",
         "word_sets": f"{WITH_ITEMS} SELECT ad_id, array_to_string(list_sort(list_distinct(regexp_extract_all(lower(ad_text), '[a-z0-9$'']+'))), ' ') AS words FROM items",
         "near_dup_pairs": f"{WITH_ITEMS}, {SETS} SELECT a AS id_a, b AS id_b FROM near",
         "near_dup_earlier": f"{WITH_ITEMS}, {SETS} SELECT b AS seq, min(a) AS first FROM near GROUP BY b",
@@ -145,7 +153,8 @@ SELECT run, field, round(list_sort(list(mean))[6], 9) AS ci_lo, round(list_sort(
         "terminators": f"{WITH_ITEMS}, l AS (SELECT ad_id, unnest(list_append(string_split(text, chr(10)), {pick_sql(LINES, draw_sql('line', 'ad_id'))})) AS line FROM items) SELECT ad_id, line, {STOP} AS stop FROM (SELECT *, {TRIM.format('line')} AS s FROM l)",
         "normalize_text": f"{WITH_ITEMS} SELECT ad_id, {_tidy('c')} AS body FROM (SELECT ad_id, '  ' || chr(10) || page_name || '  ' || chr(10) || chr(10) || chr(10) || chr(10) || text || chr(8203) || ' ' || chr(10) || phrases || chr(10) || chr(10) AS c FROM items)",
         "row_heights": f"{WITH_ITEMS} SELECT ad_id, greatest(30, least(409, 15 * list_sum(list_transform(string_split(text, chr(10)), lambda x: greatest(1, ceil(length(x) / 85))))))::INT AS height FROM items",
-        "blind_assign": f"{WITH_ITEMS}, {_rules('items', 'phrases', False)}, b AS (SELECT ad_id FROM items ORDER BY md5('2026:' || ad_id), ad_id LIMIT 40) SELECT r.ad_id, CASE WHEN b.ad_id IS NULL THEN 'assisted' ELSE 'blind' END AS label_mode, CASE WHEN b.ad_id IS NULL THEN goal ELSE '' END AS suggested_goal, CASE WHEN b.ad_id IS NULL THEN issue ELSE '' END AS suggested_issue FROM ruled r LEFT JOIN b ON b.ad_id = r.ad_id",
+        "blind_assign": f"{WITH_ITEMS}, {whole}, b AS (SELECT ad_id FROM items ORDER BY md5('2026:' || ad_id), ad_id LIMIT 40) {SUGGESTED}",
+        "blind_assign_exact": f"{WITH_ITEMS}, {whole}, o AS (SELECT ad_id, row_number() OVER (ORDER BY ad_id) - 1 AS rank, count(*) OVER () AS n FROM items), b AS (SELECT ad_id FROM o WHERE list_contains(CASE n {DRAWS} END, rank)) {SUGGESTED}",
         "assist_counts": f"{WITH_ITEMS} SELECT count(*) AS ads, count(*) FILTER (label_mode = 'blind') AS blind, count(*) FILTER (label_mode = 'assisted') AS assisted FROM items",
         "workbook_rows": f"{WITH_ITEMS} SELECT seq + 1 AS row_no, ad_id, CASE WHEN gold_goal <> '' THEN gold_goal WHEN label_mode = 'blind' THEN '' ELSE true_goal END AS gold_goal, CASE WHEN gold_issue <> '' THEN gold_issue WHEN label_mode = 'blind' THEN '' ELSE true_issue END AS gold_issue, CASE WHEN label_mode = 'blind' THEN 'blind' ELSE '' END AS checked, CASE WHEN label_mode = 'assisted' THEN 'why ' || ad_id WHEN {draw_sql('rechk', 'ad_id')} % 7 = 0 THEN 'look again ' || ad_id ELSE 'BLIND: label from scratch' END AS why_suggested FROM items",
         "import_labels_rows": f"{WITH_ITEMS}, {SHEET} SELECT ad_id, CASE WHEN blank THEN '' ELSE goal END AS gold_goal, CASE WHEN blank THEN '' ELSE issue END AS gold_issue, 'note ' || ad_id AS notes, blank AND (goal <> '' OR issue <> '') AS unchecked, yes AS checked, yes AND goal <> true_goal AS goal_override, yes AND issue <> true_issue AS issue_override FROM done",
@@ -157,5 +166,12 @@ SELECT run, field, round(list_sort(list(mean))[6], 9) AS ci_lo, round(list_sort(
 SELECT seq, 1 AS rank, 'empty ad_id' AS message FROM g WHERE ad_id = '' UNION ALL SELECT seq, 2, 'duplicate ad_id ''' || ad_id || '''' FROM g WHERE ad_id <> '' AND again UNION ALL SELECT seq, 3, 'empty ad_text for ''' || ad_id || '''' FROM g WHERE body = ''
 UNION ALL SELECT seq, 4, ad_id || ' has a ' || CASE WHEN goal <> '' THEN 'goal label but no issue' ELSE 'issue label but no goal' END FROM g WHERE (goal = '') <> (issue = '') UNION ALL SELECT seq, 5, 'unknown goal label ''' || goal || '''' FROM g WHERE goal <> '' AND issue <> '' AND goal NOT IN ({goals}) UNION ALL SELECT seq, 6, 'unknown issue label ''' || issue || '''' FROM g WHERE goal <> '' AND issue <> '' AND issue NOT IN ({issues})""",
         "id_set_diff": f"{WITH_ITEMS}, l AS (SELECT ad_id FROM items WHERE {draw_sql('il', 'ad_id')} % 30 <> 0), r AS (SELECT ad_id FROM items WHERE {draw_sql('ir', 'ad_id')} % 30 <> 0) SELECT array_to_string(list_sort((SELECT list(ad_id) FROM (SELECT ad_id FROM l WHERE ad_id NOT IN (FROM r)))) [1:5], ',') AS only_left, array_to_string(list_sort((SELECT list(ad_id) FROM (SELECT ad_id FROM r WHERE ad_id NOT IN (FROM l)))) [1:5], ',') AS only_right",
+        "gold_file": f"{WITH_ITEMS} SELECT ad_id, {TRIM.format('page_name')} AS page_name, {TRIM.format('ad_text')} AS ad_text, gold_goal, gold_issue, 'a \"quoted\", note ' || ad_id AS notes, label_mode, '' AS source_url FROM items",
+        "gold_file_labels": f"{WITH_ITEMS} SELECT ad_id, goal, issue FROM gold",
+        "prediction_file": f"{WITH_LOG} SELECT ad_id, goal, issue, confidence, rationale, 'v2' AS prompt_version, 'm' AS model, error, coalesce(tin, 0)::BIGINT AS tokens_in FROM preds WHERE run = 'a'",
+        "prediction_file_failures": f"{WITH_LOG} SELECT (SELECT count(*) FROM log WHERE run = 'b' AND error IS NOT NULL) AS failed, count(*) AS items, count(*) FILTER (error IS NULL) AS good FROM preds WHERE run = 'b'",
+        "dropped_file": f"{WITH_ITEMS} SELECT ad_id, page_name, 'off topic, ' || ad_id AS reason, ad_text FROM items WHERE {draw_sql('drop', 'ad_id')} % 40 = 0",
+        "sheet_file": f"{WITH_ITEMS} SELECT seq + 1 AS row_no, ad_id, CASE WHEN gold_goal <> '' THEN gold_goal WHEN label_mode = 'blind' THEN '' ELSE true_goal END AS gold_goal, CASE WHEN gold_issue <> '' THEN gold_issue WHEN label_mode = 'blind' THEN '' ELSE true_issue END AS gold_issue, 'a \"quoted\", note ' || ad_id AS notes, CASE WHEN label_mode = 'blind' THEN 'blind' ELSE '' END AS checked, CASE WHEN label_mode = 'assisted' THEN 'why ' || ad_id WHEN {draw_sql('rechk', 'ad_id')} % 7 = 0 THEN 'BLIND. RECHECK: codebook updated (rule ' || ad_id || ', new)' ELSE 'BLIND: label from scratch' END AS why_suggested FROM items",
+        "paste_files": f"SELECT row_number() OVER (ORDER BY {draw_sql('pf', 'file')} % 8, file::BIGINT, card_no) - 1 AS seq, library_id, page_name, paid_for, started_running, ad_text FROM ({CARDS})",
         "drop_item": f"{WITH_ITEMS} SELECT page_name, count(*) AS n FROM items WHERE ad_id <> '7' GROUP BY ALL",
     }

@@ -103,6 +103,11 @@ def bootstrap_ci_2000(spark, d):
     return ev.bootstrap_hashed(_aligned(spark, d), 2000).select("run", "field", F.round("ci_lo", 9).alias("ci_lo"), F.round("ci_hi", 9).alias("ci_hi"))
 
 
+def bootstrap_ci_exact(spark, d):
+    """The interval of Python's generator with all 2,000 resamples, as reports show it."""
+    return ev.bootstrap(_aligned(spark, d), 2000).select("run", "field", F.round("ci_lo", 9).alias("ci_lo"), F.round("ci_hi", 9).alias("ci_hi"))
+
+
 def preds_last_write_wins(spark, d):
     return _preds(syn.items(spark, d)).select("run", "ad_id", "goal", "issue", "confidence", "error", "seq")
 
@@ -132,12 +137,6 @@ def rules_labels(spark, d):
 
 
 def rules_reason(spark, d):
-    rows = syn.items(spark, d).select("ad_id", "phrases")
-    return rules.classify(rows, "phrases").select("ad_id", "goal", "issue", "confidence", "reason")
-
-
-def rules_reason_text(spark, d):
-    """Reasons over whole texts. ``rules_reason`` is the form that SQL checks, over the phrases alone."""
     return rules.classify(syn.items(spark, d).select("ad_id", "ad_text")).select("ad_id", "goal", "issue", "confidence", "reason")
 
 
@@ -151,12 +150,6 @@ def rules_label_counts(spark, d):
 
 
 def rules_predictions(spark, d):
-    rows = rules.predictions(syn.items(spark, d).select("ad_id", F.col("phrases").alias("ad_text"), "seq"))
-    return rows.select("ad_id", "goal", "issue", "confidence", "rationale", "prompt_version", "model", "error", "seq")
-
-
-def rules_predictions_text(spark, d):
-    """Prediction records over whole texts."""
     rows = rules.predictions(syn.items(spark, d).select("ad_id", "ad_text", "seq"))
     return rows.select("ad_id", "goal", "issue", "confidence", "rationale", "prompt_version", "model", "error", "seq")
 
@@ -216,15 +209,19 @@ def row_heights(spark, d):
     return syn.items(spark, d).select("ad_id", text.row_height(F.col("text")).cast("int").alias("height"))
 
 
+def _assigned(spark, d, exact):
+    rows = syn.items(spark, d).select("seq", "ad_id", "ad_text", F.lit("").alias("label_mode"), *(F.lit("").alias(c) for c in ("suggested_goal", "suggested_issue", "suggestion_reason")))
+    return labeling.assign(rows, 40, 2026, exact=exact).select("ad_id", "label_mode", "suggested_goal", "suggested_issue", "suggestion_reason")
+
+
 def blind_assign(spark, d):
-    rows = syn.items(spark, d).select("seq", "ad_id", F.col("phrases").alias("ad_text"), F.lit("").alias("label_mode"), *(F.lit("").alias(c) for c in ("suggested_goal", "suggested_issue", "suggestion_reason")))
-    return labeling.assign(rows, 40, 2026, exact=False).select("ad_id", "label_mode", "suggested_goal", "suggested_issue")
+    """The draw by hash, which any engine can repeat."""
+    return _assigned(spark, d, False)
 
 
-def blind_assign_text(spark, d):
-    """Suggestions from whole texts, with their reasons."""
-    rows = syn.items(spark, d).select("seq", "ad_id", "ad_text", F.lit("").alias("label_mode"), *(F.lit("").alias(c) for c in ("suggested_goal", "suggested_issue", "suggestion_reason")))
-    return labeling.assign(rows, 40, 2026, exact=False).select("ad_id", "label_mode", "suggested_goal", "suggested_issue", "suggestion_reason")
+def blind_assign_exact(spark, d):
+    """The draw of Python's generator, as the command line makes it."""
+    return _assigned(spark, d, True)
 
 
 def assist_counts(spark, d):
@@ -288,4 +285,7 @@ def drop_item(spark, d):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {k: f for k, f in globals().items() if callable(f) and getattr(f, "__module__", "") == __name__ and not k.startswith("_") and k not in ("queries",)}
+    from . import files
+
+    own = {k: f for k, f in globals().items() if callable(f) and getattr(f, "__module__", "") == __name__ and not k.startswith("_") and k != "queries"}
+    return own | files.queries()

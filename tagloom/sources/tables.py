@@ -12,7 +12,7 @@ import json
 import os
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,12 +20,23 @@ from ..functions.text import strip
 from ..schema import ALL_COLUMNS, DROPPED_COLUMNS, GOLD_COLUMNS, PREDICTION, SHEET_COLUMNS, strings
 
 
+#: Fixed value: how the note of a blind item that is looked at again begins.
+RECHECK_NOTE = "BLIND. RECHECK: codebook updated ("
+
+
 class TableError(ValueError):
     """A table that breaks its contract."""
 
 
+#: Rows up to which the writers of hand-made files, which go through the driver, take a table; larger ones belong in Parquet.
+MOST_FILE_ROWS = 2_000_000
+
+
 def read_table(spark: SparkSession, path: str, name: str | None = None) -> DataFrame:
-    return spark.read.parquet(f"{path}/{name}.parquet" if name else path)
+    """A Parquet table. One of fewer splits than cores is dealt out first: it is small, and texts are costly to work on."""
+    rows = spark.read.parquet(f"{path}/{name}.parquet" if name else path)
+    cores = spark.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows._jdf.queryExecution().toRdd().getNumPartitions() < cores else rows
 
 
 def header_of(path: str, encoding: str = "utf-8") -> list[str]:
@@ -66,17 +77,23 @@ def labels_of(items: DataFrame) -> DataFrame:
 
 
 def read_predictions(spark: SparkSession, path: str) -> DataFrame:
-    """The newest record of each ad_id; a missing file has none. A record that is no JSON object or lacks ad_id is an error."""
+    """The newest record of each ad_id; a missing file has none.
+
+    A line that is no JSON object, lacks a field other than error and usage, or has an unknown one is an error.
+    """
     from ..operators.evaluate import last_write_wins
 
     if not os.path.exists(path):
         return spark.createDataFrame([], PREDICTION)
     plain = T.StructType([*PREDICTION, T.StructField("_corrupt", T.StringType())])
     lines = spark.read.text(path).where(F.length(strip(F.col("value"))) > 0).withColumn("line", F.monotonically_increasing_id())
-    parsed = lines.select("line", F.from_json("value", plain, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}).alias("p"))
-    bad = parsed.where("p is null or p._corrupt is not null or p.ad_id is null").limit(1).count()
+    parsed = lines.select("line", F.json_object_keys("value").alias("keys"), F.from_json("value", plain, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}).alias("p"))
+    known = F.array(*(F.lit(f.name) for f in PREDICTION))
+    needed = F.array(*(F.lit(f.name) for f in PREDICTION if f.name not in ("error", "usage", "seq")))
+    whole = (F.size(F.array_except(needed, "keys")) == 0) & (F.size(F.array_except("keys", known)) == 0)
+    bad = parsed.where(F.col("keys").isNull() | ~whole | F.expr("p is null or p._corrupt is not null or p.ad_id is null")).orderBy("line").limit(1).collect()
     if bad:
-        raise TableError(f"{path}: a line is no prediction record")
+        raise TableError(f"{path}: record {bad[0]['line'] + 1} is no prediction record")
     # a log written by several tasks carries its own seq; a plain log's order is its lines'
     seq = F.coalesce("p.seq", "line")
     return last_write_wins(parsed.select(*(F.col(f"p.{f.name}") for f in PREDICTION if f.name != "seq"), seq.alias("seq")))
@@ -97,6 +114,13 @@ def dropped_path(gold_path: str) -> str:
     return str(Path(gold_path).with_name("dropped.csv"))
 
 
+def read_recheck(spark: SparkSession, path: str) -> DataFrame:
+    """(ad_id, note) from a file (ad_id, reason) of blind items whose labels are looked at again; a missing file has none."""
+    rows = read_rows(spark, path, ("ad_id", "reason"))
+    newest = rows.groupBy("ad_id").agg(F.max_by("reason", "seq").alias("reason"))
+    return newest.select("ad_id", F.concat(F.lit(RECHECK_NOTE), "reason", F.lit(")")).alias("note"))
+
+
 def read_sheet(spark: SparkSession, path: str) -> DataFrame:
     """A label sheet's rows: a CSV export, or a workbook's "Label" sheet where the workbook library is installed."""
     need = {"ad_id", "gold_goal", "gold_issue", "notes"}
@@ -118,8 +142,16 @@ def read_sheet(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(*(strip(F.col(c)).alias(c) for c in keep), "seq").where("ad_id <> ''")
 
 
+def _by_hand(rows: DataFrame, path: str) -> DataFrame:
+    """``rows`` if they are few enough for a file that people edit."""
+    if (n := rows.count()) > MOST_FILE_ROWS:
+        raise TableError(f"{path}: {n} rows are too many for a file written by one process; write Parquet instead")
+    return rows
+
+
 def write_gold(items: DataFrame, path: str) -> None:
-    """Rewrite the item file in order of seq: validated first, then staged beside the target and renamed over it."""
+    """Rewrite the item file in order of seq, staged beside the target and renamed over it. Callers validate first."""
+    items = _by_hand(items, path)
     rows = items.select("seq", *(F.coalesce(c, F.lit("")).alias(c) if c in items.columns else F.lit("").alias(c) for c in ALL_COLUMNS)).orderBy("seq")
     Path(path).parent.mkdir(parents=True, exist_ok=True)
     stage = f"{path}.tmp"
@@ -138,7 +170,7 @@ def append_dropped(entries: DataFrame, gold_path: str) -> None:
         out = csv.writer(f)
         if new:
             out.writerow(DROPPED_COLUMNS)
-        for r in entries.select(*DROPPED_COLUMNS).toLocalIterator():
+        for r in _by_hand(entries, log).select(*DROPPED_COLUMNS).toLocalIterator():
             out.writerow(list(r))
 
 
@@ -146,6 +178,7 @@ def append_predictions(preds: DataFrame, path: str, overwrite: bool = False) ->
     """Append records as JSON lines, ASCII only; returns the number of failed ones."""
     Path(path).parent.mkdir(parents=True, exist_ok=True)
     failures = 0
+    preds = _by_hand(preds, path)
     with open(path, "w" if overwrite else "a", encoding="utf-8") as f:
         for r in preds.orderBy("seq").toLocalIterator():
             failures += r["error"] is not None
@@ -159,12 +192,10 @@ def append_prediction_log(preds: DataFrame, path: str, overwrite: bool = False)
 
 
 def write_sheet(rows: DataFrame, path: str) -> None:
+    """A label sheet as CSV, which spreadsheet programs open (with a byte order mark)."""
+    rows = _by_hand(rows, path)
     with open(path, "w", newline="", encoding="utf-8-sig") as f:
         out = csv.writer(f)
         out.writerow(SHEET_COLUMNS)
         for r in rows.orderBy("#").toLocalIterator():
             out.writerow([r[c] for c in SHEET_COLUMNS])
-
-
-def item_order(items: DataFrame) -> Window:
-    return Window.orderBy("seq")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..functions import rules
 from ..operators.evaluate import last_write_wins
@@ -25,13 +26,54 @@ def label_counts(items: DataFrame, every: str = "1 hour", delay: str = "1 day")
     return rules.classify(timed, reasons=False).groupBy(F.window("arrived", every).alias("w"), "goal", "issue").agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), "goal", "issue", "n")
 
 
+#: Folders over which the items of a followed log are dealt.
+PARTS = 64
+
+
+def _folders(spark: SparkSession, table: str):
+    """(batch, part, path) of the table's folders."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(table)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(path, "batch=*/part=*")) if fs.exists(path) else None
+    return fs, [(int(p.getParent().getName()[6:]), int(p.getName()[5:]), p) for p in (f.getPath() for f in found or ())]
+
+
+def read_newest(spark: SparkSession, table: str, schema, before: int | None = None) -> DataFrame:
+    """The followed table: of each part the newest batch, with ``part``; only batches before ``before`` if given."""
+    newest: dict = {}
+    for batch, part, path in _folders(spark, table)[1]:
+        if (before is None or batch < before) and batch >= newest.get(part, (-1,))[0]:
+            newest[part] = (batch, path.toString())
+    empty = spark.createDataFrame([], schema).withColumn("part", F.lit(0))
+    out = empty
+    if newest:
+        out = spark.read.schema(StructType([*schema, StructField("part", IntegerType())])).option("basePath", table).parquet(*(p for _, p in newest.values())).select(*empty.columns)
+    return out
+
+
+def stale(spark: SparkSession, table: str, number: int) -> None:
+    """Remove folders that a batch before the last two has replaced; the last two stay for readers and for a batch that is run again."""
+    fs, folders = _folders(spark, table)
+    newest = {part: max(b for b, p, _ in folders if p == part and b <= number - 1) for part in {p for b, p, _ in folders if b <= number - 1}}
+    for batch, part, path in folders:
+        if batch < newest.get(part, batch):
+            fs.delete(path, True)
+
+
 def newest_predictions(spark: SparkSession, log: str, table: str, checkpoint: str, schema):
-    """Follow a prediction log and keep the newest record of each item in the Parquet table ``table``, batch by batch."""
+    """Follow a prediction log and keep the newest record of each item in the Parquet table ``table``, batch by batch.
+
+    Items are dealt over PARTS folders by a hash of their id, and a batch rewrites only the folders that its items fall in; a
+    folder's content is the newest of its files named by batch, so a batch that is run again gives the same table.
+    """
 
     def merge(batch: DataFrame, number: int) -> None:
-        held = f"{table}/v{number}"
-        before = f"{table}/v{number - 1}"
-        old = batch.sparkSession.read.schema(schema).parquet(before) if number else batch.limit(0)
-        last_write_wins(old.unionByName(batch)).write.mode("overwrite").parquet(held)
+        session = batch.sparkSession
+        new = last_write_wins(batch).withColumn("part", F.pmod(F.xxhash64("ad_id"), F.lit(PARTS)).cast("int"))
+        touched = [r["part"] for r in new.select("part").distinct().collect()]  # at most PARTS
+        old = read_newest(session, table, schema, number).where(F.col("part").isin(touched))
+        merged = last_write_wins(old.unionByName(new), "part")
+        merged.withColumn("batch", F.lit(number)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch", "part").parquet(table)
+        stale(session, table, number)
 
     return spark.readStream.schema(schema).json(log).writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

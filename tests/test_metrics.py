@@ -117,7 +117,22 @@ def test_errors_count_as_wrong(spark):
     rows = {d["ad_id"]: d for d in ev.disagreements(gold, preds).collect()}
     assert rows["1"]["rationale"] == "boom" and rows["2"]["rationale"] == "no prediction" and len(rows) == 2
     text = report.render("T", r, [d.asDict() for d in rows.values()])
-    assert "## goal" in text and "33.3%" in text and "Disagreements (2)" in text
+    assert "## goal" in text and "33.3%" in text and "Items labelled otherwise (2)" in text
+
+
+def test_many_runs_are_not_named_in_the_plan(spark, monkeypatch):
+    gold = spark.createDataFrame([(str(i), "other", "other") for i in range(5)], "ad_id string, goal string, issue string")
+    preds = spark.createDataFrame([(f"r{k}", str(i), "other", "economy", "low", "", "v", "m", None, None, 0) for k in range(4) for i in range(5 - k)], "run string, ad_id string, goal string, issue string, confidence string, rationale string, prompt_version string, model string, error string, usage map<string,bigint>, seq long")
+    few = (sorted(map(str, ev.align(gold, preds).collect())), sorted(map(str, ev.counts(gold, preds).collect())))
+    monkeypatch.setattr(ev, "NAMED_RUNS", 3)
+    assert (sorted(map(str, ev.align(gold, preds).select("run", "field", "ad_id", "gold", "pred").collect())), sorted(map(str, ev.counts(gold, preds).collect()))) == few and len(few[0]) == 40
+
+
+def test_exact_bootstrap_is_bounded(spark, monkeypatch):
+    aligned = spark.createDataFrame([("a", "goal", str(i), "x", "x") for i in range(9)], "run string, field string, ad_id string, gold string, pred string")
+    monkeypatch.setattr(ev, "MOST_EXACT", 8)
+    with pytest.raises(ValueError, match="too many"):
+        ev.bootstrap(aligned)
 
 
 def test_no_predictions_at_all(spark):

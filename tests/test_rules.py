@@ -74,9 +74,9 @@ def test_queries_read_whole_texts(spark, tmp_path):
     want = {r["ad_id"]: python_rules(r["ad_text"]) for r in syn.items(spark, str(tmp_path)).collect()}
     from_phrases = {r["ad_id"]: python_rules(r["phrases"]) for r in syn.items(spark, str(tmp_path)).collect()}
     assert sum(want[i] != from_phrases[i] for i in want) > 20
-    assert {r["ad_id"]: tuple(r[c] for c in ("goal", "issue", "confidence", "reason")) for r in queries.rules_reason_text(spark, str(tmp_path)).collect()} == want
-    assert {r["ad_id"]: tuple(r[c] for c in ("goal", "issue", "confidence", "rationale")) for r in queries.rules_predictions_text(spark, str(tmp_path)).collect()} == want
-    assigned = queries.blind_assign_text(spark, str(tmp_path)).collect()
+    assert {r["ad_id"]: tuple(r[c] for c in ("goal", "issue", "confidence", "reason")) for r in queries.rules_reason(spark, str(tmp_path)).collect()} == want
+    assert {r["ad_id"]: tuple(r[c] for c in ("goal", "issue", "confidence", "rationale")) for r in queries.rules_predictions(spark, str(tmp_path)).collect()} == want
+    assigned = queries.blind_assign(spark, str(tmp_path)).collect()
     assert sum(r["label_mode"] == "blind" for r in assigned) == 40
     for r in assigned:
         w = want[r["ad_id"]]

@@ -1,5 +1,6 @@
 import csv
 import json
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -191,6 +192,65 @@ def test_prediction_log(spark, tmp_path):
         tb.read_predictions(spark, path)
 
 
+@pytest.mark.parametrize("change", [{"goal": None}, {"extra": 1}, {"ad_id": None}, {"model": None}])
+def test_prediction_records_are_strict(spark, tmp_path, change):
+    path = str(tmp_path / "p.jsonl")
+    good = {"ad_id": "1", "goal": "other", "issue": "other", "confidence": "low", "rationale": "r", "prompt_version": "v", "model": "m"}
+    bad = {**good, **{k: v for k, v in change.items() if v is not None}}
+    for k in (k for k, v in change.items() if v is None):
+        del bad[k]
+    Path(path).write_text(json.dumps(good) + "\n")
+    assert tb.read_predictions(spark, path).count() == 1  # error and usage may be absent
+    Path(path).write_text(json.dumps(good) + "\n" + json.dumps(bad) + "\n")
+    with pytest.raises(tb.TableError, match="record 2"):
+        tb.read_predictions(spark, path)
+
+
+def test_files_of_one_process_are_bounded(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(tb, "MOST_FILE_ROWS", 5)
+    with pytest.raises(tb.TableError, match="too many"):
+        tb.write_gold(workflow_items(spark, 6), str(tmp_path / "g.csv"))
+    assert not (tmp_path / "g.csv").exists()
+
+
+def test_several_pasted_files_are_numbered_together(spark, tmp_path):
+    raw, gold = tmp_path / "raw", str(tmp_path / "gold.csv")
+    raw.mkdir()
+    (raw / "a.txt").write_text(PASTE, encoding="utf-8")
+    (raw / "b.txt").write_text(PASTE.replace("Library ID: ", "Library ID: 9"), encoding="utf-8")
+    cards = paste.numbered(paste.parse(tb.read_pastes(spark, str(raw)))).orderBy("seq").collect()
+    assert [r["seq"] for r in cards] == list(range(10)) and [r["library_id"] for r in cards] == ["111", "222", "333", "444", "555", "9111", "9222", "9333", "9444", "9555"]
+    assert cli.main(["import-library", "--raw", str(raw), "--search", "s", "--gold", gold]) == 0
+    assert [r["ad_id"] for r in csv.DictReader(open(gold, encoding="utf-8"))] == ["111", "444", "555"]
+
+
+def test_sheet_command(spark, tmp_path):
+    gold, out = str(tmp_path / "gold.csv"), str(tmp_path / "sheet.csv")
+    tb.write_gold(workflow_items(spark, 8), gold)
+    with pytest.raises(tb.TableError, match="label_mode"):
+        cli.main(["make-sheet", "--gold", gold, "--out", out])
+    assert cli.main(["assist", "--gold", gold, "--blind", "8", "--seed", "1"]) == 0
+    (tmp_path / "recheck.csv").write_text('ad_id,reason\n003,"rule 4, new"\n')
+    assert cli.main(["make-sheet", "--gold", gold, "--recheck", str(tmp_path / "recheck.csv"), "--out", out]) == 0
+    rows = {r["ad_id"]: r for r in csv.DictReader(open(out, encoding="utf-8-sig"))}
+    assert len(rows) == 8 and rows["003"]["why_suggested"] == "BLIND. RECHECK: codebook updated (rule 4, new)" and rows["004"]["why_suggested"] == labeling.BLIND_NOTE
+    assert tb.read_recheck(spark, str(tmp_path / "none.csv")).count() == 0
+
+
+def test_checkpoints_need_a_shared_folder_on_a_cluster(spark):
+    from types import SimpleNamespace
+
+    from tagloom.lineage import settle
+
+    made = []
+    context = lambda master: SimpleNamespace(getCheckpointDir=lambda: None, master=master, setCheckpointDir=made.append)
+    frame = lambda master, folder: SimpleNamespace(sparkSession=SimpleNamespace(sparkContext=context(master), conf=SimpleNamespace(get=lambda k, d: folder)), checkpoint=lambda eager: "done")
+    for master in ("spark://host:7077", "yarn", "local-cluster[3,2,1000]"):
+        with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+            settle(frame(master, None))
+    assert settle(frame("yarn", "hdfs:///shared")) == "done" and made == ["hdfs:///shared"] and settle(frame("local[4]", None)) == "done"
+
+
 def workflow_items(spark, n=60):
     blank = {c: "" for c in ALL_COLUMNS}
     rows = [{**blank, "ad_id": f"{i:03d}", "ad_text": "chip in" if i % 2 else "vote", "page_name": "p"} for i in range(n)]
@@ -368,5 +428,11 @@ def test_streaming_labels(spark, tmp_path):
     log, table, chk2 = (str(tmp_path / x) for x in ("log", "table", "chk2"))
     tb.append_prediction_log(spark.createDataFrame([("1", "", "", "", "", "v", "m", "boom", {}, 0), ("1", "other", "other", "low", "r", "v", "m", None, {}, 1)], PREDICTION), log)
     tail.newest_predictions(spark, log, table, chk2, PREDICTION).awaitTermination()
-    assert [r["goal"] for r in spark.read.parquet(f"{table}/v0").collect()] == ["other"]
-    assert ev.last_write_wins(spark.read.schema(PREDICTION).json(log)).count() == 1
+    assert [r["goal"] for r in tail.read_newest(spark, table, PREDICTION).collect()] == ["other"]
+    for goal in ("persuasion", "fundraising", "mobilization"):
+        tb.append_prediction_log(spark.createDataFrame([("2", goal, "other", "low", "r", "v", "m", None, {}, 5 + len(goal))], PREDICTION), log)
+        tail.newest_predictions(spark, log, table, chk2, PREDICTION).awaitTermination()
+    assert sorted((r["ad_id"], r["goal"]) for r in tail.read_newest(spark, table, PREDICTION).collect()) == [("1", "other"), ("2", "mobilization")]
+    folders = sorted(str(p.relative_to(table)) for p in Path(table).glob("batch=*/part=*"))
+    assert len(folders) == 3  # the part of the first item, and the last two of the second's
+    assert ev.last_write_wins(spark.read.schema(PREDICTION).json(log)).count() == 2
