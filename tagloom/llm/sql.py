@@ -8,13 +8,20 @@ l AS (SELECT k, conv, turn, i, raw[i] AS line, length(regexp_replace(regexp_extr
     trim(regexp_replace(lower(regexp_replace(raw[i], '^[\x20\x09]*(>[\x20\x09]*)+', '')), '[\x20\x09-\x0D]+', ' ', 'g')) AS norm FROM (SELECT *, unnest(range(1, len(raw) + 1)) AS i FROM m)),
 q AS (SELECT conv, turn, norm, min(level) AS level, count(*) AS n FROM l WHERE level > 0 AND norm <> '' AND conv IS NOT NULL AND turn IS NOT NULL GROUP BY ALL),
 o AS (SELECT q.conv, q.turn, q.norm, q.level, q.n, max(w.turn) AS origin FROM q JOIN l w ON w.conv = q.conv AND w.norm = q.norm AND w.level = 0 AND w.turn < q.turn GROUP BY ALL),
-v AS (SELECT conv, turn, origin, sum(CASE WHEN level = 1 THEN n ELSE 0 END) AS direct, sum(n) AS n FROM o GROUP BY ALL),
+g AS (SELECT k, conv, turn, i, norm, CASE WHEN norm = '' THEN -1 ELSE level END AS lev FROM l),
+f AS (SELECT *, i - row_number() OVER (PARTITION BY k, lev ORDER BY i) AS island FROM g),
+y AS (SELECT k, conv, turn, lev AS level, string_agg(norm, ' ' ORDER BY i) AS t, list(norm) AS norms, count(*) AS n FROM f WHERE conv IS NOT NULL AND turn IS NOT NULL GROUP BY k, conv, turn, lev, island),
+a AS (SELECT y.conv, y.turn, t, min(level) AS level, sum(n) AS n FROM y WHERE level > 0 AND NOT EXISTS (SELECT 1 FROM o WHERE o.conv = y.conv AND o.turn = y.turn AND list_contains(y.norms, o.norm)) GROUP BY ALL),
+w AS (SELECT conv, turn, t FROM y WHERE level = 0 AND n > 1 UNION SELECT conv, turn, norm FROM l WHERE level = 0 AND norm <> ''),
+e AS (SELECT conv, turn, level, n, origin FROM o UNION ALL SELECT a.conv, a.turn, a.level, a.n, max(w.turn) FROM a JOIN w ON w.conv = a.conv AND w.t = a.t AND w.turn < a.turn GROUP BY a.conv, a.turn, a.t, a.level, a.n),
+v AS (SELECT conv, turn, origin, sum(CASE WHEN level = 1 THEN n ELSE 0 END) AS direct, sum(n) AS n FROM e GROUP BY ALL),
 p AS (SELECT conv, turn, arg_max(origin, {'d': direct, 'n': n, 'o': origin}) AS parent, sum(n) AS n_linked FROM v GROUP BY ALL),
 up AS (SELECT conv, turn, parent AS node, 1 AS depth FROM p UNION ALL SELECT up.conv, up.turn, p.parent, depth + 1 FROM up JOIN p ON p.conv = up.conv AND p.turn = up.node),
 r AS (SELECT conv, turn, arg_max(node, depth) AS root, max(depth) AS depth FROM up GROUP BY ALL),
-b AS (SELECT k, conv, turn, count(*) FILTER (level > 0) AS n_quoted, regexp_replace(regexp_replace(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (level = 0), ''), '^([\x20\x09]*\r?\n)+', ''), '(\r?\n[\x20\x09]*)+$', '') AS body FROM l GROUP BY ALL)
-SELECT b.conv AS conv_id, b.turn, m.role, body, n_quoted, coalesce(p.n_linked, 0)::BIGINT AS n_linked, p.parent AS parent_turn, coalesce(r.root, b.turn) AS thread_turn, coalesce(r.depth, 0)::BIGINT AS depth, '<|' || coalesce(m.role, 'unknown') || '|>' || chr(10) || body AS formatted
-FROM b JOIN m ON m.k = b.k LEFT JOIN p ON p.conv = b.conv AND p.turn = b.turn LEFT JOIN r ON r.conv = b.conv AND r.turn = b.turn"""
+b AS (SELECT k, conv, turn, count(*) FILTER (level > 0) AS n_quoted, regexp_replace(regexp_replace(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (level = 0), ''), '^([\x20\x09]*\r?\n)+', ''), '(\r?\n[\x20\x09]*)+$', '') AS body FROM l GROUP BY ALL),
+z AS (SELECT b.conv AS conv_id, b.turn, m.role, body, n_quoted, coalesce(p.n_linked, 0)::BIGINT AS n_linked, p.parent AS parent_turn, coalesce(r.root, b.turn) AS thread_turn, coalesce(r.depth, 0)::BIGINT AS depth, '<|' || coalesce(m.role, 'unknown') || '|>' || chr(10) || body AS formatted
+  FROM b JOIN m ON m.k = b.k LEFT JOIN p ON p.conv = b.conv AND p.turn = b.turn LEFT JOIN r ON r.conv = b.conv AND r.turn = b.turn)
+SELECT *, CASE WHEN conv_id IS NOT NULL AND turn IS NOT NULL THEN rank() OVER (PARTITION BY conv_id, turn IS NULL ORDER BY thread_turn, turn) END AS position FROM z"""
 
 OP4 = """
 WITH RECURSIVE v AS (SELECT row_number() OVER () AS k, vec_id, embedding::DOUBLE[] AS e FROM embeddings),
