@@ -1,37 +1,43 @@
 """Embedding near-dedup with a pivot-permutation index.
 
-Pivots are reference vectors. A vector is described by its NEAREST nearest pivots, in order. The inverted lists hold, for
-every SHARED of these pivots, the vectors that have them all, so two vectors meet in a list if and only if they share at
-least SHARED pivots. Vectors that meet are verified by cosine in double precision.
+Pivots are reference vectors. A vector is described by its NEAREST nearest pivots, nearest first. Its postings go to inverted
+lists of SHARED pivots each: every choice of that many of its pivots whose ranks (0 for the nearest) add up to RANKS at most.
+So two vectors meet if they share SHARED pivots that stand near the front of both orders; the counts of shared pivots are
+taken by the lists themselves, and a list's length does not grow with the table. Vectors that meet are verified by cosine in
+double precision.
 
 Pivots come from a sample of at most SAMPLE vectors (chosen by hash; a bound on what reaches the driver), thinned by
 farthest-first choice so that a crowded region takes few; their number follows the cube root of the number of vectors, so a
-list's expected length stays the same. Every vector is indexed. Two vectors of cosine 0.95 in 64 dimensions (random
-directions, 4,000 pairs) meet with probability 1.000 at 100, 300 and 600 pivots, 0.999 at 1,205 and 0.998 at 2,466.
+list's expected length stays the same up to MOST_PIVOTS (137 M vectors) and is 53 n / 1.1e10 beyond. Every vector is indexed,
+in 53 lists. Two vectors of cosine exactly 0.95 in 64 dimensions (random directions, 3,000 pairs) meet with probability 0.998
+at 300 pivots, 0.994 at 1,205 and 0.985 at 4,096.
 
 A list is cut into blocks of BLOCK members and blocks are compared two by two, so no task holds a whole long list; a pair
-is counted only in the list of its least shared pivots. Tasks return, for each vector, its number of links and the least
+is counted only in the first list that both are in. Tasks return, for each vector, its number of links and the least
 vector of its part of the block, not pairs.
 
-Equal vectors are one class (a 64-bit hash of their values). Vectors that are null, empty or zero, or hold null or non-finite
+Equal vectors are one class (a 128-bit hash of their values). Vectors that are null, empty or zero, or hold null or non-finite
 components link with nothing; so do vectors of different dimensions. Rows with a null id link, but a component of only such
 rows has a null id. Repeated rows are vectors of their own that link with each other.
 """
 
 from __future__ import annotations
 
+from itertools import combinations
+
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common, links
+from .bagminhash import identity
 
 THRESHOLD = 0.95
 SAMPLE = 8192
-NEAREST = 10
+NEAREST = 12
 SHARED = 3
+RANKS = 12
 BLOCK = 512
 #: Pivots: least, most, and the factor of the count under the cube root.
 LEAST_PIVOTS, MOST_PIVOTS, CROWD = 32, 4096, 500
@@ -54,14 +60,15 @@ def classes(df: DataFrame, id_col: str, vec_col: str) -> tuple[DataFrame, DataFr
     """Rows (id, cid), and (cid, n, least id, vec) of each distinct vector."""
 
     def scan(batch: pa.RecordBatch):
-        cids, vecs = [], []
+        halves, vecs = [], []
         for value in batch.column(vec_col):
             x = vector(value.as_py())
-            cids.append(None if x is None else int.from_bytes(xxhash.xxh3_64_digest((x + 0.0).tobytes()), "little", signed=True))
+            halves.append((None, None) if x is None else identity((x + 0.0).tobytes()))
             vecs.append(None if x is None else x.tobytes())
-        yield pa.RecordBatch.from_arrays([batch.column(id_col), pa.array(cids, pa.int64()), pa.array(vecs, pa.binary())], names=["id", "cid", "vec"])
+        yield pa.RecordBatch.from_arrays([batch.column(id_col), pa.array([h[0] for h in halves], pa.int64()), pa.array([h[1] for h in halves], pa.int64()), pa.array(vecs, pa.binary())], names=["id", "raw", "check", "vec"])
 
-    rows = common.settle(common.map_batches(df, [id_col, vec_col], scan, f"id {df.schema[id_col].dataType.simpleString()}, cid bigint, vec binary"))
+    rows = common.settle(common.map_batches(df, [id_col, vec_col], scan, f"id {df.schema[id_col].dataType.simpleString()}, raw bigint, check bigint, vec binary"))
+    rows = common.apart(rows)
     solid = rows.where("cid is not null")
     one = solid.groupBy("cid").agg(F.count("*").alias("n"), F.min("id").alias("least"))
     return rows.select("id", "cid"), common.settle(one.join(solid.select("cid", "vec").dropDuplicates(["cid"]), "cid"))
@@ -88,34 +95,35 @@ def describe(x: np.ndarray, pivots: np.ndarray, nearest: int = NEAREST) -> np.nd
     return np.argsort(-(x @ pivots.T), axis=1, kind="stable")[:, : min(nearest, len(pivots))]
 
 
-def lists_of(described: np.ndarray, d: int, shared: int = SHARED) -> np.ndarray:
-    """Keys of the inverted lists of each vector: its pivots taken ``shared`` at a time, as one number with the dimension."""
-    from itertools import combinations
-
-    ordered = np.sort(described, axis=1).astype(np.int64)
-    take = min(shared, ordered.shape[1])
-    out = []
-    for places in combinations(range(ordered.shape[1]), take):
-        key = np.full(len(ordered), d, dtype=np.int64)
-        for p in places:
-            key = key * MOST_PIVOTS + ordered[:, p]
-        out.append(key)
-    return np.stack(out, axis=1)
+def lists_of(described: np.ndarray, d: int, shared: int = SHARED, ranks: int = RANKS) -> np.ndarray:
+    """Keys of the inverted lists of each vector, as one number with the dimension."""
+    have = described.shape[1]
+    choices = [c for c in combinations(range(have), min(shared, have)) if sum(c) <= ranks]
+    pivots = np.sort(described[:, choices], axis=2).astype(np.int64)
+    key = np.full(pivots.shape[:2], d, dtype=np.int64)
+    for k in range(pivots.shape[2]):
+        key = key * MOST_PIVOTS + pivots[:, :, k]
+    return key
 
 
-def compare(key_top: int, described: np.ndarray, x: np.ndarray, side: np.ndarray, mixed: bool, threshold: float, shared: int) -> np.ndarray:
-    """Which pairs link and are counted here: ``key_top`` is the largest pivot of the list, and no other shared pivot may be below it."""
+def linked(x: np.ndarray, side: np.ndarray, mixed: bool, threshold: float) -> np.ndarray:
+    """Which pairs of a list's block, or of two of its blocks, link."""
     link = x @ x.T >= threshold
-    has = np.zeros((len(x), key_top + 1), dtype=np.float32)
-    row, col = np.nonzero(described <= key_top)
-    has[row, described[row, col]] = 1
-    link &= has @ has.T < shared + 0.5
     if mixed:
         link &= side[:, None] != side[None, :]
     np.fill_diagonal(link, False)
     return link
 
 
+def first_met(key: int, keys: np.ndarray) -> np.ndarray:
+    """Which pairs of vectors, by the keys of their lists, are in no list before ``key`` together."""
+    before = [np.sort(k[k < key]) for k in keys]
+    if len(before) > 8:
+        return links.overlaps([k.view(np.uint64) for k in before]) == 0
+    sets = [set(k.tolist()) for k in before]
+    return np.array([[a.isdisjoint(b) for b in sets] for a in sets])
+
+
 def find(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", threshold: float = THRESHOLD, nearest: int = NEAREST, shared: int = SHARED, block: int = BLOCK) -> DataFrame:
     """(id, n_links, component_id, kept) of each row."""
     spark = df.sparkSession
@@ -131,12 +139,12 @@ def find(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", thre
         for d in sorted({len(v) for v in vecs}):
             at = [i for i, v in enumerate(vecs) if len(v) == d]
             if d not in shared_pivots.value:  # a dimension so rare that the sample lacks it: one list for all
-                seen, keys = np.zeros((len(at), 1), np.int64), np.full((len(at), 1), -d, np.int64)
+                keys = np.full((len(at), 1), -d, np.int64)
             else:
-                seen = describe(unit(np.array([vecs[i] for i in at])), shared_pivots.value[d], nearest)
-                keys = lists_of(seen, d, shared)
+                keys = lists_of(describe(unit(np.array([vecs[i] for i in at])), shared_pivots.value[d], nearest), d, shared)
             cids = batch.column("cid").take(pa.array(at))
-            yield pa.RecordBatch.from_arrays([cids, pa.array(keys.tolist(), pa.list_(pa.int64()))], names=["cid", "keys"])
+            ends = pa.array(np.arange(len(at) + 1) * keys.shape[1], pa.int32())
+            yield pa.RecordBatch.from_arrays([cids, pa.ListArray.from_arrays(ends, pa.array(keys.ravel()))], names=["cid", "keys"])
 
     posts = common.map_batches(distinct, ["cid", "vec"], index, "cid bigint, keys array<bigint>").select("cid", F.explode("keys").alias("key"))
     posts = common.settle(posts)
@@ -151,13 +159,14 @@ def find(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", thre
         cids = np.array([g[0] for g in group])
         x = unit(np.array([np.frombuffer(g[2]) for g in group]))
         weight, side = np.array([g[1] for g in group]), np.array([g[3] for g in group])
-        pivots = shared_pivots.value.get(x.shape[1])
-        if pivots is None:
-            seen, top, own = np.zeros((len(x), 1), np.int64), 0, 1
-        else:
-            seen = describe(x, pivots, nearest)
-            top, own = key % MOST_PIVOTS, min(shared, seen.shape[1])
-        link = compare(top, seen, x, side, lo != hi, threshold, own)
+        link = linked(x, side, lo != hi, threshold)
+        at = np.flatnonzero(link.any(axis=1))
+        if not len(at):
+            return cids[at], weight[at], cids[at]
+        cids, weight, link, pivots = cids[at], weight[at], link[np.ix_(at, at)], shared_pivots.value.get(x.shape[1])
+        if pivots is not None:
+            # a pair is counted only in the first list that both are in
+            link &= first_met(key, lists_of(describe(x[at], pivots, nearest), x.shape[1], shared))
         counted = np.flatnonzero(link.any(axis=1))
         return cids[counted], (link @ weight)[counted], links.joined_heads(link, cids)[counted]
 
