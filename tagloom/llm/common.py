@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import time
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -10,7 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..lineage import settle  # noqa: F401  the operators' modules use it from here
+from ..lineage import settle  # the operators' modules use it from here
+from ..sources.tables import read_table
 
 #: Rows and bytes of one Arrow batch; one longer row is taken alone.
 BATCH_ROWS = 1000
@@ -20,16 +22,19 @@ SLICE_BYTES = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return read_table(spark, sf_dir, name)
 
 
 def release(spark: SparkSession) -> None:
     """Let the driver find out which shuffles and checkpoints nothing refers to any more.
 
     Their files go before the next step; those of checkpoints only if spark.cleaner.referenceTracking.cleanCheckpoints is set.
+    The first round lets go of what Python held, so it takes a second one for the driver to see that nothing is left.
     """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.2)
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -122,6 +127,36 @@ def sliced(texts: list[bytes]) -> Iterator[tuple[int, int]]:
         yield start, len(texts)
 
 
+def places_of(pattern) -> dict:
+    """For each element of a sequence the bits of its places."""
+    places: dict = {}
+    for i, x in enumerate(pattern):
+        places[x] = places.get(x, 0) | 1 << i
+    return places
+
+
+def edits(places: dict, m: int, text, anchored: bool) -> Iterator[int]:
+    """Myers' bit-parallel distances of a pattern of ``m`` elements, not empty, after each element of ``text``.
+
+    ``anchored``: to all of the text so far; else to the best part of it that ends there.
+    """
+    full, last, carry = (1 << m) - 1, 1 << (m - 1), int(anchored)
+    up, down, distance = full, 0, m
+    get = places.get
+    for x in text:
+        eq = get(x, 0)
+        match = eq | down
+        flat = (((eq & up) + up) ^ up) | eq
+        more, less = down | (full & ~(flat | up)), up & flat
+        if more & last:
+            distance += 1
+        elif less & last:
+            distance -= 1
+        more, less = (more << 1 | carry) & full, (less << 1) & full
+        up, down = less | (full & ~(match | more)), more & match
+        yield distance
+
+
 def _mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser (xor-shift and multiply, twice)."""
     x = (x ^ (x >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)

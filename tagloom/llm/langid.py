@@ -12,12 +12,11 @@ not used; where nothing can be learned all predictions are ``und``. Each input r
 from __future__ import annotations
 
 import re
-import zlib
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -25,6 +24,8 @@ from . import common
 #: Documents a language on average that the model is fitted on (chosen by a hash of the id) and n-grams kept of each language.
 FIT_DOCS = 1500
 GRAMS = 3000
+#: Distinct languages beyond which the column is taken for a mistake; there are fewer languages than that.
+MOST_LANGUAGES = 10_000
 #: log2 of the filter's slots, slots of an n-gram, and the n-gram lengths.
 SLOT_BITS = 18
 HASHES = 2
@@ -145,7 +146,10 @@ def learn(df: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col:
     """
     common.small_batches(df.sparkSession)
     rows = df.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    found = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n")).limit(MOST_LANGUAGES + 1).collect()
+    if len(found) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages: is {lang_col} a language?")
+    sizes = {r["lang"]: r["n"] for r in found}
     languages = sorted(sizes)
     if not languages:
         return Filter([], {})
@@ -169,12 +173,12 @@ def learn(df: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col:
         for language, own in held.items():
             yield _counted(own, language)
 
-    counts = common.settle(sample.select("lang", "text").mapInArrow(count, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n")))
-    learned = {}
-    for language in languages:
-        top = counts.where(F.col("lang") == language).orderBy(F.desc("n"), "gram").limit(n_grams).select("gram").toArrow()
-        learned[language] = np.asarray(top.column(0).to_numpy(), dtype=np.int64).view(np.uint64)
-    return Filter(languages, learned)
+    counts = sample.select("lang", "text").mapInArrow(count, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    # the sample is bounded, and so are a language's n-grams
+    best = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
+    top = counts.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= n_grams).select("lang", "gram").toPandas()
+    learned = {language: np.sort(own["gram"].to_numpy(dtype=np.int64)).view(np.uint64) for language, own in top.groupby("lang")}
+    return Filter(languages, {language: learned.get(language, np.empty(0, np.uint64)) for language in languages})
 
 
 def _counted(own: dict[int, int], language: str) -> pa.RecordBatch:
@@ -204,8 +208,3 @@ def keep(df: DataFrame, model: Filter, text_col: str = "text", min_coverage: flo
         return pd.Series([x[0] != "und" and x[2] >= min_coverage for x in found], dtype=bool)
 
     return df.where(known(F.col(text_col)))
-
-
-def crc_text(value: int) -> int:
-    """The fold's hash in Python, for tests."""
-    return zlib.crc32(str(value).encode())

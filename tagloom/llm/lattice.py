@@ -6,7 +6,8 @@ pieces' probabilities; a log-space forward recursion gives the sum. A character
 vocabulary's byte pieces. The text's probability is the product over its tokens, times the end's.
 
 The vocabulary's own scores are the first weights: log-probabilities of a unigram vocabulary as they are, ranks of a merge
-vocabulary as -log(rank + 1). Expected piece counts over all training tokens then re-estimate them, EM_ROUNDS times.
+vocabulary as -log(rank + 2). Expected piece counts over all training tokens then re-estimate them, EM_ROUNDS times; with
+``rounds`` 0 the scores are the vocabulary's own.
 
 Words are scored once each: training counts, lattice values and their table grow with the corpus and stay distributed. The
 COMMON most frequent words (a bound on what is broadcast) are looked up where the text is; the rest by a join.
@@ -30,7 +31,7 @@ from . import common
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 EM_ROUNDS = 2
-#: Most frequent words that are broadcast with their values, about 30 bytes each.
+#: Most frequent words that are broadcast with their values: none longer than LONG characters, so at most 230 bytes each.
 COMMON = 200_000
 #: Distinct words that a task holds before it passes their counts on.
 HELD = 300_000
@@ -294,7 +295,7 @@ def learn(words: DataFrame, n_docs: int, v: Pieces, rounds: int = EM_ROUNDS) ->
     return v
 
 
-def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, common_words: int = COMMON) -> DataFrame:
+def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, common_words: int = COMMON, rounds: int = EM_ROUNDS) -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) of each row."""
     spark = docs.sparkSession
     counted = common.settle(word_counts(docs, id_col, text_col))
@@ -302,7 +303,7 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voca
     facts = counted.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count_if(F.col("c") > 0).alias("v")).first()
     n_train, n_types = facts["n"] + n_docs, facts["v"] + (n_docs > 0)
     bottom = np.log10(n_train + n_types + 1)
-    model = spark.sparkContext.broadcast(learn(counted, n_docs, load(vocabulary)))
+    model = spark.sparkContext.broadcast(learn(counted, n_docs, load(vocabulary), rounds))
 
     def lattice(batches):
         for batch in gathered(batches):
@@ -352,13 +353,13 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voca
     )
 
 
-
 def _frequent(table: DataFrame, most: int) -> tuple[dict[bytes, int], np.ndarray, np.ndarray]:
-    """The most frequent words, at most ``most``, with their places in the arrays of counts and log-probabilities.
+    """The most frequent words of at most LONG characters, at most ``most``, with their places in the arrays of counts and log-probabilities.
 
     Words are cut at a step of the frequency scale, found from a histogram, so nothing is sorted.
     """
     step = F.floor(8 * F.log2("seen")).cast("int")
+    table = table.where(F.length("word") <= LONG)
     total, bound = 0, None
     for r in table.groupBy(step.alias("step")).agg(F.count("*").alias("n")).orderBy(F.desc("step")).collect():
         total += r["n"]

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from . import common
 
 #: Kinds in output order; the first four are the base kinds.
-KINDS = ("email", "ip", "card", "phone", "iban", "ssn")
+KINDS = ("email", "ip", "card", "phone", "iban", "ssn", "secret")
 #: Least score of a kind that the method itself adds.
 MIN_SCORE = 0.5
 #: Characters on either side of a span in which context words count.
@@ -30,6 +30,9 @@ _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
 _SSN = re.compile(r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])")
 _NON_DIGIT = re.compile(r"[^0-9]+")
+# A key or token: long, of letters and digits in no order; what it is shows in the words beside it.
+_SECRET = re.compile(r"(?<![A-Za-z0-9_/+-])[A-Za-z0-9_/+-]{20,}+={0,2}")
+_LEAST_DISTINCT = 8
 #: Words near a span that make a kind likelier (fixed values).
 _HINTS = {
     "email": ("mail", "contact", "write"),
@@ -38,11 +41,12 @@ _HINTS = {
     "phone": ("phone", "tel", "call", "mobile", "fax"),
     "iban": ("iban", "bank", "account", "konto", "compte", "cuenta"),
     "ssn": ("ssn", "social", "security"),
+    "secret": ("token", "key", "secret", "password", "passwd", "api", "credential", "credentials", "bearer"),
 }
 #: Words that make any kind less likely (fixed values).
 _DOUBTS = ("example", "sample", "test", "dummy", "version")
 #: Score before context: a checksum is strong evidence, a shape alone is weak.
-_PRIOR = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.9, "ssn": 0.35}
+_PRIOR = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.9, "ssn": 0.35, "secret": 0.35}
 
 
 def luhn(digits: str) -> bool:
@@ -98,9 +102,15 @@ def score(text: str, kind: str, start: int, end: int) -> float:
     return min(1.0, max(0.0, value))
 
 
+def random_looking(token: str) -> bool:
+    """Letters and digits, several of each kind of character, as in keys and digests but not in words or numbers."""
+    return len(set(token)) >= _LEAST_DISTINCT and any("0" <= c <= "9" for c in token) and any(c.isalpha() for c in token)
+
+
 def added_spans(text: str) -> list[tuple[int, int, int]]:
     out = [(m.start(), 4, m.end()) for m in _IBAN.finditer(text) if mod97(m[0])]
     out += [(m.start(), 5, m.end()) for m in _SSN.finditer(text)]
+    out += [(m.start(), 6, m.end()) for m in _SECRET.finditer(text) if random_looking(m[0])]
     return [x for x in out if score(text, KINDS[x[1]], x[0], x[2]) >= MIN_SCORE]
 
 
@@ -130,7 +140,7 @@ def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
         return F.size(F.filter("found", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
     only_base = F.filter("found", lambda s: s["kind"].isin(*base))
-    return found.select(id_col, *(number(k) for k in base), F.sha2(joined(only_base), 256).alias("base_sha256"), joined(F.col("found")).alias("spans"), *(number(k) for k in KINDS[4:]))
+    return found.select(id_col, *(number(k) for k in base), F.sha2(joined(only_base), 256).alias("base_sha256"), joined(F.col("found")).alias("spans"), *(number(k) for k in KINDS[4:]), F.size("found").cast("long").alias("n_found"))
 
 
 def redact(df: DataFrame, text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
