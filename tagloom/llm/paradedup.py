@@ -9,8 +9,9 @@ Words are runs of letters and digits, lower case; places in a text are counted i
   probability 0.86 at 20 words, 0.90 at 30, 0.92 at 40 and 0.94 at 80 (3,000 simulated pairs each).
 * A passage may stand inside a longer line or be broken into other lines. Every run of WINDOW five-word shingles is therefore
   MinHashed with one function: the shingle of least hash (the first on ties) marks a place, one for many runs, about every
-  16 words. The UNIT words from there are a unit; units link if all their words are equal. Two texts that share
-  WINDOW + UNIT = 51 words in a row share a run with its marked place and the unit behind it, so no such passage is missed.
+  16 words. The UNIT words from there are a unit, and so are the UNIT words before the next place if that is farther; units
+  link if all their words are equal. Two texts that share WINDOW + UNIT = 51 words in a row share a run with its marked place
+  and the unit behind it, so no such passage is missed, and between the first and the last place no word is left out.
 
 Of each component the first member (least id, null ids last, then row and place) stays. Members that touch or overlap in a
 text are one passage. Only what stands in several rows counts, unless ``across`` is off. Shorter lines are listed only as
@@ -49,22 +50,10 @@ _PLACE_BITS = np.uint64(31)
 
 
 def edit_distance(a: list, b: list) -> int:
-    """Levenshtein distance of two sequences, bit-parallel over the first."""
+    """Levenshtein distance of two sequences."""
     if not a or not b:
         return max(len(a), len(b))
-    places: dict = {}
-    for i, x in enumerate(a):
-        places[x] = places.get(x, 0) | 1 << i
-    full, last = (1 << len(a)) - 1, 1 << (len(a) - 1)
-    up, down, distance = full, 0, len(a)
-    for y in b:
-        eq = places.get(y, 0) | down
-        diagonal = (((eq & up) + up) ^ up) | eq
-        more, less = down | (full & ~(diagonal | up)), up & diagonal
-        distance += bool(more & last) - bool(less & last)
-        more, less = (more << 1 | 1) & full, (less << 1) & full
-        match = places.get(y, 0) | down
-        up, down = less | (full & ~(match | more)), more & match
+    *_, distance = common.edits(common.places_of(a), len(a), b, True)
     return distance
 
 
@@ -189,7 +178,7 @@ def band_keys(words: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 def marked(words: np.ndarray, first: np.ndarray, window: int = WINDOW, unit: int = UNIT) -> tuple[np.ndarray, np.ndarray]:
-    """(text, word's index) of the places that hold the least shingle of some run of ``window``, if a whole unit follows."""
+    """(text, word's index) of the units: at the places that hold the least shingle of some run of ``window``, and between them."""
     n = len(words) - WIDTH + 1
     if n < window:
         return np.empty(0, np.int64), np.empty(0, np.int64)
@@ -212,7 +201,10 @@ def marked(words: np.ndarray, first: np.ndarray, window: int = WINDOW, unit: int
     place = (least[inside] & np.uint64((1 << int(_PLACE_BITS)) - 1)).astype(np.int64)
     text = text[inside]
     new = np.append(True, place[1:] != place[:-1])[: len(place)] & (place + unit <= first[text + 1])
-    return text[new], place[new]
+    text, place = text[new], place[new]
+    # where the next place is farther than a unit, the words before it are a unit too
+    far = np.flatnonzero((np.diff(place) > unit) & (text[1:] == text[:-1])) + 1
+    return np.insert(text, far, text[far]), np.insert(place, far, place[far] - unit)
 
 
 def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

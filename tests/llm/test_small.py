@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -67,6 +68,74 @@ def test_pii_digest(spark):
     assert pii.find(docs_of(spark, [])).count() == 0
 
 
+def brute_added(t):
+    """Added spans by trying every start and every length, without expressions."""
+    word = lambda c: c.isascii() and c.isalnum()
+    digit = lambda c: c in "0123456789" and c != ""
+    upper = lambda s: all("A" <= c <= "Z" or digit(c) for c in s)
+    free = lambda i, ok: not (0 <= i < len(t) and ok(t[i]))
+    out, at = [], 0
+    while at < len(t):
+        end = None
+        if free(at - 1, word) and len(t) >= at + 4 and all("A" <= c <= "Z" for c in t[at : at + 2]) and all(map(digit, t[at + 2 : at + 4])):
+            stops, p = [], at + 4
+            for _ in range(7):
+                q = p + (t[p : p + 1] == " ")
+                if len(t[q : q + 4]) < 4 or not upper(t[q : q + 4]):
+                    break
+                p = q + 4
+                stops.append(p)
+            for s in reversed(stops[1:]):
+                tails = [(s + b + k) for b in ((1, 0) if t[s : s + 1] == " " else (0,)) for k in (3, 2, 1) if len(t[s + b : s + b + k]) == k and upper(t[s + b : s + b + k])]
+                end = next((e for e in (*tails, s) if free(e, word)), None)
+                if end:
+                    break
+        if end:
+            if pii.mod97(t[at:end]):
+                out.append((at, 4, end))
+            at = end
+        else:
+            at += 1
+    dash = lambda c: digit(c) or c == "-"
+    for i in range(len(t) - 10):
+        s = t[i : i + 11]
+        if free(i - 1, dash) and free(i + 11, dash) and s[3] == s[6] == "-" and all(map(digit, s[:3] + s[4:6] + s[7:])) and s[:3] not in ("000", "666") and s[0] != "9" and s[4:6] != "00" and s[7:] != "0000":
+            out.append((i, 5, i + 11))
+    part = lambda c: word(c) or c in "_/+-"
+    i = 0
+    while i < len(t):
+        j = i
+        while j < len(t) and part(t[j]):
+            j += 1
+        if j - i >= 20:
+            e = j + (t[j : j + 1] == "=") + (t[j : j + 2] == "==")
+            if len(set(t[i:e])) >= 8 and any(map(digit, t[i:e])) and any(c.isalpha() for c in t[i:e]):
+                out.append((i, 6, e))
+        i = max(j, i + 1)
+    return sorted(x for x in out if pii.score(t, pii.KINDS[x[1]], x[0], x[2]) >= pii.MIN_SCORE)
+
+
+def test_added_spans_equal_brute_force():
+    rng = random.Random(6)
+    parts = ["GB82 WEST 1234 5698 7654 32", "DE89370400440532013000", "GB82WEST12345698765432", "GB82 WEST 1234 5698 7654 33", "FR76 3000 6000 0112 3456 7890 189", "ssn 123-45-6789", "social 666-12-1234", "security: 123-00-1234", "-", "1", " ", "account ", "A", "token=6df57b16f87eabefefcab67b433efd90636bb6bd", "key aaaaaaaaaaaaaaaaaaaaaaaa1", "api AbC123/+xyzQWE987_tok==", "6df57b16f87eabefefcab67b433efd90636bb6bd", " and some more words that keep things well apart from one another ", "example ", "sample"]
+    found = 0
+    for _ in range(4000):
+        t = "".join(rng.choice(parts) + rng.choice(["", " "]) for _ in range(rng.randrange(1, 7)))
+        want = brute_added(t)
+        found += len(want)
+        assert sorted(pii.added_spans(t)) == want, t
+    assert found > 1000
+    assert pii.luhn("4111111111111111") and not pii.luhn("4111111111111112") and pii.mod97("GB82 WEST 1234 5698 7654 32") and not pii.mod97("GB82 WEST 1234 5698 7654 31")
+
+
+def test_context_moves_the_score():
+    at = lambda t, s: (t.index(s), t.index(s) + len(s))
+    for kind, plain, hinted in (("phone", "see +1 555 123 4567", "phone +1 555 123 4567"), ("ssn", "no 123-45-6789", "ssn 123-45-6789")):
+        s = plain[plain.index("+") :] if kind == "phone" else "123-45-6789"
+        assert pii.score(hinted, kind, *at(hinted, s)) == pytest.approx(pii.score(plain, kind, *at(plain, s)) + 0.3)
+        assert pii.score("test " + plain, kind, *at("test " + plain, s)) == pytest.approx(max(0, pii.score(plain, kind, *at(plain, s)) - 0.3))
+
+
 def test_redaction(spark):
     df = docs_of(spark, [(1, "to a@b.co, 1.2.3.4!"), (2, None), (3, "clean")], extra=True)
     got = {r["doc_id"]: r for r in pii.redact(df).collect()}
@@ -92,6 +161,41 @@ def test_license_base_equals_brute_force(spark):
     assert all(set(filter(None, r["base_labels"].split(","))) <= set(r["labels"].split(",")) for r in got if r["base_labels"])
 
 
+def test_license_notices_equal_brute_force():
+    """A notice is reported exactly where the text has it within its budget of edits; its span holds such a place."""
+    rng = random.Random(17)
+    scanner = licenses.Scanner()
+    found = 0
+    for _ in range(250):
+        label, notice = rng.choice(licenses.NOTICES)
+        text = list(notice)
+        for _ in range(rng.randrange(0, int(len(notice) * licenses.ERROR_RATE) + 4)):
+            k = rng.randrange(len(text))
+            text[k : k + 1] = rng.choice([[], ["z"], [text[k], "q"]])
+        body = prose(rng, rng.randrange(0, 12), 30) + " " + "".join(text).replace(" ", rng.choice([" ", ", ", "\n"])) + " " + prose(rng, rng.randrange(0, 12), 30)
+        norm = " " + " ".join(re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", body.lower())) + " "
+        want = {n for n, (_, t) in enumerate(licenses.NOTICES) if lowest_edits(t, norm) <= int(len(t) * licenses.ERROR_RATE)}
+        got = scanner.fuzzy(norm)
+        assert {n for *_, n in got} == want, body
+        for start, end, edits, n in got:
+            t = licenses.NOTICES[n][1]
+            assert edits <= int(len(t) * licenses.ERROR_RATE) and whole_edits(t, norm[start:end]) == edits
+        found += len(want)
+        labels = set(scanner.scan(body)["labels"])
+        assert {licenses.NOTICES[n][0] for n in want} <= labels
+    assert found > 100
+
+
+def whole_edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(new[-1] + 1, row[j] + 1, row[j - 1] + (x != y)))
+        row = new
+    return row[-1]
+
+
 def test_license_notice_with_errors(spark):
     text = "Intro. Permision is herebby granted, free of charge to any prson. More " + "the words of it " * 50
     r = licenses.digest(licenses.find(docs_of(spark, [(1, text), (2, "permission to land was granted to any person of the crew")]))).orderBy("doc_id").collect()
@@ -129,14 +233,19 @@ def test_decontamination_equals_brute_force(spark):
     bench = spark.createDataFrame(items, "item_id long, text string")
     docs = docs_of(spark, texts + ODD, extra=True)
     got = {(r["doc"], r["item"]): r["edits"] for r in decontam.find(docs, bench).collect()}
-    want = {}
+    want, short = {}, {}
     for d, t in texts + ODD:
         for i, s in items:
             a, b = decontam.normalise(s), decontam.normalise(t)
             if len(a) >= decontam.MIN_CHARS and (e := lowest_edits(a, b)) <= int(len(a) * decontam.ERROR_RATE):
                 want[d, i] = e
-    assert got == want and len(want) > 10
-    assert {(r["doc"], r["item"]) for r in decontam.find(docs, bench, block_chars=300).collect()} == set(want)
+            elif 0 < len(a) < decontam.MIN_CHARS and f" {a} " in f" {b} ":
+                short[d, i] = 0
+    assert got == want | short and len(want) > 10 and short
+    assert {(r["doc"], r["item"]) for r in decontam.find(docs, bench, block_chars=300).collect()} == set(want | short)
+    assert decontam.clean(docs, bench, short=True).count() == docs.count() - sum(d in {k[0] for k in want | short} for d, _ in texts + ODD)
+    small = bench.withColumn("item_id", F.col("item_id").cast("smallint"))
+    assert {(r["doc"], r["item"]) for r in decontam.find(docs, small).collect()} == set(want | short)
     kept = decontam.clean(docs, bench)
     assert kept.columns == docs.columns and Counter(r["doc_id"] for r in kept.collect()) == Counter(d for d, _ in texts + ODD if d not in {k[0] for k in want})
     assert decontam.clean(docs, bench.limit(0)).count() == docs.count() and decontam.find(docs.limit(0), bench).count() == 0
@@ -154,6 +263,49 @@ def test_language_filter_returns_all_languages():
     assert np.count_nonzero(m[1500:2000]) < 10
 
 
+def brute_languages(rows, texts, n_grams):
+    """Counts of exact n-gram sets in plain Python: (language, score, coverage) of each text."""
+
+    def grams(t):
+        framed = "".join(c if c.isalpha() else " " for c in f" {t.lower()} ")
+        return [framed[i : i + n] for n in langid.ORDERS for i in range(len(framed) - n + 1) if " " not in framed[i + 1 : i + n - 1]]
+
+    counts = defaultdict(Counter)
+    for t, lang in rows:
+        counts[lang].update(set(grams(t)))
+    known = {lang: {g for g, _ in sorted(c.items(), key=lambda x: -x[1])[:n_grams]} for lang, c in counts.items()}
+    out = []
+    for t in texts:
+        own = grams(t)
+        hits = {lang: sum(g in known[lang] for g in own) for lang in sorted(known)}
+        best = max(hits, key=lambda x: (hits[x], [-ord(c) for c in x]))
+        every = sum(hits.values())
+        out.append((best if any(c.isalpha() for c in t) else "und", hits[best] / every if every else 0.0, hits[best] / len(own) if own else 0.0))
+    return out
+
+
+def test_predictions_equal_exact_sets(spark):
+    rng = random.Random(13)
+    stems = {"de": ["schau", "heit", "und", "ung", "öhe"], "en": ["the", "thing", "other", "house"], "fr": ["eaux", "tion", "leur", "mais", "été"]}
+    text = lambda x, n: " ".join(rng.choice(stems[x]) + rng.choice(["", "s", rng.choice(stems[x])]) for _ in range(n))
+    rows = [(i, text(x, rng.randrange(3, 60)), x, "s", 0) for i in range(150) for x in [rng.choice(list(stems))]]
+    model = langid.learn(spark.createDataFrame(rows, DOCS), n_grams=10**6)
+    texts = [text(x, n) for x in stems for n in (1, 2, 5, 40)] + [text("de", 5) + " " + text("en", 9), "zzz qqq", "12 !", "", "the " * 60_000 + "und", "x" * 200_000]
+    got, want = model.predict(texts), brute_languages([(r[1], r[2]) for r in rows], texts, 10**6)
+    for t, g, w in zip(texts, got, want, strict=True):
+        assert g[0] == w[0] or w[2] == 0, t[:50]
+        assert abs(g[1] - w[1]) < 0.03 or w[2] < 0.01, (t[:50], g, w)
+        assert abs(g[2] - w[2]) < 0.01
+    # ties go to the first language by code point
+    tied = langid.Filter(["a", "b"], {x: langid.grams(["same"])[0] for x in "ab"})
+    assert tied.predict(["same same"])[0][:2] == ("a", pytest.approx(0.5, abs=1e-3))
+
+
+def test_folds_by_checksum(spark):
+    rows = spark.range(300).select(F.col("id").alias("doc_id")).withColumn("held", langid.held_out()).collect()
+    assert all(r["held"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1) for r in rows) and 60 < sum(r["held"] for r in rows) < 140
+
+
 def test_many_languages_use_several_planes():
     rng = np.random.default_rng(2)
     names = [f"l{i:03d}" for i in range(70)]
@@ -221,8 +373,26 @@ def test_mixing(spark, seed):
     for r in got:
         s = source[r["doc_id"]]
         assert r["source_size"] == sizes[s] and r["target"] == pytest.approx(want[s], rel=1e-9)
+    sizes_of = defaultdict(list)
+    for r in got:
+        sizes_of[source[r["doc_id"]]].append((r["size"], r["rate"]))
     for s, t in want.items():
-        assert abs(taken[s] - t) <= max(largest[s], 1), (s, taken[s], t)
+        words = [z for z, _ in sizes_of[s] if z]
+        assert abs(taken[s] - t) < (max(words, default=1) + 1 if len(words) < 30 else max(min(words), 1e-3 * t)), (s, taken[s], t)
+        # the rates are the balance's: an exponential tilt of the size, cut at three, that meets the target
+        if words and t < 3 * sum(words) * (1 - 1e-9):
+            mean = sum(words) / len(sizes_of[s])
+            lo, hi = -4096.0, 4096.0
+            for _ in range(200):
+                mid = (lo + hi) / 2
+                lo, hi = (mid, hi) if sum(z * min(3.0, math.exp(min(60.0, mid * z / mean))) for z in words) < t else (lo, mid)
+            assert all(r == pytest.approx(min(3.0, math.exp(min(60.0, lo * z / mean))), rel=1e-4) for z, r in sizes_of[s] if z)
+
+
+def test_mixing_without_balance_is_an_error(spark):
+    docs = docs_of(spark, [(i, prose(random.Random(i), 5 + 40 * (i % 7)), ) for i in range(60)]).withColumn("source", F.when(F.col("doc_id") % 5 == 0, "a").otherwise("b"))
+    with pytest.raises(RuntimeError, match="no balance"):
+        mixing.copies(docs, steps=1).count()
 
 
 def test_mixing_empty_and_native(spark):
@@ -315,8 +485,8 @@ def test_pivot_index_equals_brute_force(spark):
 
 def test_pivot_recall_at_the_threshold_holds_with_many_pivots():
     rng = np.random.default_rng(3)
-    for wanted, least in ((300, 0.995), (1205, 0.99)):
-        chosen = pivots.choose(list(rng.normal(size=(4 * wanted, 64))), wanted)[64]
+    for wanted, least in ((300, 0.99), (1200, 0.98), (4096, 0.96)):
+        chosen = pivots.choose(list(rng.normal(size=(2 * wanted, 64))), wanted)[64]
         x = pivots.unit(rng.normal(size=(1000, 64)))
         away = rng.normal(size=x.shape)
         away = pivots.unit(away - (away * x).sum(axis=1, keepdims=True) * x)
@@ -453,46 +623,6 @@ def test_one_large_group_of_near_copies(spark):
 # --- paragraphs
 
 
-def test_paragraphs_equal_brute_force(spark):
-    rng = random.Random(21)
-    lines = [t for _, t in variants(rng, 160)]
-    texts, k = [], 0
-    while k < len(lines):
-        n = rng.randrange(1, 5)
-        texts.append((len(texts), "\n".join(lines[k : k + n])))
-        k += n
-    test = paradedup.alike()
-    seq = lambda t: common.word_hashes([t])[0].tobytes()
-    paras = [((d, i), c) for d, t in texts for i, c in paradedup.paragraphs(t)]
-    # links of Jaccard 0.8 must be found; links of edit distance are found where the paragraphs meet
-    want = grouped(paras, lambda a, b: a == b or overlap(Counter(set(bag(a.decode()))), Counter(set(bag(b.decode())))) >= 0.8)
-    widest = grouped(paras, lambda a, b: a == b or test(seq(a), seq(b)))
-    size = Counter(want.values())
-    df = docs_of(spark, texts + [(i, t) for i, t in ODD if i != 904], extra=True)
-    rows = paradedup.find(df).collect()
-    got = {(r["doc_id"], r["para"]): (r["first_id"], r["first_para"]) for r in rows}
-    expected = [p for p, c in want.items() if size[c] > 1]
-    together = sum(p in got and got[p] == got[want[p]] for p in expected)
-    assert together >= 0.98 * len(expected) and len(expected) > 30
-    assert all(widest[p] == widest[c] for p, c in got.items())
-    assert all(r["removed"] == ((r["doc_id"], r["para"]) != got[r["doc_id"], r["para"]]) for r in rows)
-    assert paradedup.find(df.limit(0)).count() == 0
-
-
-@pytest.mark.parametrize("others", [4, 150])
-def test_edits_link_members_of_a_bucket_whose_head_is_unlike(spark, others):
-    # these draws put both in buckets, small ones and one of over links.SMALL members, whose heads are other paragraphs
-    rng = random.Random(15)
-    words = lambda k: [f"w{rng.randrange(10**6)}" for _ in range(k)]
-    a = words(40)
-    b = list(a)
-    b[5], b[37] = "changed", "altered"
-    texts = [" ".join(x) for x in (a, b, *(a[:34] + words(12) for _ in range(others)))]
-    assert overlap(Counter(set(bag(texts[0]))), Counter(set(bag(texts[1])))) < 0.8
-    rows = paradedup.find(docs_of(spark, list(enumerate(texts)))).collect()
-    assert {(r["doc_id"], r["first_id"], r["copies"], r["removed"]) for r in rows} == {(0, 0, 2, False), (1, 0, 2, True)}
-
-
 def test_few_edits_equals_distance():
     rng = random.Random(2)
     for _ in range(400):
@@ -506,12 +636,6 @@ def test_few_edits_equals_distance():
         assert paradedup.few_edits(x, y) == (most > 0 and paradedup.edit_distance(a, b) <= most)
 
 
-def test_repeated_rows_and_marked_copies(spark):
-    line = "alpha beta gamma delta epsilon zeta"
-    rows = paradedup.find(docs_of(spark, [(1, line), (2, f"x\n{line.upper()}!"), (3, "short one"), (4, None)])).collect()
-    assert {(r["doc_id"], r["para"], r["removed"], r["copies"]) for r in rows} == {(1, 0, False, 2), (2, 1, True, 2)}
-
-
 # --- language-model scoring
 
 VOCAB = lattice.VOCABULARY
@@ -574,3 +698,14 @@ def test_scores(spark):
         assert a["base_score"] == pytest.approx(sum(math.log10((train[x] + 1) / (n + v + 1)) for x in tokens)) and a["base_score"] == pytest.approx(b["base_score"])
         assert a["score"] == pytest.approx(b["score"]) and a["score"] < 0 and a["held_out"] == lattice.is_held_out(i)
     assert lattice.scored(df.limit(0)).count() == 0
+    # without re-estimation the scores are sums over the vocabulary's own
+    v = lattice.load(VOCAB)
+    plain = {r["doc_id"]: r["score"] for r in lattice.scored(df, rounds=0).collect()}
+    for i, t in texts[:12]:
+        assert plain[i] == pytest.approx((v.end + sum(brute_logp(v, w.decode()) for w in lattice.tokens(t))) / math.log(10))
+
+
+def test_frequent_words_are_bounded_in_length(spark):
+    rows = spark.createDataFrame([("y" * 5000, 9, 9, -1.0), ("the", 5, 5, -2.0), ("a", 1, 1, -3.0)], "word string, c long, seen long, lp double")
+    places, c, lp = lattice._frequent(rows, 10)
+    assert set(places) == {b"the", b"a"} and c[places[b"the"]] == 5 and lp[places[b"a"]] == -3.0
