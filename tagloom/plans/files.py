@@ -47,7 +47,7 @@ def _through(spark: SparkSession, use: Callable[[Path], DataFrame]) -> DataFrame
 def _items(spark: SparkSession, d: str) -> DataFrame:
     rows = syn.items(spark, d)
     assisted = F.col("label_mode") == "assisted"
-    return rows.select("seq", "ad_id", "page_name", "ad_text", "gold_goal", "gold_issue", "label_mode", F.when(assisted, F.col("true_goal")).otherwise("").alias("suggested_goal"), F.when(assisted, F.col("true_issue")).otherwise("").alias("suggested_issue"), F.when(assisted, F.concat(F.lit("why "), "ad_id")).otherwise("").alias("suggestion_reason"), F.concat(F.lit('a "quoted", note '), "ad_id").alias("notes"))
+    return rows.select("seq", "ad_id", "page_name", "ad_text", "gold_goal", "gold_issue", "label_mode", F.when(assisted, F.col("true_goal")).otherwise("").alias("suggested_goal"), F.when(assisted, F.col("true_issue")).otherwise("").alias("suggested_issue"), F.when(assisted, F.concat(F.lit("why "), "ad_id")).otherwise("").alias("suggestion_reason"), F.concat(F.lit('a "quoted", note '), "ad_id").alias("notes"), *(F.lit("").alias(c) for c in ("source_url", "search_term", "paid_for", "started_running")))
 
 
 def gold_file(spark, d):
