@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Members of a bucket up to which its pairs are rows, and members of a block of a larger one.
+#: Members of a bucket up to which its pairs are rows, and members of a block of a larger one where members may be long.
 SMALL = 24
 BLOCK = 128
 #: Buckets with several members up to which they are broadcast, with 16 bytes each.
@@ -130,7 +130,7 @@ def joined_heads(link: np.ndarray, ids: np.ndarray) -> np.ndarray:
         head = new
 
 
-def compared_in_blocks(member: DataFrame, data: DataFrame, elements: Callable[[bytes], np.ndarray], threshold: float, widen: Callable | None = None) -> DataFrame:
+def compared_in_blocks(member: DataFrame, data: DataFrame, elements: Callable[[bytes], np.ndarray], threshold: float, widen: Callable | None = None, block: int = BLOCK) -> DataFrame:
     """Links (a, b) between members of large buckets in different components, enough of them to join what is linked.
 
     ``member`` has bucket, cid, component, base (the bucket's largest component), n_base and n_rest. Members outside the base
@@ -138,7 +138,7 @@ def compared_in_blocks(member: DataFrame, data: DataFrame, elements: Callable[[b
     further links of a block from its data, the pairs that may be linked and are not yet joined, and the members' heads so far.
     """
     inside = F.col("component") == F.col("base")
-    rest, base = (F.ceil(F.col(c) / BLOCK).cast("int") for c in ("n_rest", "n_base"))
+    rest, base = (F.ceil(F.col(c) / block).cast("int") for c in ("n_rest", "n_base"))
     draw = F.xxhash64("cid", "bucket")
     dealt = member.withColumns({"own": F.when(inside, rest + F.pmod(draw, base)).otherwise(F.pmod(draw, rest)).cast("int"), "partners": F.when(inside, F.sequence(F.lit(0), rest - 1)).otherwise(F.sequence(F.lit(0), rest + base - 1))})
     dealt = dealt.withColumn("partner", F.explode("partners")).select("bucket", F.least("own", "partner").alias("lo"), F.greatest("own", "partner").alias("hi"), "own", "cid", "component")
@@ -168,12 +168,12 @@ def compared_in_blocks(member: DataFrame, data: DataFrame, elements: Callable[[b
     return dealt.mapInArrow(solve, "a bigint, b bigint")
 
 
-def linked(rows: DataFrame, payload: Callable[[DataFrame], DataFrame], similar: Callable[[bytes, bytes], bool], elements: Callable[[bytes], np.ndarray], threshold: float, widen: Callable | None = None) -> DataFrame:
+def linked(rows: DataFrame, payload: Callable[[DataFrame], DataFrame], similar: Callable[[bytes, bytes], bool], elements: Callable[[bytes], np.ndarray], threshold: float, widen: Callable | None = None, block: int = BLOCK) -> DataFrame:
     """(id, component) of the ids of rows (cid, bands) that have a verified link.
 
     ``payload`` gives (cid, data) of wanted cids. ``similar`` tests the data of two members of a bucket. In blocks of large
     buckets the same test is the Jaccard similarity, ``threshold`` or more, of the sorted sets that ``elements`` gives, and what
-    ``widen`` links besides.
+    ``widen`` links besides; ``block`` is the number of members of a block, of which a task holds two.
     """
     spark = rows.sparkSession
     crowd = crowds(rows)
@@ -192,7 +192,7 @@ def linked(rows: DataFrame, payload: Callable[[DataFrame], DataFrame], similar:
     other = few.select("bucket", F.col("cid").alias("b"), F.col("component").alias("c2"))
     pairs = few.select("bucket", F.col("cid").alias("a"), F.col("component").alias("c1")).join(other, "bucket").where("a < b and c1 <> c2").select("a", "b").distinct()
     small = verified(pairs, data, similar)
-    large = compared_in_blocks(member.where(F.col("m") > SMALL), data, elements, threshold, widen)
+    large = compared_in_blocks(member.where(F.col("m") > SMALL), data, elements, threshold, widen, block)
     more = common.settle(small.union(large))
     common.release(spark)
     return found if more.isEmpty() else components(edges.union(more))

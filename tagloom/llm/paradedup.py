@@ -39,7 +39,9 @@ ROWS = 2
 #: Shingles in a run of which one marks a place, and words of the unit that begins there.
 WINDOW = 31
 UNIT = 20
-#: Paragraphs whose words are wanted up to which their places are broadcast, with about 50 bytes each.
+#: Paragraphs of a large bucket that are compared at once; each is sent to every block of its bucket.
+BLOCK = 512
+#: Wanted paragraphs, and units that repeat, up to which they are broadcast, with at most 180 bytes each.
 BROADCAST_ROWS = 1_000_000
 
 _SEEDS, _ODD = (np.random.default_rng(seed).integers(1, 2**63, BANDS * ROWS, dtype=np.uint64) for seed in (77, 78))
@@ -271,7 +273,7 @@ def near_paragraphs(docs: DataFrame, read: DataFrame, id_col: str, text_col: str
     paras = common.apart(each.select("id", "k", "row", F.col("p.start").alias("start"), F.col("p.size").alias("size"), F.col("p.raw").alias("raw"), F.col("p.check").alias("check"), F.slice("bands", F.col("i") * BANDS + 1, BANDS).alias("bands")))
     # copies share buckets, so one row of each class is enough
     reps = paras.select("cid", "bands").dropDuplicates(["cid"])
-    found = links.linked(reps, _payload(docs, paras, id_col, text_col), alike(threshold), shingles_of, threshold, widened())
+    found = links.linked(reps, _payload(docs, paras, id_col, text_col), alike(threshold), shingles_of, threshold, widened(), BLOCK)
     slim = paras.select("id", "row", "start", "size", "cid")
     # per class first, so a paragraph with many copies is combined before it is shuffled
     classes = slim.groupBy("cid").agg(_first("start"), F.count("*").alias("n"), F.min("row").alias("lo"), F.max("row").alias("hi"))
@@ -288,10 +290,12 @@ def repeated_units(read: DataFrame, across: bool) -> DataFrame:
     key = ["raw", "check"]
     # numbers alone first: most units stand once and go no further
     several = units.groupBy(*key).agg(F.count("*").alias("copies"), F.min("row").alias("lo"), F.max("row").alias("hi")).where("lo < hi" if across else "copies > 1")
-    several = several.select(*key, "copies")
-    met = common.settle(units.join(several, key))
-    first = met.groupBy(*key).agg(_first("start"))
-    return met.join(first, key).select("id", "row", "start", (F.col("start") + UNIT).alias("end"), "first", "copies")
+    # what is joined is settled, so a unit that a great part of the texts hold can be split over tasks, or is not dealt at all
+    sent = lambda df: F.broadcast(df) if common.few(df, BROADCAST_ROWS) else df
+    met = common.settle(units.join(sent(common.settle(several.select(*key, "copies"))), key))
+    common.release(read.sparkSession)
+    first = common.settle(met.groupBy(*key).agg(_first("start")))
+    return met.join(sent(first), key).select("id", "row", "start", (F.col("start") + UNIT).alias("end"), "first", "copies")
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, across: bool = True) -> DataFrame:
