@@ -19,6 +19,8 @@ BATCH_ROWS = 1000
 BATCH_BYTES = 4 << 20
 #: UTF-8 bytes that the vectorised code takes at once; one longer text is taken alone.
 SLICE_BYTES = 1 << 20
+#: Bits of the marks that are sent in place of many keys, 64 in a row: at most 2^18 rows, whatever the number of keys.
+MARKS = 1 << 24
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,6 +50,22 @@ def few(df: DataFrame, most: int) -> bool:
     return df.count() <= most
 
 
+def sifted(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """The rows of ``df`` whose ``key``, a hash, may be among those of ``keys``; a bit that another key has set lets a row pass."""
+    place, bit = F.shiftright(F.pmod(key, F.lit(MARKS)), 6), F.pmod(key, F.lit(64)).cast("int")
+    marks = keys.select(place.alias("_place"), F.call_function("shiftleft", F.lit(1).cast("bigint"), bit).alias("_bit")).groupBy("_place").agg(F.bit_or("_bit").alias("_bits"))
+    return df.join(F.broadcast(marks), place == F.col("_place")).where(F.getbit("_bits", bit) == 1).drop("_place", "_bits")
+
+
+def met(df: DataFrame, rows: DataFrame, on: list[str], small: bool) -> DataFrame:
+    """Join of ``df`` with ``rows``, which are settled, on columns of which the first is a hash.
+
+    If they are ``small``, the rows are sent to ``df``. Else only their marks are, so the driver holds no more however many they
+    are, and what the marks let pass is joined by a shuffle: the rest of ``df`` does not travel.
+    """
+    return df.join(F.broadcast(rows), on) if small else sifted(df, rows, on[0]).join(rows, on)
+
+
 def row_key(id_col: str, text_col: str):
     """A number for a row's id and text, the same whenever the row is read; rows that repeat both share it."""
     return F.xxhash64(F.col(id_col).cast("string"), F.col(text_col))

@@ -20,8 +20,8 @@ from . import common
 #: Members of a bucket up to which its pairs are rows, and members of a block of a larger one where members may be long.
 SMALL = 24
 BLOCK = 128
-#: Buckets with several members up to which they are broadcast, with 16 bytes each.
-BROADCAST_HEADS = 1_000_000
+#: Buckets with several members up to which they are broadcast, with 16 bytes each; of more, marks are.
+BROADCAST_HEADS = 100_000
 #: Heads that a group of texts which share all their buckets has.
 HEADS = 4
 #: Columns of an incidence matrix that are multiplied at once, and elements of all sets that are ordered at once.
@@ -59,9 +59,8 @@ def crowds(rows: DataFrame) -> DataFrame:
     heads = spread.groupBy("bucket").agg(F.min(mark).alias("least"), F.count("*").alias("n")).where("n > 1")
     heads = common.settle(heads.select("bucket", F.col("least").bitwiseXOR(mask).alias("head")))
     common.release(rows.sparkSession)
-    # most buckets hold one text; the others are sent to the rows if they are few, so the rest does not travel again
-    near = F.broadcast(heads) if common.few(heads, BROADCAST_HEADS) else heads
-    return common.settle(spread.join(near, "bucket"))
+    # most buckets hold one text; the others, or marks of them, are sent to the rows, so the rest does not travel again
+    return common.settle(common.met(spread, heads, ["bucket"], common.few(heads, BROADCAST_HEADS)))
 
 
 def set_similar(threshold: float) -> Callable[[bytes, bytes], bool]:

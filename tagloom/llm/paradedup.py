@@ -41,8 +41,8 @@ WINDOW = 31
 UNIT = 20
 #: Paragraphs of a large bucket that are compared at once; each is sent to every block of its bucket.
 BLOCK = 512
-#: Wanted paragraphs, and units that repeat, up to which they are broadcast, with at most 180 bytes each.
-BROADCAST_ROWS = 1_000_000
+#: Wanted paragraphs, and units that repeat, up to which they are broadcast, with at most 180 bytes each; of more, marks are.
+BROADCAST_ROWS = 100_000
 
 _SEEDS, _ODD = (np.random.default_rng(seed).integers(1, 2**63, BANDS * ROWS, dtype=np.uint64) for seed in (77, 78))
 _FOLD = np.uint64(0xB492B66FBE98F273)
@@ -244,19 +244,23 @@ def _payload(docs: DataFrame, paras: DataFrame, id_col: str, text_col: str):
         sources = common.settle(sources)
         small = common.few(sources, BROADCAST_ROWS)
         # at most the paragraphs of one document meet in a row
-        sources = sources.groupBy(F.col("k").alias("source")).agg(F.collect_list(F.struct("cid", "start", "size", "raw", "check")).alias("want"))
-        texts = docs.select(common.row_key(id_col, text_col).alias("k"), F.col(text_col).alias("text")).join(F.broadcast(sources) if small else sources, F.col("k") == F.col("source"))
+        sources = common.settle(sources.groupBy("k").agg(F.collect_list(F.struct("cid", "start", "size", "raw", "check")).alias("want")))
+        texts = common.met(docs.select(common.row_key(id_col, text_col).alias("k"), F.col(text_col).alias("text")), sources, ["k"], small)
 
         def scan(batch: pa.RecordBatch):
-            for text, want in zip(encoded(list(common.texts_of(batch))), batch.column("want").to_pylist(), strict=True):
-                words = common.word_hashes([text])[0]
-                cid, begin, size, raw, check = (np.array([w[c] for w in want], dtype=np.int64) for c in ("cid", "start", "size", "raw", "check"))
-                fits = begin + size <= len(words)
+            texts, wants = encoded(list(common.texts_of(batch))), batch.column("want")
+            for a, b in common.sliced(texts):
+                words, ends = common.word_hashes(texts[a:b])
+                want = wants.slice(a, b - a)
+                text = np.repeat(np.arange(b - a), want.value_lengths().to_numpy())
+                cid, begin, size, raw, check = (want.flatten().field(c).to_numpy() for c in ("cid", "start", "size", "raw", "check"))
+                begin = begin + ends[text]
+                fits = begin + size <= ends[text + 1]
                 cid, begin, size, raw, check = (x[fits] for x in (cid, begin, size, raw, check))
                 own, first = gathered(words, begin, size)
                 halves = identities(own, first)
-                for i in np.flatnonzero((halves[0] == raw) & (halves[1] == check)):
-                    yield pa.RecordBatch.from_arrays([pa.array([cid[i]]), pa.array([own[first[i] : first[i + 1]].tobytes()])], names=["cid", "data"])
+                right = np.flatnonzero((halves[0] == raw) & (halves[1] == check))
+                yield pa.RecordBatch.from_arrays([pa.array(cid[right]), pa.array([own[first[i] : first[i + 1]].tobytes() for i in right], pa.binary())], names=["cid", "data"])
 
         return common.map_batches(texts, ["want", "text"], common.together(scan), "cid bigint, data binary").dropDuplicates(["cid"])
 
@@ -291,11 +295,12 @@ def repeated_units(read: DataFrame, across: bool) -> DataFrame:
     # numbers alone first: most units stand once and go no further
     several = units.groupBy(*key).agg(F.count("*").alias("copies"), F.min("row").alias("lo"), F.max("row").alias("hi")).where("lo < hi" if across else "copies > 1")
     # what is joined is settled, so a unit that a great part of the texts hold can be split over tasks, or is not dealt at all
-    sent = lambda df: F.broadcast(df) if common.few(df, BROADCAST_ROWS) else df
-    met = common.settle(units.join(sent(common.settle(several.select(*key, "copies"))), key))
+    several = common.settle(several.select(*key, "copies"))
+    met = common.settle(common.met(units, several, key, common.few(several, BROADCAST_ROWS)))
     common.release(read.sparkSession)
     first = common.settle(met.groupBy(*key).agg(_first("start")))
-    return met.join(sent(first), key).select("id", "row", "start", (F.col("start") + UNIT).alias("end"), "first", "copies")
+    near = F.broadcast(first) if common.few(first, BROADCAST_ROWS) else first
+    return met.join(near, key).select("id", "row", "start", (F.col("start") + UNIT).alias("end"), "first", "copies")
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, across: bool = True) -> DataFrame:

@@ -206,3 +206,31 @@ def test_overlaps_in_ranges(monkeypatch):
     whole = links.overlaps(sets)
     monkeypatch.setattr(links, "ELEMENTS", 64)
     assert (links.overlaps(sets) == whole).all() and whole[4, 2] == 100 and whole[4, 3] == 250
+
+
+def sent_rows(monkeypatch):
+    """Rows of each table that is broadcast from now on."""
+    sizes, send = [], F.broadcast
+    monkeypatch.setattr(F, "broadcast", lambda df: sizes.append(df.count()) or send(df))
+    return sizes
+
+
+def test_the_driver_holds_a_bounded_part_of_the_repeated_units(spark, monkeypatch):
+    sizes, n = sent_rows(monkeypatch), 300_000
+    unit = lambda k: F.array(F.xxhash64(k))
+    read = spark.range(2 * n + 1000).select("id", F.col("id").alias("row"), F.array(F.lit(7).cast("bigint")).alias("place"), unit(F.when(F.col("id") < 2 * n, F.col("id") % n).otherwise(F.col("id"))).alias("raw_unit"), unit(F.lit(1)).alias("check_unit"))
+    rows = paradedup.repeated_units(read, True)
+    got = rows.agg(F.count("*"), F.min("copies"), F.max("copies"), F.sum((F.col("first.row") == F.col("id") % n).cast("int")), F.max("id")).first()
+    assert tuple(got) == (2 * n, 2, 2, 2 * n, 2 * n - 1)
+    assert sizes and max(sizes) <= common.MARKS // 64
+
+
+@pytest.mark.parametrize("marks", [1 << 24, 64])
+def test_marks_lose_no_row(spark, monkeypatch, marks):
+    """Also where they let everything pass."""
+    monkeypatch.setattr(common, "MARKS", marks)
+    df = spark.range(-2000, 2000).select(F.xxhash64("id").alias("k"), "id")
+    rows = common.settle(df.where("id % 3 = 0").select("k", F.lit(1).alias("n")))
+    got = [r["id"] for small in (False, True) for r in common.met(df, rows, ["k"], small).collect()]
+    assert sorted(got) == sorted([i for i in range(-2000, 2000) if i % 3 == 0] * 2)
+    assert common.sifted(df, rows, "k").count() <= (1400 if marks > 64 else 4000)
