@@ -169,7 +169,7 @@ def _decided(docs: DataFrame, id_col: str, text_col: str, threshold: float) -> D
     solid = rows.where("cid is not null")
     # copies share buckets, so one row of each class is enough
     reps = solid.select("cid", "bands").dropDuplicates(["cid"])
-    found = links.linked(reps, _payload(docs, solid, id_col, text_col), links.set_similar(threshold), unpacked, threshold)
+    found = links.linked(reps, _payload(docs, solid, id_col, text_col), links.one_by_one(links.set_similar(threshold)), unpacked, threshold)
     classes = solid.groupBy("cid").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "k")).alias("first"))
     classes = classes.join(found.withColumnRenamed("id", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     least = classes.groupBy("component").agg(F.min("first").alias("whole"))

@@ -76,15 +76,20 @@ def set_similar(threshold: float) -> Callable[[bytes, bytes], bool]:
     return similar
 
 
-def verified(pairs: DataFrame, data: DataFrame, similar: Callable[[bytes, bytes], bool]) -> DataFrame:
-    """Pairs (a, b) whose ``data`` (cid, data) pass the test."""
+def one_by_one(similar: Callable[[bytes, bytes], bool]) -> Callable[[list[bytes], list[bytes]], list[bool]]:
+    """A test of two as a test of many."""
+    return lambda xs, ys: [similar(x, y) for x, y in zip(xs, ys, strict=True)]
+
+
+def verified(pairs: DataFrame, data: DataFrame, similar: Callable[[list[bytes], list[bytes]], list[bool]]) -> DataFrame:
+    """Pairs (a, b), with what other numbers they have, whose ``data`` (cid, data) pass the test."""
+    own = pairs.columns
 
     def check(batch: pa.RecordBatch):
-        keep = [similar(x.as_py(), y.as_py()) for x, y in zip(batch.column("x"), batch.column("y"), strict=True)]
-        yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        yield batch.select(own).filter(pa.array(similar(batch.column("x").to_pylist(), batch.column("y").to_pylist()), pa.bool_()))
 
     joined = pairs.join(data.select(F.col("cid").alias("a"), F.col("data").alias("x")), "a").join(data.select(F.col("cid").alias("b"), F.col("data").alias("y")), "b")
-    return common.map_batches(joined, ["a", "b", "x", "y"], check, "a bigint, b bigint")
+    return common.map_batches(joined, [*own, "x", "y"], check, ", ".join(f"{c} bigint" for c in own))
 
 
 def overlaps(sets: list[np.ndarray]) -> np.ndarray:
@@ -167,10 +172,10 @@ def compared_in_blocks(member: DataFrame, data: DataFrame, elements: Callable[[b
     return dealt.mapInArrow(solve, "a bigint, b bigint")
 
 
-def linked(rows: DataFrame, payload: Callable[[DataFrame], DataFrame], similar: Callable[[bytes, bytes], bool], elements: Callable[[bytes], np.ndarray], threshold: float, widen: Callable | None = None, block: int = BLOCK) -> DataFrame:
+def linked(rows: DataFrame, payload: Callable[[DataFrame], DataFrame], similar: Callable[[list[bytes], list[bytes]], list[bool]], elements: Callable[[bytes], np.ndarray], threshold: float, widen: Callable | None = None, block: int = BLOCK) -> DataFrame:
     """(id, component) of the ids of rows (cid, bands) that have a verified link.
 
-    ``payload`` gives (cid, data) of wanted cids. ``similar`` tests the data of two members of a bucket. In blocks of large
+    ``payload`` gives (cid, data) of wanted cids. ``similar`` tests the data of members of a bucket, two by two. In blocks of large
     buckets the same test is the Jaccard similarity, ``threshold`` or more, of the sorted sets that ``elements`` gives, and what
     ``widen`` links besides; ``block`` is the number of members of a block, of which a task holds two.
     """

@@ -69,15 +69,44 @@ def shingles_of(data: bytes) -> np.ndarray:
 
 def alike(threshold: float = THRESHOLD, share: float = EDIT_SHARE):
     """Test of two paragraphs given as sequences of 64-bit word hashes."""
-
-    def similar(x: bytes, y: bytes) -> bool:
-        a, b = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
-        s, t = shingle_set(a), shingle_set(b)
-        if min(len(s), len(t)) >= threshold * max(len(s), len(t)):
-            both = len(np.intersect1d(s, t, assume_unique=True))
-            if both >= threshold * (len(s) + len(t) - both) - 1e-9:
-                return True
-        return few_edits(a, b, share)
+    many = all_alike(threshold, share)
+    return lambda x, y: bool(many([x], [y])[0])
+
+
+def common_elements(h: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of ``n`` pairs of sets, whose first ones are owned by 0 to n - 1 and second ones by n to 2 n - 1: sizes of intersection and union."""
+    pair = owner % n
+    order = np.lexsort((owner, h, pair))
+    h, owner, pair = h[order], owner[order], pair[order]
+    other = np.append(True, (h[1:] != h[:-1]) | (pair[1:] != pair[:-1]))[: len(h)]
+    each = np.append(True, owner[1:] != owner[:-1])[: len(h)] | other
+    union = np.bincount(pair[other], minlength=n)
+    return np.bincount(pair[each], minlength=n) - union, union
+
+
+def all_alike(threshold: float = THRESHOLD, share: float = EDIT_SHARE):
+    """The test of many pairs at once; only those that exact bounds leave are tested for edits."""
+
+    def similar(xs: list[bytes], ys: list[bytes]) -> np.ndarray:
+        n = len(xs)
+        words = np.frombuffer(b"".join([*xs, *ys]), dtype=np.uint64)
+        first = np.concatenate(([0], np.cumsum([len(z) // 8 for z in (*xs, *ys)])))
+        both, union = common_elements(*common.shingle_hashes(words, first, WIDTH), n)
+        link = both >= threshold * union - 1e-9
+        size = np.diff(first).reshape(2, n)
+        longest = size.max(axis=0)
+        most = (share * longest).astype(np.int64)
+        asked = np.flatnonzero(~link & (most > 0) & (longest - size.min(axis=0) <= most))
+        if len(asked):
+            runs = np.concatenate((asked, asked + n))
+            own, ends = gathered(words, first[runs], np.diff(first)[runs])
+            each, owner, weight = common.weighted(own, np.repeat(np.arange(len(runs)), np.diff(ends)))
+            # each word with its number among its equals; each edit takes at most one from those that both have
+            nth = np.arange(len(own)) - np.repeat(np.cumsum(weight) - weight, weight)
+            both, _ = common_elements(common.mix(np.repeat(each, weight) + nth.astype(np.uint64) * _FOLD), np.repeat(owner, weight), len(asked))
+            for i in asked[both >= (longest - most)[asked]]:
+                link[i] = few_edits(*(words[first[k] : first[k + 1]] for k in (i, i + n)), share)
+        return link
 
     return similar
 
@@ -277,7 +306,7 @@ def near_paragraphs(docs: DataFrame, read: DataFrame, id_col: str, text_col: str
     paras = common.apart(each.select("id", "k", "row", F.col("p.start").alias("start"), F.col("p.size").alias("size"), F.col("p.raw").alias("raw"), F.col("p.check").alias("check"), F.slice("bands", F.col("i") * BANDS + 1, BANDS).alias("bands")))
     # copies share buckets, so one row of each class is enough
     reps = paras.select("cid", "bands").dropDuplicates(["cid"])
-    found = links.linked(reps, _payload(docs, paras, id_col, text_col), alike(threshold), shingles_of, threshold, widened(), BLOCK)
+    found = links.linked(reps, _payload(docs, paras, id_col, text_col), all_alike(threshold), shingles_of, threshold, widened(), BLOCK)
     slim = paras.select("id", "row", "start", "size", "cid")
     # per class first, so a paragraph with many copies is combined before it is shuffled
     classes = slim.groupBy("cid").agg(_first("start"), F.count("*").alias("n"), F.min("row").alias("lo"), F.max("row").alias("hi"))

@@ -234,3 +234,26 @@ def test_marks_lose_no_row(spark, monkeypatch, marks):
     got = [r["id"] for small in (False, True) for r in common.met(df, rows, ["k"], small).collect()]
     assert sorted(got) == sorted([i for i in range(-2000, 2000) if i % 3 == 0] * 2)
     assert common.sifted(df, rows, "k").count() <= (1400 if marks > 64 else 4000)
+
+
+def test_many_pairs_are_tested_as_one():
+    """Jaccard or edits by their definitions, for pairs of all lengths at once."""
+    rng = random.Random(21)
+    xs, ys = [], []
+    for _ in range(600):
+        a = [rng.randrange(12 if rng.random() < 0.3 else FRESH) for _ in range(rng.randrange(1, 60))]
+        b = list(a)
+        for _ in range(rng.randrange(0, 9)):
+            p = rng.randrange(len(b))
+            b[p : p + rng.randrange(2)] = [rng.randrange(12)] * rng.randrange(2) or b[p : p + 1]
+        xs.append(a)
+        ys.append(b if rng.random() < 0.9 else [rng.randrange(12) for _ in range(30)])
+    got = paradedup.all_alike()(*([np.array(w, dtype=np.uint64).tobytes() for w in z] for z in (xs, ys)))
+
+    def linked(a, b):
+        s, t = ({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (a, b))
+        most = int(0.1 * max(len(a), len(b)))
+        return len(s & t) >= 0.8 * len(s | t) - 1e-9 or most > 0 and paradedup.edit_distance(a, b) <= most
+
+    want = [linked(a, b) for a, b in zip(xs, ys, strict=True)]
+    assert list(got) == want and 100 < sum(want) < 500
