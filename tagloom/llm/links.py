@@ -135,7 +135,7 @@ def joined_heads(link: np.ndarray, ids: np.ndarray) -> np.ndarray:
 
 
 def compared_in_blocks(member: DataFrame, data: DataFrame, elements: Callable[[bytes], np.ndarray], threshold: float, widen: Callable | None = None, block: int = BLOCK) -> DataFrame:
-    """Links (a, b) between members of large buckets in different components, enough of them to join what is linked.
+    """Links (a, b) between the components of members of large buckets, enough of them to join what is linked.
 
     ``member`` has bucket, cid, component, base (the bucket's largest component), n_base and n_rest. Members outside the base
     component are compared with all, those inside only with those outside. No task holds more than two blocks. ``widen`` gives
@@ -167,7 +167,10 @@ def compared_in_blocks(member: DataFrame, data: DataFrame, elements: Callable[[b
                 head = joined_heads(link, cid)
             at = np.flatnonzero(head != cid)
             if len(at):
-                yield pa.RecordBatch.from_arrays([pa.array(head[at]), pa.array(cid[at])], names=["a", "b"])
+                # copies of one component say the same, so each two components are told once
+                order = np.argsort(cid)
+                links = np.unique(np.stack((component[order[np.searchsorted(cid, head[at], sorter=order)]], component[at]), axis=1), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(links[:, 0]), pa.array(links[:, 1])], names=["a", "b"])
 
     return dealt.mapInArrow(solve, "a bigint, b bigint")
 
@@ -194,9 +197,20 @@ def linked(rows: DataFrame, payload: Callable[[DataFrame], DataFrame], similar:
     member = common.settle(member.join(mixed, "bucket"))
     few = member.where(F.col("m") <= SMALL).select("bucket", "cid", "component")
     other = few.select("bucket", F.col("cid").alias("b"), F.col("component").alias("c2"))
-    pairs = few.select("bucket", F.col("cid").alias("a"), F.col("component").alias("c1")).join(other, "bucket").where("a < b and c1 <> c2").select("a", "b").distinct()
-    small = verified(pairs, data, similar)
+    pairs = few.select("bucket", F.col("cid").alias("a"), F.col("component").alias("c1")).join(other, "bucket").where("a < b and c1 <> c2").select("a", "b", "c1", "c2").distinct()
+    small = verified(pairs, data, similar).select("c1", "c2")
     large = compared_in_blocks(member.where(F.col("m") > SMALL), data, elements, threshold, widen, block)
-    more = common.settle(small.union(large))
+    more = common.settle(small.union(large).toDF("a", "b").distinct())
     common.release(spark)
-    return found if more.isEmpty() else components(edges.union(more))
+    return found if more.isEmpty() else merged(found, more)
+
+
+def merged(found: DataFrame, more: DataFrame) -> DataFrame:
+    """(id, component) over ``found`` and links (a, b) between its components, or ids that are in none.
+
+    What is joined already counts as one, so a large group's own links are not followed again.
+    """
+    whole = common.settle(components(more).select(F.col("id").alias("part"), F.col("component").alias("whole")))
+    old = found.join(whole, F.col("component") == F.col("part"), "left").select("id", F.coalesce("whole", "component").alias("component"))
+    new = whole.join(found.select(F.col("id").alias("part")), "part", "left_anti").select(F.col("part").alias("id"), F.col("whole").alias("component"))
+    return common.settle(old.union(new))

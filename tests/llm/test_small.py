@@ -709,3 +709,37 @@ def test_frequent_words_are_bounded_in_length(spark):
     rows = spark.createDataFrame([("y" * 5000, 9, 9, -1.0), ("the", 5, 5, -2.0), ("a", 1, 1, -3.0)], "word string, c long, seen long, lp double")
     places, c, lp = lattice._frequent(rows, 10)
     assert set(places) == {b"the", b"a"} and c[places[b"the"]] == 5 and lp[places[b"a"]] == -3.0
+
+
+def test_what_is_joined_is_not_followed_again(spark, monkeypatch):
+    """Second links are taken between components, not beside all the first ones."""
+    rng = random.Random(12)
+    base = prose(rng, 200).split()
+    texts = []
+    for i in range(300):
+        w = list(base)
+        for _ in range(3):
+            w[rng.randrange(200)] = f"n{i}"
+        texts.append((i, " ".join(w)))
+    calls, found = [], links.components
+
+    def watched(edges):
+        calls.append(([(r["a"], r["b"]) for r in edges.collect()], out := found(edges)))
+        return out
+
+    monkeypatch.setattr(links, "components", watched)
+    got = {r["doc_id"]: r["component_id"] for r in bagminhash.groups(docs_of(spark, texts)).collect()}
+    bags = {t: bag(t) for _, t in texts}
+    want = grouped(texts, lambda a, b: overlap(bags[a], bags[b]) >= 0.8)
+    assert sum(got[i] == c for i, c in want.items()) >= 297 and all(want[i] == want[c] for i, c in got.items())
+    (_, first), (more, _) = calls
+    head = {r["id"]: r["component"] for r in first.collect()}
+    assert any(i != c for i, c in head.items()) and more and all(head.get(x, x) == x for link in more for x in link)
+
+
+def test_merged_components(spark):
+    """Links between components, ids that had none, and components without further links."""
+    found = spark.createDataFrame([(1, 1), (2, 1), (5, 5), (6, 5), (8, 8), (9, 8)], "id long, component long")
+    more = spark.createDataFrame([(5, 4), (4, 3), (10, 11), (5, 5)], "a long, b long")
+    got = {r["id"]: r["component"] for r in links.merged(found, more).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 3, 5: 3, 6: 3, 8: 8, 9: 8, 10: 10, 11: 10}
