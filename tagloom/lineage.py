@@ -4,8 +4,12 @@ from __future__ import annotations
 
 import tempfile
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 
+#: Bytes of one file of a packed result; there are never more files than tasks that made it.
+FILE_BYTES = 1 << 20
+
 
 def settle(df: DataFrame) -> DataFrame:
     """Run ``df`` once and cut its lineage with a reliable checkpoint.
@@ -22,3 +26,19 @@ def settle(df: DataFrame) -> DataFrame:
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="tagloom-"))
     return df.checkpoint(eager=True)
+
+
+def packed(df: DataFrame) -> DataFrame:
+    """As ``settle``, in files as many as the result needs, for results that may be small beside what they are made from.
+
+    A checkpoint has a file for each task, empty ones too, and on a file system without native calls Hadoop starts two
+    processes for each, for its permissions. The result is made by all tasks as before, held on the executors' disks, where a
+    lost part is made again, and only then written by few; what is held goes at once.
+    """
+    held = df.persist(StorageLevel.DISK_ONLY)
+    try:
+        held.count()
+        size = int(held.select("*")._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+        return settle(held.coalesce(max(1, -(-size // FILE_BYTES))))
+    finally:
+        held.unpersist(blocking=True)

@@ -144,7 +144,7 @@ def _payload(docs: DataFrame, rows: DataFrame, id_col: str, text_col: str):
     def of(wanted: DataFrame) -> DataFrame:
         # combined in the tasks before the join, so a large class of copies is not one group of rows
         sources = rows.groupBy("cid", "raw", "check").agg(F.min("k").alias("k")).join(wanted, "cid").select(F.col("k").alias("source"), F.col("cid").alias("want"), "raw", "check")
-        sources = common.settle(sources)
+        sources = common.packed(sources)
         # few keys are sent to the texts, so texts that nobody wants do not travel
         near = F.broadcast(sources) if common.few(sources, BROADCAST_ROWS) else sources
         texts = docs.select(common.row_key(id_col, text_col).alias("k"), F.col(text_col).alias("text")).join(near, F.col("k") == F.col("source"))

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..lineage import settle  # the operators' modules use it from here
+from ..lineage import packed, settle  # the operators' modules use them from here
 from ..sources.tables import read_table
 
 #: Rows and bytes of one Arrow batch; one longer row is taken alone.
@@ -76,7 +76,7 @@ def apart(rows: DataFrame) -> DataFrame:
 
     It is ``raw`` unless two texts share that half and differ in the other: then those but the first get a number of their own.
     """
-    clash = settle(rows.where("raw is not null").groupBy("raw").agg(F.min("check").alias("lowest"), F.max("check").alias("highest")).where("lowest < highest").select(F.col("raw").alias("clash"), "lowest"))
+    clash = packed(rows.where("raw is not null").groupBy("raw").agg(F.min("check").alias("lowest"), F.max("check").alias("highest")).where("lowest < highest").select(F.col("raw").alias("clash"), "lowest"))
     if clash.isEmpty():
         return rows.withColumn("cid", F.col("raw"))
     own = F.when(F.col("check") > F.col("lowest"), F.xxhash64("raw", "check")).otherwise(F.col("raw"))

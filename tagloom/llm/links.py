@@ -34,13 +34,13 @@ def components(edges: DataFrame) -> DataFrame:
 
     Each round takes the least label of the neighbours and then the label's own label, so chains shorten by doubling.
     """
-    both = common.settle(edges.where("a <> b").select("a", "b").union(edges.where("a <> b").select("b", "a")).distinct())
-    labels = common.settle(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("component")))
+    both = common.packed(edges.where("a <> b").select("a", "b").union(edges.where("a <> b").select("b", "a")).distinct())
+    labels = common.packed(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("component")))
     while True:
         near = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy("a").agg(F.min("component").alias("m")).withColumnRenamed("a", "id")
         hooked = labels.join(near, "id").select("id", F.col("component").alias("old"), F.least("component", "m").alias("mid"))
         above = hooked.select(F.col("id").alias("mid"), F.col("mid").alias("up"))
-        step = common.settle(hooked.join(above, "mid").select("id", "old", F.least("mid", "up").alias("component")))
+        step = common.packed(hooked.join(above, "mid").select("id", "old", F.least("mid", "up").alias("component")))
         done = step.where(F.col("component") < F.col("old")).isEmpty()
         labels = step.select("id", "component")
         if done:
@@ -57,10 +57,10 @@ def crowds(rows: DataFrame) -> DataFrame:
     mask = F.xxhash64(F.pmod("bucket", F.lit(HEADS)))
     mark = F.col("cid").bitwiseXOR(mask)
     heads = spread.groupBy("bucket").agg(F.min(mark).alias("least"), F.count("*").alias("n")).where("n > 1")
-    heads = common.settle(heads.select("bucket", F.col("least").bitwiseXOR(mask).alias("head")))
+    heads = common.packed(heads.select("bucket", F.col("least").bitwiseXOR(mask).alias("head")))
     common.release(rows.sparkSession)
     # most buckets hold one text; the others, or marks of them, are sent to the rows, so the rest does not travel again
-    return common.settle(common.met(spread, heads, ["bucket"], common.few(heads, BROADCAST_HEADS)))
+    return common.packed(common.met(spread, heads, ["bucket"], common.few(heads, BROADCAST_HEADS)))
 
 
 def set_similar(threshold: float) -> Callable[[bytes, bytes], bool]:
@@ -187,20 +187,20 @@ def linked(rows: DataFrame, payload: Callable[[DataFrame], DataFrame], similar:
     common.release(spark)
     data = common.settle(payload(crowd.select("cid").distinct()))
     star = crowd.where("cid <> head").select(F.least("head", "cid").alias("a"), F.greatest("head", "cid").alias("b")).distinct()
-    edges = common.settle(verified(star, data, similar))
+    edges = common.packed(verified(star, data, similar))
     common.release(spark)
     found = components(edges)
     # members of one bucket that are in different components after the first comparison
     member = crowd.select("bucket", "cid").join(found.withColumnRenamed("id", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     shares = member.groupBy("bucket", "component").agg(F.count("*").alias("n"))
     mixed = shares.groupBy("bucket").agg(F.max_by("component", "n").alias("base"), F.max("n").alias("n_base"), F.sum("n").alias("m")).where("m > n_base").withColumn("n_rest", F.col("m") - F.col("n_base"))
-    member = common.settle(member.join(mixed, "bucket"))
+    member = common.packed(member.join(mixed, "bucket"))
     few = member.where(F.col("m") <= SMALL).select("bucket", "cid", "component")
     other = few.select("bucket", F.col("cid").alias("b"), F.col("component").alias("c2"))
     pairs = few.select("bucket", F.col("cid").alias("a"), F.col("component").alias("c1")).join(other, "bucket").where("a < b and c1 <> c2").select("a", "b", "c1", "c2").distinct()
     small = verified(pairs, data, similar).select("c1", "c2")
     large = compared_in_blocks(member.where(F.col("m") > SMALL), data, elements, threshold, widen, block)
-    more = common.settle(small.union(large).toDF("a", "b").distinct())
+    more = common.packed(small.union(large).toDF("a", "b").distinct())
     common.release(spark)
     return found if more.isEmpty() else merged(found, more)
 
@@ -210,7 +210,7 @@ def merged(found: DataFrame, more: DataFrame) -> DataFrame:
 
     What is joined already counts as one, so a large group's own links are not followed again.
     """
-    whole = common.settle(components(more).select(F.col("id").alias("part"), F.col("component").alias("whole")))
+    whole = common.packed(components(more).select(F.col("id").alias("part"), F.col("component").alias("whole")))
     old = found.join(whole, F.col("component") == F.col("part"), "left").select("id", F.coalesce("whole", "component").alias("component"))
     new = whole.join(found.select(F.col("id").alias("part")), "part", "left_anti").select(F.col("part").alias("id"), F.col("whole").alias("component"))
-    return common.settle(old.union(new))
+    return common.packed(old.union(new))

@@ -270,10 +270,10 @@ def _payload(docs: DataFrame, paras: DataFrame, id_col: str, text_col: str):
     def of(wanted: DataFrame) -> DataFrame:
         # combined in the tasks before the join, so a frequent paragraph is not one group of rows
         sources = paras.groupBy("cid").agg(F.min(F.struct("k", "start", "size", "raw", "check")).alias("s")).join(wanted, "cid").select("cid", "s.*")
-        sources = common.settle(sources)
+        sources = common.packed(sources)
         small = common.few(sources, BROADCAST_ROWS)
         # at most the paragraphs of one document meet in a row
-        sources = common.settle(sources.groupBy("k").agg(F.collect_list(F.struct("cid", "start", "size", "raw", "check")).alias("want")))
+        sources = common.packed(sources.groupBy("k").agg(F.collect_list(F.struct("cid", "start", "size", "raw", "check")).alias("want")))
         texts = common.met(docs.select(common.row_key(id_col, text_col).alias("k"), F.col(text_col).alias("text")), sources, ["k"], small)
 
         def scan(batch: pa.RecordBatch):
@@ -324,10 +324,10 @@ def repeated_units(read: DataFrame, across: bool) -> DataFrame:
     # numbers alone first: most units stand once and go no further
     several = units.groupBy(*key).agg(F.count("*").alias("copies"), F.min("row").alias("lo"), F.max("row").alias("hi")).where("lo < hi" if across else "copies > 1")
     # what is joined is settled, so a unit that a great part of the texts hold can be split over tasks, or is not dealt at all
-    several = common.settle(several.select(*key, "copies"))
+    several = common.packed(several.select(*key, "copies"))
     met = common.settle(common.met(units, several, key, common.few(several, BROADCAST_ROWS)))
     common.release(read.sparkSession)
-    first = common.settle(met.groupBy(*key).agg(_first("start")))
+    first = common.packed(met.groupBy(*key).agg(_first("start")))
     near = F.broadcast(first) if common.few(first, BROADCAST_ROWS) else first
     return met.join(near, key).select("id", "row", "start", (F.col("start") + UNIT).alias("end"), "first", "copies")
 

@@ -257,3 +257,34 @@ def test_many_pairs_are_tested_as_one():
 
     want = [linked(a, b) for a, b in zip(xs, ys, strict=True)]
     assert list(got) == want and 100 < sum(want) < 500
+
+
+def test_small_results_are_settled_in_few_files(spark, monkeypatch):
+    docs = docs_of(spark, corpus(random.Random(5), 60))
+    want = sorted(map(tuple, paradedup.find(docs).collect()))
+    files, before = [], type(docs).checkpoint
+
+    def checkpoint(df, *args, **kwargs):
+        out = before(df, *args, **kwargs)
+        files.append(out.rdd.getNumPartitions())
+        return out
+
+    monkeypatch.setattr(type(docs), "checkpoint", checkpoint)
+    spark.conf.set("spark.sql.shuffle.partitions", "50")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert sorted(map(tuple, paradedup.find(docs).collect())) == want
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    # one for each task of every step before, 50 and more
+    assert len(files) > 10 and sum(n >= 50 for n in files) <= 1 and sorted(files)[len(files) // 2] == 1
+
+
+def test_packed_results_are_whole_and_nothing_stays_held(spark):
+    rows = spark.range(400_000, numPartitions=40).select(F.xxhash64("id").alias("h"))
+    out = common.packed(rows)
+    assert 1 < out.rdd.getNumPartitions() < 40 and out.count() == 400_000 and out.exceptAll(rows).isEmpty()
+    none = common.packed(rows.where("h is null"))
+    assert none.rdd.getNumPartitions() == 1 and none.isEmpty() and none.schema == rows.schema
+    assert not rows.is_cached and rows.storageLevel.useDisk is False
