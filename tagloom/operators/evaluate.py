@@ -6,10 +6,14 @@ for resampling and paired tests, from its confusion cells: one shuffle whose res
 
 from __future__ import annotations
 
+import math
 import random
+from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import ERROR_LABEL, FIELDS, taxonomy
@@ -142,10 +146,10 @@ def disagreements(gold: DataFrame, preds: DataFrame) -> DataFrame:
     return joined.where(~ok | (F.col("goal") != F.col("g")) | (F.col("issue") != F.col("i"))).select("ad_id", F.concat("g", slash, "i").alias("gold"), F.when(ok, F.concat("goal", slash, "issue")).otherwise(ERROR_LABEL).alias("model"), F.when(ok, F.col("confidence")).otherwise("").alias("confidence"), why.alias("rationale"))
 
 
-#: Items of a group that the exact bootstrap, one sequence of draws, takes.
-MOST_EXACT = 1_000_000
-#: Items up to which their flags are broadcast to the draws of a bootstrap.
-BROADCAST_FLAGS = 500_000
+#: Items of a group that the exact bootstrap, one sequence of draws, takes: a byte for each of eight groups at most.
+MOST_EXACT = 1 << 30
+#: Draws that are made at once, and resamples of one unit of work.
+DRAWS, UNIT = 1 << 13, 8
 
 
 def bootstrap_exact(correct: list[bool], n_resamples: int = 2000, alpha: float = 0.05, seed: int = 0) -> tuple[float, float]:
@@ -159,38 +163,171 @@ def bootstrap_exact(correct: list[bool], n_resamples: int = 2000, alpha: float =
     return means[int(alpha / 2 * n_resamples)], means[min(n_resamples - 1, int((1 - alpha / 2) * n_resamples))]
 
 
-def bootstrap(aligned: DataFrame, n_resamples: int = 2000, alpha: float = 0.05, seed: int = 0) -> DataFrame:
-    """(run, field, ci_lo, ci_hi) with the exact generator. Its draws are one sequence, so a group's flags are in one task: for hand-labelled gold sets; ``bootstrap_hashed`` is the form for large ones."""
+def planes_of(aligned: DataFrame) -> dict[int, list[tuple[list[tuple[str, str, bool]], np.ndarray]]]:
+    """By number of items, the groups (run, field, right or known) of that size by eights, and a byte for each item in order of ad_id, a bit for each group.
 
-    most = aligned.groupBy("run", "field").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
-    if most > MOST_EXACT:
-        raise TableError(f"{most} items are too many for the exact generator; use bootstrap_hashed")
+    Items are sorted where they are; a bit of each comes to the driver. Items without a label or a prediction are in neither sum.
+    """
+    ok = F.col("gold") == F.col("pred")
+    ordered = aligned.select("run", "field", "ad_id", F.coalesce(ok.cast("int"), F.lit(2)).alias("ok")).orderBy("run", "field", "ad_id").select("run", "field", "ok")
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId()
+        for k, batch in enumerate(batches):
+            found = []
+            for (run, field), own in batch.to_pandas().groupby(["run", "field"], sort=False, dropna=False)["ok"]:
+                flags = own.to_numpy()
+                found.append({"run": run, "field": field, "part": part, "k": k, "n": len(flags), "right": np.packbits(flags == 1).tobytes(), "known": np.packbits(flags != 2).tobytes()})
+            if found:
+                yield pa.RecordBatch.from_pylist(found, schema=pa.schema([("run", pa.string()), ("field", pa.string()), ("part", pa.int32()), ("k", pa.int32()), ("n", pa.int32()), ("right", pa.binary()), ("known", pa.binary())]))
+
+    pieces: dict[tuple[str, str], list] = {}
+    for r in sorted(ordered.mapInArrow(pack, "run string, field string, part int, k int, n int, right binary, known binary").collect(), key=lambda r: (r["part"], r["k"])):
+        pieces.setdefault((r["run"], r["field"]), []).append(r)
+    bits = lambda rows, c: np.concatenate([np.unpackbits(np.frombuffer(r[c], np.uint8), count=r["n"]) for r in rows])
+    by_size: dict[int, list[tuple[list[tuple[str, str, bool]], np.ndarray]]] = {}
+    for (run, field), rows in sorted(pieces.items(), key=lambda x: str(x[0])):
+        planes = by_size.setdefault(sum(r["n"] for r in rows), [])
+        for what in ("right", "known"):
+            flags = bits(rows, what)
+            if what == "known" and flags.all():
+                continue
+            if not planes or len(planes[-1][0]) == 8:
+                planes.append(([], np.zeros(len(flags), np.uint8)))
+            planes[-1][1][:] |= flags << len(planes[-1][0])
+            planes[-1][0].append((run, field, what == "right"))
+    return by_size
+
+
+#: By bit, which bytes have it.
+BITS = (np.arange(256)[:, None] >> np.arange(8)) & 1
+
+
+def drawn(planes: list[tuple[list[tuple[str, str, bool]], np.ndarray]], places: np.ndarray) -> np.ndarray:
+    """For each plane and bit, how many of the drawn places have it."""
+    return np.stack([np.bincount(own[places], minlength=256) @ BITS for _, own in planes])
+
+
+def means_of(planes: list[tuple[list[tuple[str, str, bool]], np.ndarray]], sums: np.ndarray, n: int) -> list[tuple[str, str, float]]:
+    right, known = {}, {}
+    for (groups, _), own in zip(planes, sums, strict=True):
+        for k, (run, field, is_right) in enumerate(groups):
+            (right if is_right else known)[run, field] = int(own[k])
+    return [(*g, x / known.get(g, n)) for g, x in right.items() if known.get(g, n)]
+
+
+def as_means(found: list[tuple[str, str, float]]) -> pa.RecordBatch:
+    run, field, mean = zip(*found, strict=True) if found else ((), (), ())
+    return pa.RecordBatch.from_arrays([pa.array(run, pa.string()), pa.array(field, pa.string()), pa.array(mean, pa.float64())], ["run", "field", "mean"])
+
+
+def percentiles(means: DataFrame, n_resamples: int, alpha: float) -> DataFrame:
+    ordered = means.groupBy("run", "field").agg(F.sort_array(F.collect_list("mean")).alias("m"))
+    at = lambda k: F.try_element_at("m", F.lit(k + 1))
+    return ordered.select("run", "field", at(int(alpha / 2 * n_resamples)).alias("ci_lo"), at(min(n_resamples - 1, int((1 - alpha / 2) * n_resamples))).alias("ci_hi"))
 
-    def interval(pdf: pd.DataFrame) -> pd.DataFrame:
-        own = pdf.sort_values("ad_id")
-        lo, hi = bootstrap_exact((own["gold"] == own["pred"]).tolist(), n_resamples, alpha, seed)
-        return pd.DataFrame({"run": [own["run"].iloc[0]], "field": [own["field"].iloc[0]], "ci_lo": [lo], "ci_hi": [hi]})
 
-    return aligned.groupBy("run", "field").applyInPandas(interval, "run string, field string, ci_lo double, ci_hi double")
+def bootstrap(aligned: DataFrame, n_resamples: int = 2000, alpha: float = 0.05, seed: int = 0) -> DataFrame:
+    """(run, field, ci_lo, ci_hi) with the exact generator. Its draws are one sequence, made in one task for all groups of one size; ``bootstrap_hashed`` is the distributed form."""
+    by_size = planes_of(aligned)
+    if (most := max(by_size, default=0)) > MOST_EXACT:
+        raise TableError(f"{most} items are too many for the exact generator; use bootstrap_hashed")
+    spark = aligned.sparkSession
+    held = spark.sparkContext.broadcast(by_size)
+
+    def resample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for n in batch.column("n").to_pylist():
+                planes = held.value[n]
+                # Python's generator, whose numbers NumPy makes in bulk; choices() takes the item at floor(random() * n)
+                state = random.Random(seed).getstate()[1]
+                rng = np.random.RandomState()
+                rng.set_state(("MT19937", np.array(state[:-1], np.uint32), state[-1]))
+                for _ in range(n_resamples):
+                    sums = 0
+                    for start in range(0, n, 1 << 16):
+                        sums = sums + drawn(planes, (rng.random_sample(min(1 << 16, n - start)) * float(n)).astype(np.int64))
+                    yield as_means(means_of(planes, sums, n))
+
+    sizes = spark.createDataFrame([(n,) for n in by_size], "n long").repartition(max(1, len(by_size)))
+    return percentiles(sizes.mapInArrow(resample, "run string, field string, mean double"), n_resamples, alpha)
+
+
+#: MD5's rotations, constants and order of words by step.
+_TURNS = [t for four in ((7, 12, 17, 22), (5, 9, 14, 20), (4, 11, 16, 23), (6, 10, 15, 21)) for t in four * 4]
+_SINES = [int(abs(math.sin(i + 1)) * 2**32) for i in range(64)]
+_WORDS = [[i, 5 * i + 1, 3 * i + 5, 7 * i][i // 16] % 16 for i in range(64)]
+
+
+def md5_starts(prefix: bytes, digits: np.ndarray) -> np.ndarray:
+    """The first four bytes, as a number, of the MD5 of ``prefix`` and each row of ``digits``, 55 bytes at most in all."""
+    count, size = len(digits), len(prefix) + digits.shape[1]
+    text = np.zeros((count, size // 4 * 4 + 4), np.uint8)
+    text[:, : len(prefix)] = np.frombuffer(prefix, np.uint8)
+    text[:, len(prefix) : size] = digits
+    text[:, size] = 0x80
+    words: list = list(np.ascontiguousarray(text.view("<u4").T))
+    words += [0] * (16 - len(words))
+    words[14] = size * 8
+    a, b, c, d = (np.full(count, x, np.uint32) for x in (0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476))
+    f, t = np.empty(count, np.uint32), np.empty(count, np.uint32)
+    for i in range(61):  # the last three steps do not change a
+        if i < 16:
+            np.bitwise_xor(c, d, out=f), np.bitwise_and(f, b, out=f), np.bitwise_xor(f, d, out=f)
+        elif i < 32:
+            np.bitwise_xor(b, c, out=f), np.bitwise_and(f, d, out=f), np.bitwise_xor(f, c, out=f)
+        elif i < 48:
+            np.bitwise_xor(b, c, out=f), np.bitwise_xor(f, d, out=f)
+        else:
+            np.invert(d, out=f), np.bitwise_or(f, b, out=f), np.bitwise_xor(f, c, out=f)
+        word = words[_WORDS[i]]
+        a += f
+        if isinstance(word, int):
+            a += np.uint32((word + _SINES[i]) & 0xFFFFFFFF)
+        else:
+            a += word
+            a += np.uint32(_SINES[i])
+        np.left_shift(a, np.uint32(_TURNS[i]), out=t)
+        np.right_shift(a, np.uint32(32 - _TURNS[i]), out=a)
+        a |= t
+        a += b
+        a, b, c, d = d, a, b, c
+    # after step 60 its result stands in b
+    return (b + np.uint32(0x67452301)).byteswap()
+
+
+def decimals(start: int, end: int) -> np.ndarray:
+    """The digits of numbers of one length, a row for each."""
+    numbers, size = np.arange(start, end), len(str(end - 1))
+    return np.stack([numbers // 10 ** (size - 1 - k) % 10 + 48 for k in range(size)], axis=1).astype(np.uint8)
 
 
 def bootstrap_hashed(aligned: DataFrame, n_resamples: int = 200, alpha: float = 0.05, seed: int = 0) -> DataFrame:
     """The interval with draws by hash, a different estimator: draw i of resample b takes the item at rank md5(seed:b:i) mod n.
 
-    A resample's mean depends only on how many of its draws fall on right items, so items are ranked once and draws are
-    joined to ranks; all of it is distributed. Groups of one size have the same draws, which are hashed once for all of them.
+    A resample's mean depends only on how many of its draws fall on right items, so every task has a bit for each item of each
+    group and makes the draws of some resamples. Groups of one size have the same draws, which are hashed once for all of them.
     """
-    keys = Window.partitionBy("run", "field")
-    ranked = aligned.select("run", "field", "ad_id", (F.col("gold") == F.col("pred")).cast("int").alias("ok")).withColumn("rank", F.row_number().over(keys.orderBy("ad_id")) - 1).withColumn("n", F.count("*").over(keys))
-    sizes = ranked.select("n").distinct()
-    parts = int(aligned.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    resamples = sizes.select("n", F.explode(F.sequence(F.lit(0), F.lit(n_resamples - 1))).alias("b")).repartition(parts, "n", "b")
-    draws = resamples.select("n", "b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("i"))
-    hashed = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("b").cast("string"), F.col("i").cast("string"))), 1, 8), 16, 10).cast("long")
-    flags = ranked.groupBy("n", "rank").agg(F.collect_list(F.struct("run", "field", "ok")).alias("flags"))
-    # draws look small to the planner, so it is told to hold the flags: in every executor if they are few, else by shuffles
-    flags = F.broadcast(flags) if flags.count() <= BROADCAST_FLAGS else flags.hint("shuffle_merge")
-    drawn = draws.select("n", "b", (hashed % F.col("n")).cast("int").alias("rank")).join(flags, ["n", "rank"]).select("b", F.explode("flags").alias("f"))
-    means = drawn.groupBy("f.run", "f.field", "b").agg(F.avg("f.ok").alias("mean"))
-    ordered = means.groupBy("run", "field").agg(F.sort_array(F.collect_list("mean")).alias("m"))
-    return ordered.select("run", "field", F.element_at("m", int(alpha / 2 * n_resamples) + 1).alias("ci_lo"), F.element_at("m", min(n_resamples - 1, int((1 - alpha / 2) * n_resamples)) + 1).alias("ci_hi"))
+    by_size = planes_of(aligned)
+    spark = aligned.sparkSession
+    held = spark.sparkContext.broadcast(by_size)
+
+    def resample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for n, first in zip(batch.column("n").to_pylist(), batch.column("first").to_pylist(), strict=True):
+                planes = held.value[n]
+                own = range(first, min(first + UNIT, n_resamples))
+                sums = [0] * len(own)
+                start = 0
+                while start < n:
+                    end = min(n, start + DRAWS, 10 ** len(str(start)))
+                    digits = decimals(start, end)
+                    for k, b in enumerate(own):
+                        sums[k] = sums[k] + drawn(planes, md5_starts(f"{seed}:{b}:".encode(), digits) % np.uint32(n))
+                    start = end
+                yield as_means([x for s in sums for x in means_of(planes, s, n)])
+
+    units = [(n, first) for n in by_size for first in range(0, n_resamples, UNIT)]
+    parts = max(1, min(len(units), 4 * spark.sparkContext.defaultParallelism))
+    work = spark.sparkContext.parallelize(units, parts).toDF("n long, first long")
+    return percentiles(work.mapInArrow(resample, "run string, field string, mean double"), n_resamples, alpha)

@@ -1,11 +1,13 @@
 """Steps whose cost must not grow faster than the input."""
 
+import hashlib
 import random
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 
+from tagloom.operators import evaluate as ev
 from tagloom.operators import neardup
 
 
@@ -28,3 +30,21 @@ def test_texts_of_the_same_words_are_no_candidates():
         found = {(a, b) for (a, b, c), k in met.items() if k >= c}
         # of 180,300 pairs, nearly all of which share a word of their prefixes, 121 are candidates
         assert (0, 600) in found and len(found) < 1000
+
+
+def test_bootstrap_takes_a_bit_for_each_item(spark):
+    rng = random.Random(2)
+    rows = [(run, field, f"{i:04d}", "x", "x" if rng.random() < 0.7 else "y") for run in "abc" for field in ("goal", "issue", "third") for i in range(300 + 50 * (run == "c"))]
+    aligned = spark.createDataFrame(rows, "run string, field string, ad_id string, gold string, pred string").repartition(5)
+    by_size = ev.planes_of(aligned)
+    assert {n: [(len(g), own.dtype.itemsize, len(own)) for g, own in planes] for n, planes in by_size.items()} == {300: [(6, 1, 300)], 350: [(3, 1, 350)]}
+    flags = {}
+    for run, field, _, gold, pred in sorted(rows):
+        flags.setdefault((run, field), []).append(gold == pred)
+    want = {k: ev.bootstrap_exact(own, 100, seed=3) for k, own in flags.items()}
+    assert {(r["run"], r["field"]): (r["ci_lo"], r["ci_hi"]) for r in ev.bootstrap(aligned, 100, seed=3).collect()} == want
+    hashed = ev.bootstrap_hashed(aligned, 20)
+    places = lambda n, b: [int(hashlib.md5(f"0:{b}:{i}".encode()).hexdigest()[:8], 16) % n for i in range(n)]
+    means = {k: sorted(sum(own[p] for p in places(len(own), b)) / len(own) for b in range(20)) for k, own in flags.items()}
+    assert {(r["run"], r["field"]): (r["ci_lo"], r["ci_hi"]) for r in hashed.collect()} == {k: (m[0], m[19]) for k, m in means.items()}
+    assert "Join" not in hashed._jdf.queryExecution().optimizedPlan().toString()
