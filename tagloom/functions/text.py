@@ -15,8 +15,14 @@ URL_PREFIX = "https://www.facebook.com/ads/library/?id="  # fixed value
 _EDGES = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
 
 
+def _plain(c: Column) -> Column:
+    """Whether a character is one of ASCII that is no blank."""
+    return (c >= "!") & (c <= "~")
+
+
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, _EDGES, "")
+    """Most texts have plain ends and need no search."""
+    return F.when(_plain(F.left(c, F.lit(1))) & _plain(F.right(c, F.lit(1))), c).otherwise(F.regexp_replace(c, _EDGES, ""))
 
 
 @F.pandas_udf(T.StringType())
@@ -25,6 +31,10 @@ def fold_compatible(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFKC", t))
 
 
+#: Line breaks besides the line feed.
+OTHER_BREAKS = r"[\r\x0b\x0c\x1c-\x1e\x85  ]"
+
+
 def lines_of(c: Column) -> Column:
     """Lines like Python's splitlines(): no empty element after a last line break."""
     return F.split(F.regexp_replace(c, r"(\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ])\z", ""), r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]")
@@ -32,7 +42,7 @@ def lines_of(c: Column) -> Column:
 
 def tidy(c: Column) -> Column:
     """Zero-width spaces off, lines right-trimmed, three or more line breaks to two, ends trimmed; without the NFKC folding."""
-    trimmed = F.array_join(F.transform(lines_of(F.replace(c, F.lit(ZERO_WIDTH), F.lit(""))), lambda x: F.regexp_replace(x, r"(?U)[\s\x1c-\x1f]+$", "")), "\n")
+    trimmed = F.array_join(F.transform(lines_of(F.replace(c, F.lit(ZERO_WIDTH), F.lit(""))), lambda x: F.when(_plain(F.right(x, F.lit(1))), x).otherwise(F.regexp_replace(x, r"(?U)[\s\x1c-\x1f]+$", ""))), "\n")
     return strip(F.regexp_replace(trimmed, r"\n{3,}", "\n\n"))
 
 

@@ -12,7 +12,7 @@ from ..sources.tables import TableError
 
 def violations(rows: DataFrame) -> DataFrame:
     """(seq, rank, message), all of them; the reference order is by seq, then rank. Record numbers start at 2."""
-    clean = rows.select("seq", *(strip(F.coalesce(c, F.lit(""))).alias(c) for c in ("ad_id", "ad_text", "gold_goal", "gold_issue")))
+    clean = rows.select("seq", *(strip(F.coalesce(c, F.lit(""))).alias(c) for c in ("ad_id", "gold_goal", "gold_issue")), (strip(F.coalesce("ad_text", F.lit(""))) == "").alias("no_text"))
     again = F.row_number().over(Window.partitionBy("ad_id").orderBy("seq")) > 1
     quoted = F.concat(F.lit("'"), F.col("ad_id"), F.lit("'"))
     goal, issue = F.col("gold_goal") != "", F.col("gold_issue") != ""
@@ -21,7 +21,7 @@ def violations(rows: DataFrame) -> DataFrame:
     found = F.array(
         F.struct(F.lit(1).alias("rank"), F.when(F.col("ad_id") == "", "empty ad_id").alias("message")),
         F.struct(F.lit(2).alias("rank"), F.when((F.col("ad_id") != "") & F.col("again"), F.concat(F.lit("duplicate ad_id "), quoted)).alias("message")),
-        F.struct(F.lit(3).alias("rank"), F.when(F.col("ad_text") == "", F.concat(F.lit("empty ad_text for "), quoted)).alias("message")),
+        F.struct(F.lit(3).alias("rank"), F.when(F.col("no_text"), F.concat(F.lit("empty ad_text for "), quoted)).alias("message")),
         F.struct(F.lit(4).alias("rank"), F.when(goal != issue, half).alias("message")),
         F.struct(F.lit(5).alias("rank"), off("gold_goal", GOALS, "goal").alias("message")),
         F.struct(F.lit(6).alias("rank"), off("gold_issue", ISSUES, "issue").alias("message")),

@@ -111,14 +111,18 @@ def dropped_file(spark, d):
     return _through(spark, use)
 
 
+def _recheck_lines(batch):
+    yield "rows", "".join(f'{i},"rule {i}, new"\n' for i in batch.column("ad_id").to_pylist()), 0
+
+
 def sheet_file(spark, d):
     """A label sheet with notes of items to look at again, written as CSV with a byte order mark and read as a returned sheet."""
 
     def use(folder):
         recheck, path = str(folder / "recheck.csv"), str(folder / "sheet.csv")
         again = syn.items(spark, d).where(draw("rechk", F.col("ad_id")) % 7 == 0)
-        lines = [f'{r["ad_id"]},"rule {r["ad_id"]}, new"' for r in again.select("ad_id").toLocalIterator()]
-        Path(recheck).write_text("\n".join(["ad_id,reason", *lines]) + "\n", encoding="utf-8")
+        Path(recheck).write_text("ad_id,reason\n", encoding="utf-8")
+        tb.put(again.select("ad_id"), _recheck_lines, {"rows": recheck})
         rows = settle(labeling.sheet(_items(spark, d), tb.read_recheck(spark, recheck)))
         tb.write_sheet(rows, path)
         back = tb.read_sheet(spark, path)
@@ -133,9 +137,7 @@ def paste_files(spark, d):
     def use(folder):
         files = syn.file_text(syn.items(spark, d))
         number = draw("pf", F.col("file")) % PASTES
-        for r in files.select(number.alias("n"), F.col("file").cast("long").alias("seq"), "raw").orderBy("n", "seq").toLocalIterator():
-            with open(folder / f"paste-{r['n']}.txt", "a", encoding="utf-8", newline="") as f:
-                f.write(r["raw"] + "\n")
+        tb.write_pastes(files.select(number.alias("n"), F.col("file").cast("long").alias("seq"), "raw"), str(folder), {n: f"paste-{n}.txt" for n in range(PASTES)})
         return paste.numbered(paste.parse(tb.read_pastes(spark, str(folder)))).select("seq", "library_id", "page_name", "paid_for", "started_running", "ad_text")
 
     return _through(spark, use)

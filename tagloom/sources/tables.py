@@ -8,15 +8,21 @@ file's order. CSV files with quoted line breaks are one task each by nature; tab
 from __future__ import annotations
 
 import csv
+import io
 import json
 import os
+import shutil
+import uuid
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import strip
+from ..functions.text import OTHER_BREAKS, strip
 from ..schema import ALL_COLUMNS, DROPPED_COLUMNS, GOLD_COLUMNS, PREDICTION, SHEET_COLUMNS, strings
 
 
@@ -28,8 +34,8 @@ class TableError(ValueError):
     """A table that breaks its contract."""
 
 
-#: Rows up to which the writers of hand-made files, which go through the driver, take a table; larger ones belong in Parquet.
-MOST_FILE_ROWS = 2_000_000
+#: Rows up to which the writers of hand-made files take a table. Tasks write them, but a CSV file is read by one task.
+MOST_FILE_ROWS = 1 << 31
 
 
 def read_table(spark: SparkSession, path: str, name: str | None = None) -> DataFrame:
@@ -100,10 +106,32 @@ def read_predictions(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_pastes(spark: SparkSession, path: str) -> DataFrame:
-    """(file, line_no, line) of whole pasted texts; any line break ends a line."""
-    from ..operators.paste import lines
+    """(file, block, line_no, line, begun) of pasted texts; any line break ends a line.
 
-    return lines(spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.col("value").alias("raw")))
+    Files are read in blocks; a line's place is that of its block in the file, and its own in the block, and ``begun`` is how many
+    records have begun in the block. A task reads a block from its beginning, so it can count them as it reads. A break other than a
+    line feed at the very end of a file is followed by an empty line.
+    """
+    from ..operators.paste import ID_LINE
+
+    rows = spark.read.text(path, lineSep="\n").select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("at"), F.col("value"))
+    parts = F.split(F.regexp_replace("value", r"\r\z", ""), OTHER_BREAKS)
+    each = rows.select("file", "block", "at", F.posexplode(parts).alias("k", "line"))
+    placed = each.select("file", "block", F.struct("block", (F.shiftleft("at", 30) + F.col("k")).alias("at")).alias("line_no"), "line", strip(F.col("line")).rlike(ID_LINE).alias("begins"))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, total = None, 0
+        for batch in batches:
+            keys = list(zip(batch.column("file").to_pylist(), batch.column("block").to_pylist(), strict=True))
+            begun = []
+            for key, begins in zip(keys, batch.column("begins").to_pylist(), strict=True):
+                if key != last:
+                    last, total = key, 0
+                total += begins
+                begun.append(total)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(begun, pa.int64())], schema=pa.schema([*list(batch.schema)[:4], pa.field("begun", pa.int64())]))
+
+    return placed.mapInArrow(count, "file string, block long, line_no struct<block: long, at: long>, line string, begun long")
 
 
 def read_dropped(spark: SparkSession, gold_path: str) -> DataFrame:
@@ -145,45 +173,113 @@ def read_sheet(spark: SparkSession, path: str) -> DataFrame:
 def _by_hand(rows: DataFrame, path: str) -> DataFrame:
     """``rows`` if they are few enough for a file that people edit."""
     if (n := rows.count()) > MOST_FILE_ROWS:
-        raise TableError(f"{path}: {n} rows are too many for a file written by one process; write Parquet instead")
+        raise TableError(f"{path}: {n} rows are too many for a file that is read by one task; write Parquet instead")
     return rows
 
 
+def put(rows: DataFrame, encode: Callable[[pa.RecordBatch], Iterator[tuple[str, str, int]]], targets: dict[str, str]) -> int:
+    """Append the rows' text, in the order of the rows, to files that the driver and all executors see; nothing goes through the driver.
+
+    ``encode`` gives (name, text, number) for a batch, ``targets`` the path of each name. Tasks write parts, whose sizes tell
+    where each belongs in its file, and then copy them there. The sum of the numbers is returned.
+    """
+    targets = {k: os.path.abspath(v) for k, v in targets.items()}
+    spark = rows.sparkSession
+    folder = Path(next(iter(targets.values()))).parent / f".parts-{uuid.uuid4().hex}"
+    folder.mkdir()
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = TaskContext.get()
+        part, numbers, files = task.partitionId(), {}, {}
+        own = lambda name: f"{folder}/{name}-{part}-{task.taskAttemptId()}"
+        try:
+            for batch in batches:
+                for name, text, number in encode(batch):
+                    if name not in files:
+                        files[name] = open(own(name), "wb")
+                    files[name].write(text.encode("utf-8"))
+                    numbers[name] = numbers.get(name, 0) + number
+        finally:
+            for f in files.values():
+                f.close()
+        for name in files:
+            yield pa.RecordBatch.from_pylist([{"name": name, "part": part, "file": own(name), "size": os.path.getsize(own(name)), "number": numbers[name]}])
+
+    def copy(moves: Iterator[tuple[str, str, int]]) -> None:
+        for source, target, at in moves:
+            with open(source, "rb") as src, open(target, "r+b") as dst:
+                dst.seek(at)
+                shutil.copyfileobj(src, dst, 1 << 20)
+
+    try:
+        parts = rows.mapInArrow(write, "name string, part long, file string, size long, number long").collect()
+        ends = {}
+        moves = []
+        for r in sorted(parts, key=lambda r: (r["name"], r["part"])):
+            target = targets[r["name"]]
+            if target not in ends:
+                Path(target).touch()
+                ends[target] = os.path.getsize(target)
+            moves.append((r["file"], target, ends[target]))
+            ends[target] += r["size"]
+        if moves:
+            spark.sparkContext.parallelize(moves, len(moves)).foreachPartition(copy)
+        return sum(r["number"] for r in parts)
+    finally:
+        shutil.rmtree(folder)
+
+
+def _csv(columns: tuple[str, ...]) -> Callable[[pa.RecordBatch], Iterator[tuple[str, str, int]]]:
+    def encode(batch: pa.RecordBatch) -> Iterator[tuple[str, str, int]]:
+        text = io.StringIO()
+        csv.writer(text).writerows(zip(*(batch.column(c).to_pylist() for c in columns), strict=True))
+        yield "rows", text.getvalue(), 0
+
+    return encode
+
+
+def _json(batch: pa.RecordBatch) -> Iterator[tuple[str, str, int]]:
+    names = ("ad_id", "goal", "issue", "confidence", "rationale", "prompt_version", "model", "error", "usage")
+    lines, failures = [], 0
+    for values in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
+        r = dict(zip(names, values, strict=True))
+        failures += r["error"] is not None
+        lines.append(json.dumps(r | {"usage": None if r["usage"] is None else dict(r["usage"])}) + "\n")
+    yield "rows", "".join(lines), failures
+
+
+def _head(path: str, columns: tuple[str, ...], encoding: str = "utf-8") -> None:
+    with open(path, "w", newline="", encoding=encoding) as f:
+        csv.writer(f).writerow(columns)
+
+
 def write_gold(items: DataFrame, path: str) -> None:
     """Rewrite the item file in order of seq, staged beside the target and renamed over it. Callers validate first."""
     items = _by_hand(items, path)
     rows = items.select("seq", *(F.coalesce(c, F.lit("")).alias(c) if c in items.columns else F.lit("").alias(c) for c in ALL_COLUMNS)).orderBy("seq")
     Path(path).parent.mkdir(parents=True, exist_ok=True)
     stage = f"{path}.tmp"
-    with open(stage, "w", newline="", encoding="utf-8") as f:
-        out = csv.writer(f)
-        out.writerow(ALL_COLUMNS)
-        for r in rows.toLocalIterator(prefetchPartitions=True):
-            out.writerow([r[c] for c in ALL_COLUMNS])
+    _head(stage, ALL_COLUMNS)
+    put(rows, _csv(ALL_COLUMNS), {"rows": stage})
     os.replace(stage, path)
 
 
 def append_dropped(entries: DataFrame, gold_path: str) -> None:
     log = dropped_path(gold_path)
-    new = not os.path.exists(log)
-    with open(log, "a", newline="", encoding="utf-8") as f:
-        out = csv.writer(f)
-        if new:
-            out.writerow(DROPPED_COLUMNS)
-        for r in _by_hand(entries, log).select(*DROPPED_COLUMNS).toLocalIterator():
-            out.writerow(list(r))
+    entries = _by_hand(entries, log).select(*DROPPED_COLUMNS)
+    if not os.path.exists(log):
+        _head(log, DROPPED_COLUMNS)
+    put(entries, _csv(DROPPED_COLUMNS), {"rows": log})
 
 
 def append_predictions(preds: DataFrame, path: str, overwrite: bool = False) -> int:
     """Append records as JSON lines, ASCII only; returns the number of failed ones."""
     Path(path).parent.mkdir(parents=True, exist_ok=True)
-    failures = 0
     preds = _by_hand(preds, path)
-    with open(path, "w" if overwrite else "a", encoding="utf-8") as f:
-        for r in preds.orderBy("seq").toLocalIterator():
-            failures += r["error"] is not None
-            f.write(json.dumps({c: r[c] for c in ("ad_id", "goal", "issue", "confidence", "rationale", "prompt_version", "model", "error", "usage")}) + "\n")
-    return failures
+    with open(path, "w" if overwrite else "a", encoding="utf-8"):
+        pass
+    # many records can have one seq
+    return put(preds.orderBy("seq", "ad_id"), _json, {"rows": path})
 
 
 def append_prediction_log(preds: DataFrame, path: str, overwrite: bool = False) -> None:
@@ -194,8 +290,15 @@ def append_prediction_log(preds: DataFrame, path: str, overwrite: bool = False)
 def write_sheet(rows: DataFrame, path: str) -> None:
     """A label sheet as CSV, which spreadsheet programs open (with a byte order mark)."""
     rows = _by_hand(rows, path)
-    with open(path, "w", newline="", encoding="utf-8-sig") as f:
-        out = csv.writer(f)
-        out.writerow(SHEET_COLUMNS)
-        for r in rows.orderBy("#").toLocalIterator():
-            out.writerow([r[c] for c in SHEET_COLUMNS])
+    _head(path, SHEET_COLUMNS, "utf-8-sig")
+    put(rows.orderBy("#"), _csv(SHEET_COLUMNS), {"rows": path})
+
+
+def write_pastes(files: DataFrame, folder: str, names: dict[int, str]) -> None:
+    """Append pasted texts (n, seq, raw), each with a line break, in order of seq to the file in ``folder`` that ``names`` has for n."""
+
+    def encode(batch: pa.RecordBatch) -> Iterator[tuple[str, str, int]]:
+        for n, raw in zip(batch.column("n").to_pylist(), batch.column("raw").to_pylist(), strict=True):
+            yield str(n), raw + "\n", 0
+
+    put(files.orderBy("n", "seq"), encode, {str(n): os.path.join(folder, name) for n, name in names.items()})

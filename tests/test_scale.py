@@ -1,6 +1,9 @@
 """Steps whose cost must not grow faster than the input."""
 
+import csv
 import hashlib
+import io
+import json
 import random
 from collections import Counter
 
@@ -8,7 +11,9 @@ import numpy as np
 import pyarrow as pa
 
 from tagloom.operators import evaluate as ev
-from tagloom.operators import neardup
+from tagloom.operators import neardup, paste
+from tagloom.schema import ALL_COLUMNS, PREDICTION
+from tagloom.sources import tables as tb
 
 
 def test_texts_of_the_same_words_are_no_candidates():
@@ -48,3 +53,40 @@ def test_bootstrap_takes_a_bit_for_each_item(spark):
     means = {k: sorted(sum(own[p] for p in places(len(own), b)) / len(own) for b in range(20)) for k, own in flags.items()}
     assert {(r["run"], r["field"]): (r["ci_lo"], r["ci_hi"]) for r in hashed.collect()} == {k: (m[0], m[19]) for k, m in means.items()}
     assert "Join" not in hashed._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_files_are_written_by_tasks(spark, tmp_path, monkeypatch):
+    def never(*_, **__):
+        raise AssertionError("rows came to the driver")
+
+    monkeypatch.setattr(type(spark.range(1)), "toLocalIterator", never)
+    texts = [f'text {i}, "quoted"\r\nsecond\nzwölf' for i in range(200)]
+    blank = {c: "" for c in ALL_COLUMNS}
+    rows = [tuple((blank | {"ad_id": str(i), "ad_text": t})[c] for c in ALL_COLUMNS) + (i,) for i, t in enumerate(texts)]
+    items = spark.createDataFrame(rows, ", ".join(f"{c} string" for c in ALL_COLUMNS) + ", seq long").repartition(7)
+    path = tmp_path / "gold.csv"
+    for _ in range(2):
+        tb.write_gold(items, str(path))
+    want = io.StringIO()
+    csv.writer(want).writerows([ALL_COLUMNS, *(r[:-1] for r in rows)])
+    assert path.read_bytes() == want.getvalue().encode() and [p.name for p in tmp_path.iterdir()] == ["gold.csv"]
+    preds = spark.createDataFrame([(str(i), "", "", "", "", "v", "m", "boom" if i % 3 else None, {"input_tokens": i}, k) for k in range(2) for i in range(50)], PREDICTION).repartition(5)
+    assert tb.append_predictions(preds, str(tmp_path / "p.jsonl")) == tb.append_predictions(preds, str(tmp_path / "p.jsonl")) == 66
+    lines = [json.loads(x) for x in (tmp_path / "p.jsonl").read_text().splitlines()]
+    assert len(lines) == 200 and lines[0]["usage"] == {"input_tokens": int(lines[0]["ad_id"])} and lines[:100] == lines[100:]
+
+
+def test_a_pasted_file_is_read_in_blocks(spark, tmp_path):
+    cards = [f"Library ID: {i}\r\nStarted running on May {i % 28 + 1}, 2026\nPage {i % 7}\nSponsored • Paid for by C{i}\nbody {i}\x0bmore\n" + f"line {i}\n" * (i % 9) + "Active\n" for i in range(300)]
+    for k in range(2):
+        (tmp_path / f"paste-{k}.txt").write_text("junk\n" + "".join(cards[k::2]), encoding="utf-8", newline="")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+        stream = tb.read_pastes(spark, str(tmp_path))
+        assert stream.select("file", "block").distinct().count() > 8
+        got = paste.numbered(paste.parse(stream)).orderBy("seq").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert [r["library_id"] for r in got] == [str(i) for k in range(2) for i in range(k, 300, 2)] and [r["seq"] for r in got] == list(range(300))
+    assert all(r["ad_text"] == "\n".join([f"body {r['library_id']}", "more", *[f"line {r['library_id']}"] * (int(r["library_id"]) % 9)]) and r["paid_for"] == f"C{r['library_id']}" for r in got)
