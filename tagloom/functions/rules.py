@@ -73,29 +73,46 @@ ISSUE_WORDS = {
 ISSUE_PRIORITY = ("abortion", "immigration", "public_safety", "healthcare", "democracy_voting", "economy", "candidate_character")
 
 
-def first_letters(entries: tuple[str, ...]) -> str:
+#: Letters beyond ASCII that match an ASCII letter whatever their case, and the sigma, whose lower case depends on its place.
+ODD_LETTERS = "[\u017f\u0130\u0131\u03a3]"
+WORD = r"\p{L}\p{N}_"
+
+
+def first_letters(entry: str) -> str:
     """The letters that an entry can begin with; entries begin with a letter or with a group of plain alternatives."""
-    starts = (x for e in entries for x in (e[3 : e.index(")")].split("|") if e.startswith("(?:") else (e,)))
+    starts = entry[3 : entry.index(")")].split("|") if entry.startswith("(?:") else (entry,)
     return "".join(sorted({x[0] for x in starts}))
 
 
-def java_pattern(entries: tuple[str, ...]) -> str:
+def java_pattern(entries: tuple[str, ...], lowered: bool = False) -> str:
     """Whole-word match with Unicode letters, digits and underscore as word characters; Java's own \\b counts marks too.
 
-    A look at the first letter comes before all else, so most places of a text cost one test.
+    A look at the first letter comes before all else, so most places of a text cost one test; then come the entries that can
+    begin with that letter, in their order. ``lowered`` is for texts in lower case, where letters are compared as they are.
     """
-    body = "|".join(e.replace(r"\w", r"[\p{L}\p{N}_]").replace(r"\d", r"\p{Nd}") for e in entries)
-    return rf"(?iu)(?=[{first_letters(entries)}])(?<![\p{{L}}\p{{N}}_])(?:" + body + r")(?![\p{L}\p{N}_])"
+    java = [(first_letters(e), e.replace(r"\w", rf"[{WORD}]").replace(r"\d", r"\p{Nd}")) for e in entries]
+    letters = sorted({x for first, _ in java for x in first})
+    if lowered:
+        by_letter = (f"(?={x})(?:" + "|".join(e for first, e in java if x in first) + ")" for x in letters)
+        return rf"(?=[{''.join(letters)}])(?<![{WORD}])(?:{'|'.join(by_letter)})(?![{WORD}])"
+    return rf"(?iu)(?=[{''.join(letters)}])(?<![{WORD}])(?:" + "|".join(e for _, e in java) + rf")(?![{WORD}])"
+
+
+def lowered(text: Column) -> Column:
+    """The text in lower case, which costs less to search; null where a search of it could find something else."""
+    return F.when(~text.rlike(ODD_LETTERS), F.lower(text))
 
 
-def hits(text: Column, *lexicons: tuple[str, ...]) -> Column:
-    """All matches of each lexicon, lower case, in order, repeats kept."""
-    found = [F.transform(F.regexp_extract_all(text, F.lit(java_pattern(x)), F.lit(0)), F.lower) for x in lexicons]
+def hits(text: Column, *lexicons: tuple[str, ...], low: Column | None = None) -> Column:
+    """All matches of each lexicon, lower case, in order, repeats kept. ``low`` is ``lowered(text)`` where it is at hand."""
+    low = lowered(text) if low is None else low
+    found = [F.when(low.isNotNull(), F.regexp_extract_all(low, F.lit(java_pattern(x, True)), F.lit(0))).otherwise(F.transform(F.regexp_extract_all(text, F.lit(java_pattern(x)), F.lit(0)), F.lower)) for x in lexicons]
     return found[0] if len(found) == 1 else F.concat(*found)
 
 
-def count(text: Column, lexicon: tuple[str, ...]) -> Column:
-    return F.regexp_count(text, F.lit(java_pattern(lexicon)))
+def count(text: Column, lexicon: tuple[str, ...], low: Column | None = None) -> Column:
+    low = lowered(text) if low is None else low
+    return F.when(low.isNotNull(), F.regexp_count(low, F.lit(java_pattern(lexicon, True)))).otherwise(F.regexp_count(text, F.lit(java_pattern(lexicon))))
 
 
 def classify(items: DataFrame, text_col: str = "ad_text", reasons: bool = True) -> DataFrame:
@@ -105,12 +122,13 @@ def classify(items: DataFrame, text_col: str = "ad_text", reasons: bool = True)
     is the topic with most hits, ties by priority. Confidence is the lower of the two; the issue never exceeds medium.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    counted = items.withColumns({f"_n_{k}": count(text, v) for k, v in ISSUE_WORDS.items()})
+    low = F.col("_low")
+    counted = items.withColumn("_low", lowered(text)).withColumns({f"_n_{k}": count(text, v, low) for k, v in ISSUE_WORDS.items()})
     groups = {"money": (MONEY_ASK,), "civic": (VOTING_INFO, CIVIC_ACTION), "offer": (NON_POLITICAL_OFFER,), "political": (POLITICAL,)}
     # the first group with a hit decides, so later ones are searched only where all before are empty
     before = F.lit(True)
     for k, v in groups.items():
-        there = text.rlike(java_pattern(sum(v, ())))
+        there = F.when(low.isNotNull(), low.rlike(java_pattern(sum(v, ()), True))).otherwise(text.rlike(java_pattern(sum(v, ()))))
         counted = counted.withColumn(f"_has_{k}", F.when(before, there).otherwise(False))
         before = before & ~F.col(f"_has_{k}")
     has = {k: F.col(f"_has_{k}") for k in groups}
@@ -124,7 +142,7 @@ def classify(items: DataFrame, text_col: str = "ad_text", reasons: bool = True)
     sure = (has["money"] | has["civic"] | has["offer"] | has["political"]) & (F.col("_top") > 1) & (F.size("_ties") == 1)
     out = {"goal": goal, "issue": issue, "confidence": F.when(sure, "medium").otherwise("low")}
     if reasons:
-        shown = {k: short_list(hits(text, *v)) for k, v in groups.items()}
+        shown = {k: short_list(hits(text, *v, low=low)) for k, v in groups.items()}
         why_goal = (
             F.when(has["money"], F.concat(F.lit("money ask "), shown["money"], F.lit(" (rule 1)")))
             .when(has["civic"], F.concat(F.lit("civic action "), shown["civic"], F.lit(" (rule 2)")))
@@ -134,7 +152,7 @@ def classify(items: DataFrame, text_col: str = "ad_text", reasons: bool = True)
         )
         quoted = F.lit(None).cast("string")
         for k in reversed(ISSUE_PRIORITY):
-            quoted = F.when(F.element_at("_ties", 1) == k, short_list(hits(text, ISSUE_WORDS[k]))).otherwise(quoted)
+            quoted = F.when(F.element_at("_ties", 1) == k, short_list(hits(text, ISSUE_WORDS[k], low=low))).otherwise(quoted)
         tie = F.when(F.size("_ties") > 1, F.concat(F.lit(" (tie with "), F.array_join(F.expr("slice(_ties, 2, size(_ties))"), ", "), F.lit(")"))).otherwise("")
         why_issue = F.when(none, "no topic keywords").otherwise(F.concat(F.element_at("_ties", 1), F.lit(" "), quoted, tie))
         out["reason"] = F.concat(F.lit("goal: "), why_goal, F.lit("; issue: "), why_issue)
